@@ -1,12 +1,13 @@
 """Language of texts and of blocks within them, by hyperdimensional profiles.
 
 Every letter has a random vector of +1 and -1. A trigram's vector is the product
-of its letters' vectors, permuted by their place; a text's profile is the sum of
-its trigrams' vectors, and so is a language's prototype, over sampled texts whose
+of its letters' vectors, permuted by their place; letters of scripts without word
+spaces also count alone and by their script. A text's profile is the sum of its
+grams' vectors, each times the root of its count, and so is a language's prototype, over sampled texts whose
 language is plain from script or function words. Texts are compared with the
-prototypes by cosine. As that is linear in the trigrams, a worker keeps each
-trigram's products with the prototypes and sums those; the length of a profile is
-taken from its trigram counts, since the vectors of different trigrams are
+prototypes by cosine. As that is linear in the grams, a worker keeps each
+gram's products with the prototypes and sums those; the length of a profile is
+taken from its gram counts, since the vectors of different grams are
 orthogonal but for chance.
 
 Defined results: null, blank and letterless texts have no language (null code,
@@ -30,7 +31,7 @@ LANGUAGES = ("en", "zh", "ja", "de", "fr", "es", "ru", "th")
 DIMENSIONS = 2048
 #: Texts the prototypes are built from: drawn in all, and kept for one language.
 SAMPLE_ROWS, SAMPLE_OF_ONE = 4_000, 300
-#: Trigrams a worker remembers; past it the memory starts afresh.
+#: Grams a worker remembers; past it the memory starts afresh.
 REMEMBERED = 400_000
 #: Characters judged at once; bounds a worker's memory, not the text.
 CHUNK = 1_500_000
@@ -95,15 +96,27 @@ def _fold_table() -> np.ndarray:
     return _folded
 
 
-def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of all trigrams of the texts, and the index of the text of each."""
+#: Stand-ins for the scripts without word spaces: Thai, kana, Han.
+_WIDE = ((0xE00, 0xE7F), (0x3040, 0x30FF), (0x3400, 0x9FFF))
+
+
+def grams_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of all grams of the texts, and the index of the text of each: trigrams,
+    and for wide scripts single letters (two spaces of nought before them) and the
+    script (two and its number)."""
     joined = "".join("\x01 " + t.replace("\x01", " ") + " " for t in texts)
     letters = _fold_table()[np.frombuffer(joined.encode("utf-32-le", "replace"), np.uint32)]
     letters = letters[np.concatenate(([True], (letters[1:] != _SPACE) | (letters[:-1] != _SPACE)))].astype(np.uint64)
     owner = np.cumsum(letters == _END) - 1
     keys = letters[:-2] << np.uint64(42) | letters[1:-1] << np.uint64(21) | letters[2:]
     fine = (owner[:-2] == owner[2:]) & (letters[:-2] != _END)
-    return keys[fine], owner[:-2][fine]
+    all_keys, owners = [keys[fine]], [owner[:-2][fine]]
+    for number, (low, high) in enumerate(_WIDE, 2):
+        inside = (letters >= low) & (letters <= high)
+        if inside.any():
+            all_keys += [letters[inside], np.full(int(inside.sum()), number, np.uint64)]
+            owners += [owner[inside]] * 2
+    return np.concatenate(all_keys), np.concatenate(owners)
 
 
 class Profiles:
@@ -121,7 +134,7 @@ class Profiles:
         return v
 
     def vectors(self, keys: np.ndarray) -> np.ndarray:
-        """A row of +1 and -1 for each trigram: its letters permuted and bound."""
+        """A row of +1 and -1 for each gram: its letters permuted and bound."""
         mask = np.uint64((1 << 21) - 1)
         places = [(keys >> np.uint64(s)) & mask for s in (42, 21, 0)]
         out = np.ones((len(keys), self.prototypes.shape[1]), np.int8)
@@ -149,26 +162,26 @@ class Profiles:
     def cosines(self, texts: list[str]) -> np.ndarray:
         """A row for each text, a column for each language; 0 without letters."""
         out = np.zeros((len(texts), len(self.prototypes)), np.float32)
-        keys, owner = trigrams(texts)
+        keys, owner = grams_of(texts)
         if not len(keys):
             return out
         kinds, at = np.unique(keys, return_inverse=True)
         pairs, counts = np.unique(owner * np.int64(len(kinds)) + at, return_counts=True)
         owners, grams = np.divmod(pairs, len(kinds))
-        products = self.products(kinds)[grams] * counts[:, None]
+        products = self.products(kinds)[grams] * np.sqrt(counts)[:, None]
         heads = np.concatenate(([0], np.flatnonzero(np.diff(owners)) + 1))
-        length = np.sqrt(self.prototypes.shape[1] * np.add.reduceat(counts.astype(np.float64) ** 2, heads))
+        length = np.sqrt(self.prototypes.shape[1] * np.add.reduceat(counts.astype(np.float64), heads))
         out[owners[heads]] = np.add.reduceat(products, heads) / length[:, None]
         return out
 
 
 def build_prototypes(texts: dict[str, list[str]], dimensions: int = DIMENSIONS) -> np.ndarray:
-    """A unit vector for each language, bundled from its texts' trigrams."""
+    """A unit vector for each language, bundled from its texts' grams."""
     maker = Profiles(np.zeros((1, dimensions)))
     out = np.zeros((len(LANGUAGES), dimensions))
     for i, language in enumerate(LANGUAGES):
         seed = FUNCTION_WORDS.get(language) or SCRIPT_WORDS[language]
-        keys, _ = trigrams([seed, *texts.get(language, [])])
+        keys, _ = grams_of([seed, *texts.get(language, [])])
         kinds, counts = np.unique(keys, return_counts=True)
         for j in range(0, len(kinds), 2048):
             out[i] += np.sqrt(counts[j : j + 2048]) @ maker.vectors(kinds[j : j + 2048]).astype(np.float64)
@@ -263,7 +276,8 @@ def declared_code(language: Column) -> Column:
 
 _BLANK = re.compile(r"(?:\r?\n[^\S\n]*)+\r?\n")
 _NOT_PROSE = re.compile(r"^\s*(?:#|```|~~~|\||!\[|\*\*(?:Figure|图|圖|図)|<table|\[\d+\]|[-*+] |\$\$)")
-_END_MARK = re.compile(r"[.!?。！？]")
+_MARKED = re.compile(r"^\s*(?:```|~~~|\||<table|\[\d+\])")
+_END_MARK = re.compile(r"[.!?。！？][\"”»’」』)）\]]*\s*$|[。！？]")
 _GAP = re.compile(r"\s")
 
 
@@ -279,13 +293,13 @@ def is_prose(block: str) -> bool:
     letters = sum(map(len, _WORD.findall(block)))
     wide = len(re.findall(r"[぀-ヿ㐀-鿿]", block))
     thai = len(re.findall(r"[฀-๿]", block))
-    if letters < (10 if wide + thai > 0.3 * letters else 25) or letters < 0.4 * len(block.strip()):
+    if letters < (10 if wide + thai > 0.3 * letters else 30) or letters < 0.4 * len(block.strip()):
         return False
     if "...." in block or "…" * 3 in block:
         return False
     if thai > 0.3 * letters:
         return True
-    if not _END_MARK.search(block):
+    if letters < 150 and not _END_MARK.search(block):
         return False
     return wide > 0.3 * letters or max(map(len, _GAP.split(block))) <= 60
 
@@ -296,17 +310,21 @@ def foreign_blocks(contents: DataFrame, prototypes: np.ndarray, id_col: str = "d
     model = contents.sparkSession.sparkContext.broadcast(prototypes)
     id_type = contents.schema[id_col].dataType.simpleString()
 
+    def size(part: str, language: str | None) -> float:
+        """Letters of running text; those of denser scripts say more."""
+        return 0.0 if _MARKED.match(part) else sum(map(len, _WORD.findall(part))) * (2.5 if language in ("zh", "ja") else 1.0)
+
     def of_one(parts: list[str], cosines: np.ndarray) -> Iterator[tuple[int, str, float]]:
         judged = [judge(row) for row in cosines]
         weight = Counter()
         for part, (language, _) in zip(parts, judged):
-            weight[language] += len(part)
+            weight[language] += size(part, language)
         del weight[None]
         for i, (part, (language, confidence)) in enumerate(zip(parts, judged)):
             if language is None or confidence < sure or not is_prose(part):
                 continue
             rest = weight.copy()
-            rest[language] -= len(part)
+            rest[language] -= size(part, language)
             main = max(rest, key=lambda k: (rest[k], -LANGUAGES.index(k)))
             if rest[main] > 0 and main != language:
                 yield i + 1, language, confidence

@@ -7,10 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import encode, split
+from lexloom.llm import encode, langid, residue, split
 from lexloom.session import table
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, parsed = (table(spark, sf_dir, name) for name in ("documents", "parsed_docs"))
+    prototypes, residues = langid.fit(documents), residue.fit(documents)
+    newest = parsed.groupBy("doc_id").agg(F.max(F.struct("parsed_at", "content")).alias("_n")).select("doc_id", F.col("_n.content").alias("content"))
+    whole = langid.wrong_labels(documents, prototypes, residues).select("doc_id", F.lit(0).alias("block_no"), "lang_code")
+    return whole.unionByName(langid.foreign_blocks(newest, prototypes).select("doc_id", "block_no", "lang_code"))
+
+
+def p6_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return langid.identify(documents, langid.fit(documents), ("doc_id",)).select("doc_id", "lang_code", "confidence")
+
+
 def p7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = (table(spark, sf_dir, name) for name in ("parsed_docs", "segments", "split_limits"))
     return split.split_corpus(*tables)
@@ -25,7 +38,14 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.encode_texts(table(spark, sf_dir, "documents"))
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.find_residue(table(spark, sf_dir, "documents")).select("doc_id", "residue")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p10_found": p10_found,
+    "p6_found": p6_found,
+    "p6_languages": p6_languages,
     "p7_found": p7_found,
     "p7_pieces": p7_pieces,
     "p8_ids": p8_ids,
