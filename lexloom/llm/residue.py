@@ -140,7 +140,7 @@ def fit(df: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_ROWS, t
     def prose(found: set[str]) -> bool:
         # Pairs of letters vary more than words do.
         seen = sorted(common[f] for f in found)
-        rare = len(seen) // (3 if any(map(_PAIRED.match, found)) else 8)
+        rare = len(seen) // (2 if any(map(_PAIRED.match, found)) else 8)
         return len(seen) >= 4 and seen[rare] >= often
 
     trusted: dict[str, Counter] = {k: Counter() for k in KINDS}
