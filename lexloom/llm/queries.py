@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import encode, langid, leak, residue, split
+from lexloom.llm import encode, langid, leak, residue, sentences, split
 from lexloom.session import table
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    segments = table(spark, sf_dir, "bilingual_segments")
+    model = sentences.learn(segments.filter("kind = 'paragraph'"), ("original", "translated"))
+    return sentences.split_sides(sentences.latest(segments, ("paragraph",)), model)
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, parsed = (table(spark, sf_dir, name) for name in ("documents", "parsed_docs"))
     prototypes, residues = langid.fit(documents), residue.fit(documents)
@@ -48,6 +54,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p10_found": p10_found,
+    "p5_found": p5_found,
     "p6_found": p6_found,
     "p6_languages": p6_languages,
     "p7_found": p7_found,

@@ -155,9 +155,9 @@ class Model:
         n_first, n_later = c["n"]["first"], c["n"]["later"]
         for prefix in first.keys() | later.keys():
             k, total = first[prefix], first[prefix] + later[prefix]
-            if total >= LEAST_COUNT:
-                # Openers stand first about as often as any sentence does.
-                self.thai[prefix] = k > 0 and (k / total) >= 0.25 * n_first / max(1, n_first + n_later)
+            # Openers stand first about as often as any sentence does; that a rare one never did says little.
+            if total >= LEAST_COUNT and (k > 0 or total >= 20):
+                self.thai[prefix] = k / total >= 0.25 * n_first / max(1, n_first + n_later)
 
     def opens_thai(self, chunk: str) -> bool:
         bare = chunk.lstrip('"“')
@@ -219,7 +219,7 @@ def _depths(text: str) -> list[tuple[int, int]]:
 _CARRY_ON = frozenset("とってはがをにでのもやへ、，。")
 
 
-def _ends_at_period(text: str, i: int, end: int, begin: int, language: str, model: Model) -> bool:
+def _ends_at_period(text: str, i: int, end: int, begin: int, language: str, model: Model, small: bool) -> bool:
     """Whether the period before ``end``, the first mark at ``i``, ends a sentence."""
     before = text[begin:i].split()
     word = _norm(before[-1]) if before else ""
@@ -227,7 +227,7 @@ def _ends_at_period(text: str, i: int, end: int, begin: int, language: str, mode
     after = rest.lstrip()
     follow = after.lstrip(_EDGE)[:1]
     spaced = rest[:1].isspace()
-    if follow.islower():
+    if follow.islower() and not small:
         return False
     if not word:
         return spaced
@@ -246,7 +246,7 @@ def _ends_at_period(text: str, i: int, end: int, begin: int, language: str, mode
     if f"{word} {next_word}" in model.collocations.get(language, frozenset()) and next_word not in model.starters.get(language, frozenset()):
         return False
     if word in abbreviations:
-        return follow.isupper() or not follow.isdigit()
+        return not follow.isdigit() and not (small and next_word not in model.starters.get(language, frozenset()))
     bare = before[-1].strip(_EDGE)
     if len(bare) == 1 and bare.isupper():
         return False
@@ -259,6 +259,8 @@ def split(text: str | None, model: Model, language: str | None = None) -> list[t
         return []
     language = language or language_of(text)
     pairs = _depths(text)
+    # A text without capitals can't show where sentences begin.
+    small = text == text.lower()
     bare = text.strip()
     lead = len(text) - len(text.lstrip())
     # Quotes about the whole text hold sentences, they aren't in one.
@@ -280,8 +282,8 @@ def split(text: str | None, model: Model, language: str | None = None) -> list[t
         return at
 
     if language == "th":
-        for m in re.finditer(r"\s+", text):
-            if inside[m.start()] < 0 and m.end() < len(text) and m.start() > 0:
+        for m in re.finditer(r"\s+|(?<=[\])0-9A-Za-z])(?=[\u0e00-\u0e7f])", text):
+            if (m.start() == m.end() or inside[m.start()] < 0) and m.end() < len(text) and m.start() > 0 and inside[m.start() - 1] in (-1, inside[m.start() - 1] if outer and outer[inside[m.start() - 1]][1] == m.start() - 1 else -1):
                 rest = text[m.end() :]
                 quoted = rest[0] in '"“' and bool(_THAI.match(rest[1:2])) and inside[m.end()] >= 0 and outer[inside[m.end()]][0] == m.end()
                 if quoted or (_THAI.match(rest) and model.opens_thai(rest.split(None, 1)[0])):
@@ -295,6 +297,11 @@ def split(text: str | None, model: Model, language: str | None = None) -> list[t
                 if inside[i] >= 0 or not (text[end : end + 1].isspace() and follow.isupper()):
                     continue
             held = inside[i]
+            if held >= 0:
+                # A space may stand between the mark and the quote it closes with.
+                gap = re.compile(r"\s+").match(text, end)
+                if gap and gap.end() == outer[held][1]:
+                    end = gap.end()
             while end < len(text) and text[end] in _CLOSE and (inside[end] == held or held < 0) and inside[end] >= 0 and text[end] not in _OPEN:
                 end += 1
             if held >= 0:
@@ -309,7 +316,7 @@ def split(text: str | None, model: Model, language: str | None = None) -> list[t
                     if text[end:].strip():
                         continue
                 after = text[end:].lstrip()[:1]
-                if after and (after in ",，、;；:：" or (language == "ja" and after in _CARRY_ON) or after.islower() or after in ".。！？!?"):
+                if after and (after in ",，、;；:：" or (language == "ja" and after in _CARRY_ON) or (after.islower() and not small) or after in ".。！？!?"):
                     continue
             else:
                 while end < len(text) and text[end] in "”»」』）)\"" and inside[end] < 0:
@@ -319,11 +326,11 @@ def split(text: str | None, model: Model, language: str | None = None) -> list[t
                 elif mark.startswith(".") and not mark.startswith("..") and len(mark) == 1:
                     if i > 0 and text[i - 1].isdigit() and text[end : end + 1].isdigit():
                         continue
-                    if text[end:].strip() and not _ends_at_period(text, i, end, begin, language, model):
+                    if text[end:].strip() and not _ends_at_period(text, i, end, begin, language, model, small):
                         continue
                 else:
                     after = text[end:].lstrip()
-                    if after and (after.lstrip(_EDGE)[:1].islower() or (not text[end : end + 1].isspace() and not after.lstrip(_EDGE)[:1].isupper() and not re.match(r"[぀-鿿]", after))):
+                    if after and ((after.lstrip(_EDGE)[:1].islower() and not small) or (not text[end : end + 1].isspace() and not after.lstrip(_EDGE)[:1].isupper() and not re.match(r"[぀-鿿]", after))):
                         continue
             cuts.append(end)
             begin = end
