@@ -156,7 +156,7 @@ class Model:
         for prefix in first.keys() | later.keys():
             k, total = first[prefix], first[prefix] + later[prefix]
             # Openers stand first about as often as any sentence does; that a rare one never did says little.
-            if total >= LEAST_COUNT and (k > 0 or total >= 20):
+            if total >= LEAST_COUNT and (k > 0 or total >= 12):
                 self.thai[prefix] = k / total >= 0.25 * n_first / max(1, n_first + n_later)
 
     def opens_thai(self, chunk: str) -> bool:
