@@ -7,10 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import encode, langid, leak, residue, sentences, split
+from lexloom.llm import defects, encode, langid, leak, residue, sentences, split
 from lexloom.session import table
 
 
+def p3_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    segments = table(spark, sf_dir, "bilingual_segments")
+    prototypes = langid.fit(segments.filter("kind = 'paragraph'"), "original")
+    return defects.label_pairs(segments, prototypes)
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return defects.main_defect(p3_labels(spark, sf_dir))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     segments = table(spark, sf_dir, "bilingual_segments")
     model = sentences.learn(segments.filter("kind = 'paragraph'"), ("original", "translated"))
@@ -54,6 +64,8 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p10_found": p10_found,
+    "p3_found": p3_found,
+    "p3_labels": p3_labels,
     "p5_found": p5_found,
     "p6_found": p6_found,
     "p6_languages": p6_languages,
