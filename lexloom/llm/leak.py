@@ -34,9 +34,9 @@ from pyspark.sql import DataFrame
 
 #: Letters of a window, in scripts with and without word spaces.
 WINDOW, WIDE_WINDOW = 30, 12
-WALKS, SAMPLES = 3, 3
+WALKS, SAMPLES = 3, 2
 #: Steps that make a key, in narrow and wide windows.
-BITS, WIDE_BITS = 8, 6
+BITS, WIDE_BITS = 10, 7
 #: The share of an item that a passage must hold: "about two fifths".
 SHARE = 0.33
 MAX_ITEMS = 100_000
