@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import defects, encode, langid, leak, residue, sentences, split
+from lexloom.llm import align, defects, encode, langid, leak, residue, sentences, split
 from lexloom.session import table
 
 
+def p1_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(table(spark, sf_dir, "bilingual_segments"), table(spark, sf_dir, "term_glossary"))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p1_pairs(spark, sf_dir).select("seg_id", "orig_start", "trans_start")
+
+
 def p3_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     segments = table(spark, sf_dir, "bilingual_segments")
     prototypes = langid.fit(segments.filter("kind = 'paragraph'"), "original")
@@ -63,6 +71,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
     "p10_found": p10_found,
     "p3_found": p3_found,
     "p3_labels": p3_labels,
