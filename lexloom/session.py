@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,19 +33,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the folder the session names.
+    """Cut lineage by a table written once to the folder the session names.
 
-    Only where ``spark.checkpoint.dir`` is unset (tests, local runs) a folder of
+    ``spark.checkpoint.dir`` is a folder that all executors share, so the rows
+    outlive any of them. Only where it is unset (tests, local runs) a folder of
     this machine is used.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if named:
-            context.setCheckpointDir(named)
-        elif context.master.startswith("local"):
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="lexloom-checkpoint-"))
-        else:
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return df.checkpoint(eager=True)
+        folder = _local_folder()
+    path = f"{folder.rstrip('/')}/lexloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@functools.cache
+def _local_folder() -> str:
+    folder = tempfile.mkdtemp(prefix="lexloom-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return f"file://{folder}"
