@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import align, defects, encode, langid, leak, residue, sentences, split
+from lexloom.llm import align, defects, encode, langid, leak, ocr, residue, sentences, split
 from lexloom.session import table
 
 
@@ -29,6 +29,16 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return defects.main_defect(p3_labels(spark, sf_dir))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    contents = ocr.newest(table(spark, sf_dir, "parsed_docs"))
+    return ocr.find_noise(contents, ocr.learn(contents))
+
+
+def p4_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    contents = ocr.newest(table(spark, sf_dir, "parsed_docs"))
+    return ocr.repair_all(contents, ocr.learn(contents))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     segments = table(spark, sf_dir, "bilingual_segments")
     model = sentences.learn(segments.filter("kind = 'paragraph'"), ("original", "translated"))
@@ -75,6 +85,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p10_found": p10_found,
     "p3_found": p3_found,
     "p3_labels": p3_labels,
+    "p4_found": p4_found,
+    "p4_repaired": p4_repaired,
     "p5_found": p5_found,
     "p6_found": p6_found,
     "p6_languages": p6_languages,
