@@ -488,45 +488,49 @@ def repair(content: str | None, known: Statistics) -> str | None:
     fixes: dict[int, list[tuple[str, str]]] = {}
     for i, seen, true in wrong:
         fixes.setdefault(i, []).append((seen, true))
+    wide = len(re.findall(r"[一-鿿]", content)) > 0.3 * len(content)
     out: list[str] = []
-    held = ""
+    held, apart, last = "", False, ""
 
     def flush() -> None:
         nonlocal held
-        if held:
-            out.append(held)
+        if held.strip():
+            out.append(held.replace("\x00", "").strip())
         held = ""
 
-    cut_before = False
     for i, line in enumerate(lines):
-        text = line.text.strip().lstrip("\f　")
-        if line.part in ("page", "header"):
-            cut_before = True
-            continue
-        if line.part == "blank":
-            # A page break in the middle of a paragraph parts nothing.
-            if not cut_before:
-                flush()
+        if line.part == "blank" or line.part in ("page", "header"):
+            following = next((x.part for x in lines[i + 1 :] if x.part != "blank"), "")
+            broken = line.part != "blank" or following in ("page", "header") or last in ("page", "header")
+            # A page break parts no paragraph; a blank line of its own does.
+            apart = apart or not broken or bool(held) and broken and bool(re.search(r"[.!?。！？][\"”»」）)]*$", held.rstrip()) and line.part == "blank" and not wide)
+            last = line.part if line.part != "blank" else last
             continue
+        last = line.part
         if line.part != "body":
             flush()
-            out.append(line.text)
-            cut_before = False
+            if out and i and lines[i - 1].part == line.part != "heading":
+                out[-1] += "\n" + line.text
+            else:
+                out.append(line.text)
+            apart = False
             continue
+        text = line.text.lstrip("\f")
+        indented = bool(re.match(r"[　]|  ", text))
+        if held and not held.endswith("\x00") and (apart or indented):
+            flush()
+        apart = False
+        text = text.lstrip("　 \t") if wide else text.strip()
         for seen, true in fixes.get(i, ()):
             text = text.replace(seen, true, 1)
-        if line.text[:1] in "　 " and held and not cut_before and line.text[:2].isspace():
-            flush()
-        wide = bool(held) and bool(re.match(r"[　-鿿＀-￯]", held[-1]) and re.match(r"[　-鿿＀-￯]", text[:1]))
         if held.endswith("\x00"):
             held = held[:-1] + text
         else:
-            held = held + ("" if wide or not held else " ") + text
+            held += ("" if wide or not held else " ") + text
         if i in joins:
-            held = re.sub(r"[-­‐‑¬]$", "", held) + "\x00"
-        cut_before = False
+            held = (held.rstrip() if re.search(r"[A-Z]{4,}-\s*$", held) else re.sub(r"[-­‐‑¬]\s*$", "", held)) + "\x00"
     flush()
-    return "\n\n".join(x.replace("\x00", "") for x in out)
+    return "\n\n".join(out)
 
 
 def newest(parsed: DataFrame) -> DataFrame:
