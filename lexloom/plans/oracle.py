@@ -1,3 +1,272 @@
-"""SQL that gives the same rows as a query of the core."""
+"""SQL that gives the same rows as a query of the core, for DuckDB."""
 
-SQL: dict[str, str] = {}
+from lexloom.operators import lexicons as L
+
+_S = r"[\t-\r\x{85}\p{Z}]"
+
+
+def trim(x: str) -> str:
+    return f"regexp_replace({x}, '^{_S}+|{_S}+$', '', 'g')"
+
+
+def rtrim(x: str) -> str:
+    return f"regexp_replace({x}, '{_S}+$', '')"
+
+
+def ltrim(x: str) -> str:
+    return f"regexp_replace({x}, '^{_S}+', '')"
+
+
+MD = "md_docs AS (SELECT doc_id, max(row(parsed_at, content)) AS n FROM parsed_docs GROUP BY doc_id), docs AS (SELECT doc_id, n[2] AS md FROM md_docs)"
+
+LINES = rf"""{MD},
+cut AS (SELECT doc_id, string_split_regex(md, '\r?\n') AS ls FROM docs WHERE md IS NOT NULL),
+lines AS (SELECT doc_id, pos, line, {trim('line')} AS t FROM (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM cut)),
+fenced AS (SELECT *, coalesce(sum(starts_with(t, '```')::INT) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 2 = 1 AS inc FROM lines)"""
+
+SEGMENTS = rf"""{LINES},
+cls AS (SELECT *, CASE WHEN starts_with(t, '```') THEN CASE WHEN inc THEN 'close' ELSE 'open' END WHEN inc THEN 'code' WHEN starts_with(t, '#') THEN 'heading'
+  WHEN starts_with(t, '|') OR starts_with(t, '<table') THEN 'table' WHEN t = '' THEN 'blank'
+  WHEN starts_with(t, '![') OR starts_with(t, '**Figure') OR starts_with(t, '**图') THEN 'cap' ELSE 'text' END AS cls FROM fenced),
+lagged AS (SELECT *, lag(cls) OVER (PARTITION BY doc_id ORDER BY pos) AS was,
+  coalesce(max((cls = 'heading' AND regexp_matches(t, '^#+{_S}*(References|REFERENCES|Reference|Bibliography|BIBLIOGRAPHY|参考文献|引用文献){_S}*#*$'))::INT) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS refs FROM cls),
+grouped AS (SELECT *, sum(CASE WHEN cls = 'code' OR (cls IN ('text', 'table') AND was IS NOT DISTINCT FROM cls) THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY pos) AS grp FROM lagged),
+joined AS (SELECT doc_id, grp, min(pos) AS pos, arg_min(cls, pos) AS c, arg_min(refs, pos) AS refs, string_agg(line, chr(10) ORDER BY pos) AS body, string_agg(t, '  ' || chr(10) ORDER BY pos) AS flat, count(*) AS n,
+  sum((contains(t, '....') OR contains(t, '…') OR (length(t) >= 5 AND regexp_matches(t, '[\t-\r\x{{85}}\p{{Z}}.…][0-9]+$')))::INT) AS hits
+  FROM grouped WHERE cls <> 'blank' GROUP BY doc_id, grp),
+kinds AS (SELECT *, CASE WHEN c IN ('open', 'close', 'code') THEN 'code' WHEN c = 'cap' THEN 'image_caption' WHEN c = 'text' THEN CASE WHEN refs = 1 THEN 'reference' ELSE 'paragraph' END ELSE c END AS k FROM joined),
+shaped AS (SELECT doc_id, pos, CASE WHEN k = 'paragraph' AND n >= 3 AND hits * 10 >= n * 6 THEN 'toc' ELSE k END AS kind,
+  CASE WHEN k = 'paragraph' AND n >= 3 AND hits * 10 >= n * 6 THEN flat ELSE {rtrim('body')} END AS content FROM kinds),
+seg AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS seg_index, kind, content FROM shaped WHERE content <> '')"""
+
+NUMBERED = rf"""{SEGMENTS},
+numbered AS (SELECT doc_id, row_number() OVER w - 1 AS ord, CASE WHEN kind = 'paragraph' THEN (sum((kind = 'paragraph')::INT) OVER w)::BIGINT END AS no,
+  CASE WHEN kind = 'heading' THEN {trim("regexp_replace(content, '^#+', '')")} END AS heading, CASE WHEN kind = 'paragraph' THEN content ELSE '' END AS content
+  FROM seg WHERE kind IN ('paragraph', 'heading') WINDOW w AS (PARTITION BY doc_id ORDER BY seg_index))"""
+RENDERED = "CASE WHEN no IS NOT NULL THEN '[段落 ' || no || ']' || chr(10) || content || chr(10) || chr(10) ELSE '【章节】' || coalesce(heading, '') || chr(10) || chr(10) END"
+
+BLOCKS = rf"""{MD},
+bcut AS (SELECT doc_id, string_split(md, chr(10)) AS ls FROM docs WHERE md IS NOT NULL),
+blines AS (SELECT doc_id, pos, line, {trim('line')} AS t FROM (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM bcut)),
+bfenced AS (SELECT *, coalesce(sum(starts_with(t, '```')::INT) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 2 = 1 AS inc FROM blines),
+bcls AS (SELECT *, CASE WHEN starts_with(t, '```') THEN CASE WHEN inc THEN 'code' ELSE 'open' END WHEN inc THEN 'code' WHEN t = '' THEN 'blank'
+  WHEN regexp_matches(t, '^#{{1,6}}{_S}') OR starts_with(t, '|') OR starts_with(t, '![') OR starts_with(t, '> ') THEN 'held' ELSE 'body' END AS cls FROM bfenced),
+blag AS (SELECT *, lag(cls) OVER (PARTITION BY doc_id ORDER BY pos) AS was FROM bcls),
+bgrp AS (SELECT *, sum(CASE WHEN cls = 'code' OR (cls IN ('held', 'body') AND was IS NOT DISTINCT FROM cls) THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY pos) AS grp FROM blag),
+bjoin AS (SELECT doc_id, min(pos) AS pos, arg_min(cls, pos) = 'body' AS interactive, {trim("string_agg(line, chr(10) ORDER BY pos)")} AS body FROM bgrp WHERE cls <> 'blank' GROUP BY doc_id, grp),
+blocks AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS block, interactive, body FROM bjoin WHERE body <> '')"""
+
+# A mark of its own stands where a sentence ends; formulas were taken out before.
+_HAN_CUT = r"regexp_replace(c, '([。！？；])', '\1' || chr(30), 'g')"
+_LATIN_CUT = rf"regexp_replace(regexp_replace(c, '([.!?]){_S}+([A-Z])', '\1' || chr(30) || '\2', 'g'), '([.!?]){_S}+([A-Z])', '\1' || chr(30) || '\2', 'g')"
+SENTENCES = rf"""{BLOCKS},
+around AS (SELECT doc_id, block, string_split_regex(body, '(?s)\$\$.*?\$\$|\$[^$\n]+\$') AS o, regexp_extract_all(body, '(?s)\$\$.*?\$\$|\$[^$\n]+\$') AS m FROM blocks WHERE interactive),
+chunks AS (SELECT doc_id, block, i * 2 AS part, {trim('o[i]')} AS c, false AS math FROM (SELECT *, unnest(range(1, len(o) + 1)) AS i FROM around)
+  UNION ALL SELECT doc_id, block, i * 2 + 1, m[i], true FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM around)),
+pieces AS (SELECT doc_id, block, part, CASE WHEN math THEN [c] ELSE string_split(CASE WHEN regexp_matches(c, '[\x{{4e00}}-\x{{9fff}}]') THEN {_HAN_CUT} ELSE {_LATIN_CUT} END, chr(30)) END AS ss, math FROM chunks),
+flat AS (SELECT doc_id, block, part, j, CASE WHEN math THEN ss[j] ELSE {trim('ss[j]')} END AS s FROM (SELECT *, unnest(range(1, len(ss) + 1)) AS j FROM pieces)),
+sentences AS (SELECT doc_id, block, row_number() OVER (PARTITION BY doc_id, block ORDER BY part, j) - 1 AS sentence_no, s AS sentence FROM flat WHERE s <> '')"""
+
+_LEVEL = rf"CASE WHEN NOT interactive AND regexp_matches(string_split(body, chr(10))[1], '^#{{1,6}}{_S}') THEN length(regexp_extract(string_split(body, chr(10))[1], '^(#{{1,6}})', 1)) END"
+
+
+_ANCHOR = '<a id="[^"]*"></a>'
+
+
+def plain(x: str) -> str:
+    bare = f"regexp_replace(regexp_replace({x}, '^#{{1,6}}{_S}*', ''), '{_ANCHOR}', '', 'g')"
+    return trim(rf"regexp_replace({bare}, '\*\*|__|`|\*|~~', '', 'g')")
+
+
+_UPTO = "OVER (PARTITION BY doc_id ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+_STEPS = ", ".join(
+    f"CASE WHEN last_value(CASE WHEN level = {d} THEN block END IGNORE NULLS) {_UPTO} > coalesce(max(CASE WHEN level < {d} THEN block END) {_UPTO}, -1) THEN nullif(last_value(CASE WHEN level = {d} THEN head END IGNORE NULLS) {_UPTO}, '') END AS h{d}"
+    for d in range(1, 7)
+)
+LOCATED = rf"""{SENTENCES},
+entry AS (SELECT doc_id, block, interactive, {_LEVEL} AS level, {plain("string_split(body, chr(10))[1]")} AS head FROM blocks),
+steps AS (SELECT doc_id, block, interactive, sum(interactive::INT) {_UPTO} AS no, {_STEPS} FROM entry),
+located AS (SELECT doc_id, block, CASE WHEN interactive THEN CASE WHEN concat_ws(' › ', h1, h2, h3, h4, h5, h6) <> '' THEN concat_ws(' › ', h1, h2, h3, h4, h5, h6) || ' · ' ELSE '' END || '第 ' || no || ' 段' ELSE '' END AS locator FROM steps)"""
+
+_IMAGE = r"(?s)!\[.*?\]\((.*?)\)"
+_ESC = """replace(replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;')"""
+
+
+def toggled(x: str, mark: str, tag: str, skip: bool = False) -> str:
+    extra = " AND p <> ''" if skip else ""
+    return f"array_to_string(list_transform(string_split({x}, '{mark}'), lambda p, i: CASE WHEN i % 2 = 0{extra} THEN '<{tag}>' || p || '</{tag}>' ELSE p END), '')"
+
+
+def inline_html(x: str) -> str:
+    return toggled(toggled(toggled(_ESC.format(x=x), "`", "code"), "**", "strong"), "*", "em", skip=True)
+
+
+_KW_T = trim(r"regexp_replace(t, '^(?:\*\*)+', '')")
+_KEYWORDS = rf"""kw AS (SELECT doc_id, pos, k, {trim("CASE WHEN regexp_matches(k, '[:：]') THEN regexp_replace(k, '(?s)^.*?[:：]', '') ELSE k END")} AS b FROM (SELECT doc_id, pos, {_KW_T} AS k FROM lines)),
+keywords AS (SELECT doc_id, arg_min(b, pos) AS keywords FROM kw WHERE regexp_matches(lower(k), '^(keywords|关键词|key words)') AND b <> '' AND strlen(b) < 400 GROUP BY doc_id)"""
+
+SIGNALS = rf"""{SEGMENTS}, {_KEYWORDS},
+heads AS (SELECT doc_id, list(h ORDER BY seg_index) AS hs FROM (SELECT doc_id, seg_index, {trim("regexp_replace(content, '^#+', '')")} AS h FROM seg WHERE kind = 'heading') WHERE h <> '' GROUP BY doc_id),
+paras AS (SELECT doc_id, list(content ORDER BY seg_index) AS ps FROM seg WHERE kind = 'paragraph' GROUP BY doc_id),
+counts AS (SELECT doc_id, count(*) FILTER (kind = 'table') AS tables, count(*) FILTER (kind = 'image_caption') AS caps FROM seg GROUP BY doc_id),
+signals AS (SELECT d.doc_id,
+  CASE WHEN x.title IS NULL OR {trim('x.title')} = '' OR x.title = '未命名' THEN coalesce(hs[1], '') ELSE x.title END AS title,
+  coalesce(array_to_string(ps[1:3], ' '), '') || CASE WHEN coalesce(keywords, '') <> '' THEN ' 关键词：' || keywords ELSE '' END AS abstract,
+  coalesce(hs, []) AS headings, substring(coalesce(array_to_string(ps[1:14], ' '), ''), 1, 6000) AS body_sample, coalesce(keywords, '') AS keywords,
+  coalesce(tables, 0) AS table_count, greatest(coalesce(caps, 0), (length(md) - length(replace(md, '![', ''))) // 2) AS image_count, (length(md) - length(replace(md, '$', '')))::BIGINT AS math_symbols
+  FROM docs d LEFT JOIN heads USING (doc_id) LEFT JOIN paras USING (doc_id) LEFT JOIN counts USING (doc_id) LEFT JOIN keywords USING (doc_id) LEFT JOIN documents x USING (doc_id))"""
+
+SQL: dict[str, str] = {
+    "segments": f"WITH {SEGMENTS} SELECT doc_id, seg_index, kind, content FROM seg",
+    "segment_kinds": f"WITH {SEGMENTS} SELECT kind, count(*) AS n_segments, count(DISTINCT doc_id) AS n_docs, sum(length(content))::BIGINT AS n_chars FROM seg GROUP BY kind",
+    "toc_segments": f"WITH {SEGMENTS} SELECT doc_id, seg_index, len(string_split(content, '  ' || chr(10))) AS n_lines FROM seg WHERE kind = 'toc'",
+    "numbered_paragraphs": f"WITH {NUMBERED} SELECT doc_id, ord, no, heading, {RENDERED} AS rendered FROM numbered",
+    "interactive_blocks": f"WITH {BLOCKS} SELECT doc_id, block, interactive, body FROM blocks",
+    "block_sentences": f"WITH {SENTENCES} SELECT doc_id, block, sentence_no, sentence FROM sentences",
+    "contents_table": rf"""WITH {LINES}
+        SELECT doc_id, 'toc-' || (row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1) AS id, length(regexp_extract(t, '^(#{{1,4}}){_S}', 1))::BIGINT AS level, regexp_extract(t, '(?s)^#{{1,4}}{_S}+(.*?){_S}*$', 1) AS title
+        FROM fenced WHERE NOT inc AND NOT starts_with(t, '```') AND regexp_matches(t, '^#{{1,4}}{_S}')""",
+    "heading_anchors": rf"""WITH {BLOCKS}, marked AS (SELECT *, (NOT inc AND NOT starts_with(t, '```') AND regexp_matches(t, '^#{{1,4}}{_S}')) AS head FROM bfenced),
+        n AS (SELECT *, sum(head::INT) OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS n FROM marked)
+        SELECT doc_id, string_agg(CASE WHEN head THEN line || ' <a id="toc-' || n || '"></a>' ELSE line END, chr(10) ORDER BY pos) AS md FROM n GROUP BY doc_id""",
+    "citation_edges": rf"""WITH {LINES}, cited AS (SELECT doc_id, pos, unnest(regexp_extract_all(line, '\[(\d+(?:[\t-\r\x{{85}}\p{{Z}},，\-–—]\s*\d+){{0,7}})\](?:[^(]|$)', 1)) AS body FROM lines),
+        refs AS (SELECT doc_id, pos, unnest(string_split_regex(body, '[^0-9]+'))::BIGINT AS ref FROM cited)
+        SELECT doc_id, ref, count(*) AS n_cited, min(pos)::BIGINT AS first_line FROM refs GROUP BY doc_id, ref""",
+    "locator_paths": f"WITH {LOCATED} SELECT doc_id, block, locator FROM located",
+    "excerpts": rf"""WITH {LOCATED}
+        SELECT l.doc_id, l.block, '> ' || regexp_replace(s.sentence, '\n+', chr(10) || '> ', 'g') || chr(10) || '> —— ' || l.locator AS excerpt
+        FROM located l JOIN blocks b USING (doc_id, block) LEFT JOIN (SELECT * FROM sentences WHERE sentence_no = 0) s USING (doc_id, block) WHERE b.interactive AND l.locator <> ''""",
+    "image_references": rf"""WITH {MD}, found AS (SELECT doc_id, list_transform(regexp_extract_all(md, '{_IMAGE}', 1), lambda p: {trim('p')}) AS ps FROM docs),
+        kept AS (SELECT doc_id, list_filter(ps, lambda p: p <> '' AND NOT starts_with(p, 'http')) AS ps FROM found),
+        firsts AS (SELECT doc_id, list_filter(ps, lambda p, i: list_position(ps, p) = i)[1:12] AS ps FROM kept)
+        SELECT doc_id, generate_subscripts(ps, 1) - 1 AS ord, unnest(ps) AS path FROM firsts""",
+    "captions": rf"""WITH {SEGMENTS}
+        SELECT doc_id, seg_index, CASE WHEN p <> '' AND NOT starts_with(p, 'http') THEN p END AS path, {trim(f"regexp_replace(content, '{_IMAGE}', '', 'g')")} = '' AS pure,
+          {trim(r"regexp_replace(content, '(?s)^.*!\[.*?\]\(.*?\)', '', 'g')")} = '' AS pure_after_image, regexp_matches({ltrim('content')}, '^(Figure|Fig\.|Table|Tab\.|Schema|Diagram|Photo|图|表|插图)') AS captioned
+        FROM (SELECT *, {trim(f"regexp_extract(content, '{_IMAGE}', 1)")} AS p FROM seg WHERE kind = 'image_caption')""",
+    "title_authors": rf"""WITH {LINES},
+        a AS (SELECT *, max(starts_with(t, '#')::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS past, {trim("string_split(t, ',')[1]")} AS name FROM lines),
+        b AS (SELECT *, (past = 1 AND NOT starts_with(t, '#') AND t <> '' AND strlen(t) > 120)::INT AS long FROM a),
+        c AS (SELECT *, sum(long) OVER (PARTITION BY doc_id ORDER BY pos) AS stop FROM b),
+        d AS (SELECT *, (past = 1 AND stop = 0 AND NOT starts_with(t, '#') AND t <> '' AND name <> '' AND strlen(name) <= 60 AND NOT contains(name, 'https://'))::INT AS fits FROM c),
+        e AS (SELECT *, coalesce(max(fits) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seen FROM d),
+        f AS (SELECT *, coalesce(max((t = '' AND seen = 1)::INT) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ended FROM e),
+        g AS (SELECT doc_id, name, min(pos) AS pos FROM f WHERE fits = 1 AND ended = 0 GROUP BY doc_id, name),
+        names AS (SELECT doc_id, array_to_string(list(name ORDER BY pos)[1:5], ', ') AS authors FROM g GROUP BY doc_id),
+        titles AS (SELECT doc_id, arg_min({trim("regexp_replace(t, '^#+', '')")}, pos) FILTER (starts_with(t, '#')) AS h FROM lines GROUP BY doc_id)
+        SELECT doc_id, CASE WHEN h <> '' AND strlen(h) <= 200 THEN h END AS title, authors FROM titles LEFT JOIN names USING (doc_id)""",
+    "document_signals": f"WITH {SIGNALS} SELECT doc_id, title, array_to_string(headings, ' | ') AS headings, length(abstract)::BIGINT AS abstract_chars, body_sample, keywords, table_count, image_count, math_symbols FROM signals",
+    "inline_markup": f"WITH {SEGMENTS} SELECT doc_id, seg_index, {inline_html('content')} AS html FROM seg WHERE kind IN ('image_caption', 'table')",
+    "heading_texts": rf"WITH {SEGMENTS} SELECT doc_id, seg_index, CASE WHEN regexp_matches(content, '^#{{1,6}}{_S}') THEN length(regexp_extract(content, '^(#{{1,6}})', 1)) END AS level, {plain('content')} AS plain FROM seg WHERE kind = 'heading'",
+}
+
+
+# Classification, with the terms as literals.
+def _list(terms) -> str:
+    return "[" + ", ".join("'" + t.replace("'", "''") + "'" for t in terms) + "]" if terms else "[]::VARCHAR[]"
+
+
+def _hits(hay: str, terms) -> str:
+    return f"list_filter({_list(terms)}, lambda t: contains({hay}, t))"
+
+
+def _in_heads(terms) -> str:
+    return f"list_filter({_list(terms)}, lambda t: len(list_filter(heads, lambda h: contains(h, t))) > 0)"
+
+
+def _words(hay: str, terms) -> str:
+    plain_terms, other = [t for t in terms if t.isascii() and t.isalpha() and t.islower()], [t for t in terms if not (t.isascii() and t.isalpha() and t.islower())]
+    return f"(len(list_filter({_list(plain_terms)}, lambda t: regexp_matches({hay}, '(^|[^a-zA-Z0-9])' || t || '(e?s)?([^a-zA-Z0-9]|$)'))) + len({_hits(hay, other)}))"
+
+
+_HAY = f"""{SIGNALS},
+hay AS (SELECT *, list_transform(headings, lambda h: lower(h)) AS heads, lower(concat_ws(' ', title, abstract, body_sample, array_to_string(headings, ' '))) AS hay FROM signals),
+emp AS (SELECT *, len({_in_heads(L.STRUCTURE_TERMS)}) AS n_structure, len({_hits('hay', L.STATISTICS_TERMS)}) AS n_statistics FROM hay)"""
+
+
+def _score_rows() -> str:
+    rows = []
+    for i, p in enumerate(L.PARADIGMS):
+        prior = " + ".join(["0.0::DOUBLE", *(f"CASE WHEN len({_hits('hay', terms)}) > 0 THEN {0.06 if first == i else 0.03}::DOUBLE ELSE 0.0::DOUBLE END" for terms, first, second in L.PRIORS if i in (first, second))])
+        section = f"least(len({_in_heads(p.sections)}) / 2.0::DOUBLE, 1.0::DOUBLE)" if p.sections else "CASE WHEN n_structure >= 2 OR (n_structure = 1 AND n_statistics >= 2) THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END"
+        test = {"tables": "table_count > 0", "formulas": "math_symbols >= 4", "images": "image_count > 0"}
+        shown = " OR ".join([test[k] for k, ids in L.OBJECTS.items() if p.id in ids] or ["false"])
+        rows.append(
+            f"SELECT doc_id, {i}::BIGINT AS ord, '{p.id}' AS id, {section} AS section_hit, least(len({_hits('hay', p.keywords)}) / 4.0::DOUBLE, 1.0::DOUBLE) AS keyword_hit, "
+            f"CASE WHEN {shown} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS object_hit, {prior} AS prior, {_hits('hay', p.keywords)}[1:5] AS found FROM emp"
+        )
+    return " UNION ALL ".join(rows)
+
+
+SCORES = f"""{_HAY},
+raw AS ({_score_rows()}),
+scores AS (SELECT *, CASE WHEN section_hit > 0 OR keyword_hit > 0 THEN 0.45::DOUBLE * section_hit + 0.40::DOUBLE * keyword_hit + 0.15::DOUBLE * object_hit + prior ELSE 0.0::DOUBLE END AS score FROM raw),
+ranks AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, ord) AS rk FROM scores),
+told AS (SELECT doc_id, max(CASE WHEN rk = 1 THEN id END) AS best, max(CASE WHEN rk = 1 THEN score END) AS b, coalesce(max(CASE WHEN rk = 2 AND score >= 0.15 THEN score END), 0.0) AS second, sum((score >= 0.15)::INT) AS many,
+  coalesce(string_agg(CASE WHEN rk > 1 AND score >= 0.15 THEN id END, ', ' ORDER BY rk), '') AS secondary FROM ranks GROUP BY doc_id),
+recognised AS (SELECT *, CASE WHEN b < 0.50 THEN '单学科' WHEN many >= 3 THEN '多学科交叉' WHEN b >= 0.75 AND second < 0.25 THEN '单学科' WHEN second >= 0.25 THEN '双学科交叉' ELSE '单学科' END AS cross_type FROM told)"""
+
+
+def _literal(x: object) -> str:
+    return "'" + str(x).replace("'", "''") + "'"
+
+
+_FIELDS = "fields(family, ford, name, label, ftype, required) AS (VALUES " + ", ".join(f"({_literal(d.family)}, {d.ord}, {_literal(d.name)}, {_literal(d.label)}, {_literal(d.ftype)}, {str(d.required).lower()})" for d in L.field_definitions()) + ")"
+_SHORT = "CASE {x} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in L.SHORT_NAMES.items()) + " END"
+PLAN = f"""{SCORES}, {_FIELDS},
+levels AS (
+  SELECT doc_id, cross_type, 0 AS level, 'common' AS family, '通用' AS source FROM recognised
+  UNION ALL SELECT doc_id, cross_type, 1, best, '主范式·' || {_SHORT.format(x='best')} FROM recognised
+  UNION ALL SELECT r.doc_id, r.cross_type, k.rk, k.id, '次范式·' || {_SHORT.format(x='k.id')} FROM recognised r JOIN ranks k USING (doc_id)
+    WHERE k.rk > 1 AND k.score >= 0.15 AND k.score >= CASE r.cross_type WHEN '多学科交叉' THEN 0.15 WHEN '双学科交叉' THEN 0.25 END
+  UNION ALL SELECT doc_id, cross_type, 1000, 'dialogue', '交叉对话' FROM recognised WHERE cross_type = '多学科交叉'),
+every AS (SELECT doc_id, cross_type, level, source, name, label, ftype, required, row_number() OVER (PARTITION BY doc_id ORDER BY level, ford) AS pos FROM levels JOIN fields USING (family)),
+uniq AS (SELECT * FROM every QUALIFY row_number() OVER (PARTITION BY doc_id, name ORDER BY pos) = 1),
+near AS (SELECT *, name = 'validation_metrics' AND level BETWEEN 2 AND 999 AND coalesce(min(CASE WHEN name = 'evaluation_metrics' THEN pos END) OVER (PARTITION BY doc_id) < pos, false) AS close FROM uniq),
+plan AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS ord, name, CASE WHEN close THEN label || '（次范式视角）' ELSE label END AS label, ftype, required,
+  CASE WHEN close THEN replace(source, '次范式·', '次范式视角·') ELSE source END AS source, cross_type,
+  CASE cross_type WHEN '单学科' THEN '通用字段 + 主范式特有字段' WHEN '双学科交叉' THEN '通用字段 + 主范式特有字段 + 次范式特有字段' ELSE '通用字段 + 各范式特有字段 + 交叉对话字段' END AS strategy FROM near)"""
+
+_HAN_LABEL = r"regexp_replace(label, '[\x00-\x7f\p{Z}]', '', 'g')"
+_TERMS = (
+    "list_sort(list_distinct(list_concat(list_filter(list_transform(string_split_regex(name, '[^A-Za-z0-9]+'), lambda w: lower(w)), lambda w: length(w) >= 4), "
+    f"CASE WHEN length({_HAN_LABEL}) >= 2 THEN list_transform(range(1, length({_HAN_LABEL})), lambda i: substring({_HAN_LABEL}, i, 2)) ELSE [] END)))"
+)
+
+
+def _contexts(cap: int) -> str:
+    numbered = NUMBERED[len(SEGMENTS) :]
+    take = "CASE WHEN a[1] + x[1] <= {room} THEN list_concat([a[1] + x[1]], a[2:], [x[2]]) ELSE a END"
+    return f"""{PLAN}{numbered},
+segs AS (SELECT doc_id, list(lower(content) ORDER BY ord) AS low, list(length({RENDERED})::BIGINT ORDER BY ord) AS sizes, list(no ORDER BY ord) AS nos FROM numbered GROUP BY doc_id),
+searched AS (SELECT p.doc_id, p.name, p.label, p.ftype, s.sizes, s.nos, s.low, {_TERMS.replace('name,', 'p.name,').replace('label', 'p.label')} AS terms FROM plan p JOIN segs s USING (doc_id)),
+scored AS (SELECT *, list_transform(low, lambda c: len(list_filter(terms, lambda t: contains(c, t)))) AS sc FROM searched),
+queue AS (SELECT *, list_transform(range(1, len(low) + 1), lambda i: [sizes[i], i - 1]) AS entries,
+  list_transform(list_sort(list_transform(list_filter(range(1, len(low) + 1), lambda i: sc[i] > 0), lambda i: [-sc[i], i])), lambda e: [sizes[e[2]], e[2] - 1]) AS hits FROM scored),
+first AS (SELECT *, list_reduce(hits, lambda a, x: {take.format(room=cap * 7 // 10)}, [0::BIGINT]) AS h FROM queue),
+filled AS (SELECT *, list_reduce(list_filter(entries, lambda e: NOT list_contains(h[2:], e[2])), lambda a, x: {take.format(room=cap)}, h) AS f FROM first),
+contexts AS (SELECT doc_id, name, label, len(f) - 1 AS n_chosen, f[1] AS context_chars, array_to_string(list_filter(list_transform(list_sort(f[2:]), lambda o: nos[o + 1]), lambda n: n IS NOT NULL), ',') AS paragraphs FROM filled)"""
+
+
+def _discipline_sql() -> str:
+    rows = []
+    for i, d in enumerate(L.DISCIPLINES):
+        strong, weak = [t for t in d.terms if t not in L.WEAK_TERMS], [t for t in d.terms if t in L.WEAK_TERMS]
+        rows.append(f"SELECT doc_id, {i} AS ord, {_literal(d.name)} AS name, {_literal(d.code)} AS code, {_words('hay', strong)} + {_words('narrow', weak)} AS hits, {_words('hay', d.terms)} AS all_hits FROM nar")
+    return f"{_HAY}, nar AS (SELECT *, lower(concat_ws(' ', title, keywords)) AS narrow FROM hay), dis AS ({' UNION ALL '.join(rows)})"
+
+
+_DISC = _discipline_sql()
+SQL |= {
+    "lexicon_hits": f"WITH {_HAY} " + " UNION ALL ".join(f"SELECT doc_id, '{p.id}' AS id, len({_hits('hay', p.keywords)}) AS parts, {_words('hay', p.keywords)} AS words FROM hay" for p in L.PARADIGMS),
+    "recognise_scores": f"WITH {SCORES} SELECT doc_id, ord, id, round(section_hit, 6) AS section_hit, round(keyword_hit, 6) AS keyword_hit, round(object_hit, 6) AS object_hit, round(prior, 6) AS prior, round(score, 6) AS score, array_to_string(found, ', ') AS found FROM scores",
+    "recognise_primary": f"WITH {SCORES} SELECT doc_id, best AS paradigm, round(least(b, 1.0), 6) AS confidence, cross_type, b < 0.50 AS review, secondary FROM recognised",
+    "disciplines_top": f"""WITH {_DISC}, rk AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, ord) AS r FROM dis), more AS (SELECT * FROM rk WHERE r > 1 AND hits >= 2 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY r) <= 3)
+        SELECT b.doc_id, CASE WHEN b.hits = 0 THEN 'Unidentified' ELSE b.name END AS name, CASE WHEN b.hits > 0 THEN b.code END AS code, least(b.hits / 4.0, 1.0)::DOUBLE AS confidence, coalesce(m.s, '') AS secondary
+        FROM rk b LEFT JOIN (SELECT doc_id, string_agg(name, ', ' ORDER BY r) AS s FROM more GROUP BY doc_id) m USING (doc_id) WHERE b.r = 1""",
+    "directions_top": f"WITH {_DISC} SELECT doc_id, r - 1 AS rank, name AS direction, round(least(all_hits / 3.0, 1.0)::DOUBLE, 6) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY all_hits DESC, ord) AS r FROM dis WHERE all_hits >= 2) WHERE r <= 3",
+    "field_plan": f"WITH {PLAN} SELECT doc_id, ord, name, label, ftype, required, source, cross_type, strategy FROM plan",
+    "field_terms": f"WITH {_FIELDS} SELECT family, name, array_to_string({_TERMS}, ' ') AS terms FROM fields",
+    "field_context": f"WITH {_contexts(3000)} SELECT doc_id, name, label, n_chosen, context_chars, paragraphs FROM contexts",
+    "flagship": f"WITH {_contexts(60000)} SELECT doc_id, name, n_chosen, context_chars FROM contexts",
+}
