@@ -270,3 +270,153 @@ SQL |= {
     "field_context": f"WITH {_contexts(3000)} SELECT doc_id, name, label, n_chosen, context_chars, paragraphs FROM contexts",
     "flagship": f"WITH {_contexts(60000)} SELECT doc_id, name, n_chosen, context_chars FROM contexts",
 }
+
+_MS = "CASE WHEN regexp_matches({x}, '^[0-9]{{10,17}}$') THEN epoch_ms({x}::BIGINT) WHEN regexp_matches({x}, '^[0-9]{{4}}-') THEN (try_cast({x} AS TIMESTAMPTZ) AT TIME ZONE 'UTC') END"
+
+
+def stamp(x: str) -> str:
+    return _MS.format(x=trim(x))
+
+
+# Extraction results.
+_FIELD_TYPE = """'[{"name":"VARCHAR","label":"VARCHAR","ftype":"VARCHAR","source":"VARCHAR","zh":"VARCHAR","en":"VARCHAR","table":"VARCHAR","failed":"BOOLEAN","error_category":"VARCHAR","error_message":"VARCHAR","content":"VARCHAR"}]'"""
+VERSIONS = f"""versions AS (SELECT doc_id, version, max(row(field_schema, content, score, created_at)) AS n FROM digest_versions GROUP BY doc_id, version),
+fs AS (SELECT doc_id, version, from_json(CASE WHEN json_valid(n[2]) THEN n[2] ELSE '[]' END, {_FIELD_TYPE}) AS f FROM versions),
+flat AS (SELECT doc_id, version, generate_subscripts(f, 1) - 1 AS ord, unnest(f) AS x FROM fs),
+dfields AS (SELECT doc_id, version, ord, x.name AS name, x.label AS label, x.ftype AS ftype, x.source AS source, coalesce(x.zh, x.content, '') AS zh, coalesce(x.en, '') AS en, x."table" AS "table",
+  coalesce(x.failed, false) AS failed, coalesce(x.error_category, '') AS error_category, coalesce(x.error_message, '') AS error_message FROM flat),
+top AS (SELECT doc_id, max(version) AS version FROM versions GROUP BY doc_id)"""
+_SKIP = f"(failed OR {trim('zh')} IN ('', '引用缺失'))"
+_FAIL_LABEL = "CASE WHEN error_category = 'config' OR regexp_matches(error_message, '401|403|API Key|鉴权|未授权|Unauthorized|无效') THEN '接口鉴权失败' WHEN error_category = 'network' THEN '网络不可达' WHEN error_category = 'llm' THEN '模型返回异常' WHEN error_category = 'internal' THEN '处理出错' ELSE '拆解失败' END"
+
+
+def clean(x: str) -> str:
+    t = trim(x)
+    unfenced = trim(f"regexp_replace(regexp_replace(regexp_replace({t}, '^(?:```json)+', ''), '^(?:```)+', ''), '(?:```)+$', '')")
+    return f"coalesce(CASE WHEN starts_with({t}, '{{') AND contains({t}, '\"zh\"') AND json_valid({t}) THEN {trim(f'''json_extract_string({t}, '$.zh')''')} END, {unfenced})"
+
+
+_ORD = "0-9一二三四五六七八九十"
+_MARKERS = (
+    r"^[-*•·–]", r"^[①②③④⑤⑥⑦⑧⑨⑩]", rf"(?s)^(?:\([{_ORD}]+\)|（[{_ORD}]+）|\[[{_ORD}]+\]|【[{_ORD}]+】)", rf"^[{_ORD}]+[、.．)）]",
+)
+
+
+def strip_marker(x: str) -> str:
+    t = ltrim(x)
+    tests = [f"regexp_matches({t}, '{_MARKERS[0]}')", f"regexp_matches({t}, '{_MARKERS[1]}')", f"regexp_matches({t}, '{_MARKERS[2]}.')", f"regexp_matches({t}, '{_MARKERS[3]}([^0-9]|$)')"]
+    return "CASE " + " ".join(f"WHEN {test} THEN {ltrim(f'''regexp_replace({t}, '{m}', '')''')}" for test, m in zip(tests, _MARKERS)) + f" ELSE {t} END"
+
+
+def count_markers(x: str) -> str:
+    return f"len(list_filter(list_transform(string_split_regex({x}, '[；;]'), lambda p: {trim('p')}), lambda s: s <> '' AND ({strip_marker('s')}) <> s))"
+
+
+def normalize_list(x: str) -> str:
+    t = trim(x)
+    cited = f"(length({t}) - length(replace({t}, '[段落', ''))) // 3 + (length({t}) - length(replace({t}, '[Paragraph', ''))) // 10"
+    pieces = f"CASE WHEN NOT contains({t}, chr(10)) AND ({cited} >= 2 OR {count_markers(t)} >= 2) THEN string_split_regex({t}, '[；;]') ELSE string_split_regex({t}, '\\r?\\n') END"
+    return f"array_to_string(list_filter(list_transform({pieces}, lambda l: {strip_marker('l')}), lambda y: y <> ''), chr(10))"
+
+
+_DIGEST_MD = f"""dmd AS (SELECT t.doc_id, '# ' || coalesce(any_value(d.title), '') || chr(10) || chr(10) || coalesce(string_agg('## ' || label || chr(10) || chr(10) || CASE WHEN coalesce("table", '') <> '' THEN "table" || chr(10) ELSE '' END || ({clean('zh')}) || chr(10)
+  || CASE WHEN ({clean('en')}) <> '' THEN chr(10) || '_English:_ ' || ({clean('en')}) || chr(10) ELSE '' END || chr(10), '' ORDER BY ord) FILTER (label IS NOT NULL AND NOT {_SKIP}), '') AS markdown
+  FROM top t LEFT JOIN dfields f USING (doc_id, version) LEFT JOIN documents d ON d.id = t.doc_id GROUP BY t.doc_id)"""
+
+# Bilingual rows, the last load of each segment.
+NEWEST = "newest AS (SELECT doc_id, seg_index, n[3] AS kind, n[4] AS original, n[5] AS translated, n[6] AS target_lang FROM (SELECT doc_id, seg_index, max(row(loaded_at, seg_id, kind, original, translated, target_lang)) AS n FROM bilingual_segments GROUP BY doc_id, seg_index))"
+
+
+def sentence_count(x: str) -> str:
+    around = rf"string_split_regex({x}, '(?s)\$\$.*?\$\$|\$[^$\n]+\$')"
+    cut = lambda c: f"CASE WHEN regexp_matches({c}, '[\\x{{4e00}}-\\x{{9fff}}]') THEN {_HAN_CUT.replace('(c,', f'({c},')} ELSE {_LATIN_CUT.replace('(c,', f'({c},')} END"
+    pieces = f"list_filter(list_transform(flatten(list_transform(list_transform({around}, lambda ch: {trim('ch')}), lambda c: string_split({cut('c')}, chr(30)))), lambda s: {trim('s')}), lambda s: s <> '')"
+    return rf"(len({pieces}) + len(regexp_extract_all({x}, '(?s)\$\$.*?\$\$|\$[^$\n]+\$')))"
+
+
+_META = ["请补充", "请提供", "请输入", "请告诉我", "我没有收到", "翻译要求", "正文内容", "完整文本", "无法翻译", "只提供了", "请您提供", "请发送", "请上传", "需要翻译的", "请重新发送", "我无法翻译", "仅包含图片引用", "没有需要翻译", "您提供的内容"]
+ASSEMBLED = f"{NEWEST}, full_texts AS (SELECT doc_id, count(*) AS n_segments, string_agg(coalesce(translated, original), chr(10) || chr(10) ORDER BY seg_index) AS full_text FROM newest GROUP BY doc_id)"
+
+# Tasks, the last row of each.
+TASKS = f"latest AS (SELECT id, n[2] AS doc_id, n[3] AS type, n[4] AS status, n[5] AS progress, n[6] AS stage, n[7] AS error, n[8] AS created_at, n[9] AS updated_at, n[10] AS detail FROM (SELECT id, max(row(coalesce({stamp('updated_at')}, {stamp('created_at')}), doc_id, type, status, progress, stage, error, created_at, updated_at, detail)) AS n FROM tasks GROUP BY id))"
+_DURATION = f"greatest(date_diff('millisecond', {stamp('created_at')}, {stamp('updated_at')}), 0)"
+
+_KEPT_NAME = r"""substring(regexp_replace({x}, '[/\\:*?"<>|\x00-\x1f\x{7f}-\x{9f}]', '', 'g'), 1, 120)"""
+
+
+def sanitize(x: str) -> str:
+    bare = trim("regexp_replace(" + trim(_KEPT_NAME.replace("{x}", x)) + ", '[. ]+$', '')")
+    reserved = ", ".join(f"'{r}'" for r in ["CON", "PRN", "AUX", "NUL", *(f"COM{i}" for i in range(1, 10)), *(f"LPT{i}" for i in range(1, 10))])
+    return f"CASE WHEN {bare} = '' THEN '未命名笔记' WHEN upper({bare}) IN ({reserved}) THEN {bare} || '_' ELSE {bare} END"
+
+
+def shorten(x: str, most: int) -> str:
+    head = f"substring({x}, 1, {most})"
+    before = f"regexp_extract({head}, '(?s)^(.*)[ ,，:：]', 1)"
+    return f"CASE WHEN length({x}) <= {most} THEN {x} ELSE {rtrim(f'''CASE WHEN regexp_matches({head}, '[ ,，:：]') AND strlen({before}) >= {most // 2} THEN {before} ELSE {head} END''')} || '…' END"
+
+
+_TITLE = "coalesce(title, '')"
+_NAME = f"concat_ws('-', '08-24', nullif({shorten(trim(_TITLE), 48)}, ''), nullif({trim('''string_split_regex(authors, '[,;，；、]')[1]''')}, ''), year::VARCHAR, '阅读笔记')"
+_BARE_TITLE = r"regexp_replace(lower({x}), '[\t-\r\x{85}\p{Z}\p{P}\p{S}]', '', 'g')"
+
+_PARTS = f"""parts AS (SELECT x.doc_id, coalesce(x.title, '') AS title, d.md AS original, f.full_text AS translated, m.markdown AS digest FROM documents x JOIN docs d ON d.doc_id = x.doc_id
+  LEFT JOIN full_texts f ON f.doc_id = x.doc_id LEFT JOIN dmd m ON m.doc_id = x.id)"""
+_N2 = "chr(10) || chr(10)"
+
+SQL |= {
+    "digest_fields": f'WITH {VERSIONS} SELECT doc_id, version, ord, name, label, ftype, source, zh, en, "table", failed, error_category, error_message FROM dfields',
+    "latest_digest": f"WITH {VERSIONS} SELECT doc_id, version, n[3] AS score FROM versions JOIN top USING (doc_id, version)",
+    "next_version": f"WITH {VERSIONS} SELECT d.id AS doc_id, coalesce(t.version, 0) + 1 AS next_version FROM documents d LEFT JOIN top t ON t.doc_id = d.id",
+    "version_list": f"WITH {VERSIONS} SELECT v.doc_id, v.version, {stamp('v.n[4]')} AS created, len(f)::BIGINT AS n_fields FROM versions v JOIN fs USING (doc_id, version)",
+    "rollback_versions": f"WITH {VERSIONS}, firsts AS (SELECT doc_id, min(version) AS version FROM versions GROUP BY doc_id) SELECT v.doc_id, t.version + 1 AS version, '' AS field_schema, 0.0::DOUBLE AS score, length(v.n[2])::BIGINT AS content_chars FROM versions v JOIN firsts USING (doc_id, version) JOIN top t ON t.doc_id = v.doc_id",
+    "failure_rollup": f"""WITH {VERSIONS}, lab AS (SELECT *, {_SKIP} AS skip, {_FAIL_LABEL} AS label2 FROM dfields JOIN top USING (doc_id, version)),
+        c AS (SELECT doc_id, count(*) FILTER (skip) AS n_skipped, count(*) FILTER (skip AND failed AND label2 = '接口鉴权失败') AS credential, count(*) FILTER (skip AND failed AND label2 = '网络不可达') AS network, count(*) FILTER (skip AND failed AND label2 = '模型返回异常') AS llm FROM lab GROUP BY doc_id)
+        SELECT *, n_skipped - credential - network - llm AS missing FROM c""",
+    "failure_labels": f"WITH {VERSIONS} SELECT {_FAIL_LABEL} AS label, error_category = 'config' OR regexp_matches(error_message, '401|403|API Key|api key|API key|鉴权|无效|未授权|Unauthorized|invalid_api_key') AS credential, count(*) AS n FROM dfields WHERE failed GROUP BY ALL",
+    "digest_markdown": f"WITH {VERSIONS}, {_DIGEST_MD} SELECT doc_id, markdown FROM dmd",
+    "digest_citations": f"WITH {VERSIONS} SELECT name, ftype, count(*) AS n, count(*) FILTER (contains(zh, '引用缺失') OR contains(zh, '[段落') OR contains(zh, '段落 ') OR contains(zh, '（段落')) AS n_cited, count(*) FILTER ({_SKIP}) AS n_skipped FROM dfields GROUP BY name, ftype",
+    "list_fields": f"WITH {VERSIONS} SELECT doc_id, version, name, {normalize_list('zh')} AS items, {count_markers('zh')} AS n_markers FROM dfields",
+    "authors_as_list": f"SELECT doc_id, {normalize_list('a')} AS items FROM (SELECT doc_id, '1. ' || replace(authors, ';', '; - ') AS a FROM documents WHERE authors IS NOT NULL)",
+    "bilingual": f"WITH {SEGMENTS}, {NEWEST} SELECT s.doc_id, s.seg_index, s.kind, length(s.content)::BIGINT AS n_original, coalesce(n.translated, '') AS translated FROM seg s LEFT JOIN newest n ON n.doc_id = s.doc_id AND n.seg_index = s.seg_index",
+    "pending_segments": f"WITH {SEGMENTS}, {NEWEST} SELECT s.doc_id, s.kind, count(*) AS n_pending FROM seg s WHERE NOT EXISTS (SELECT 1 FROM newest n WHERE n.doc_id = s.doc_id AND n.seg_index = s.seg_index AND n.translated IS NOT NULL) GROUP BY s.doc_id, s.kind",
+    "assembled_translation": f"WITH {ASSEMBLED} SELECT doc_id, n_segments, full_text FROM full_texts",
+    "readable_translation": f"WITH {NEWEST} SELECT doc_id, string_agg(translated, chr(10) || chr(10) ORDER BY seg_index) AS text FROM newest WHERE {trim('translated')} <> '' GROUP BY doc_id",
+    "checkpoint_rows": f"WITH {NEWEST} SELECT doc_id, seg_index::BIGINT AS seg_index, length(translated)::BIGINT AS n_chars FROM newest WHERE translated IS NOT NULL",
+    "normalized_translations": rf"""WITH {NEWEST} SELECT doc_id, seg_index::BIGINT AS seg_index, kind, CASE WHEN kind IN ('table', 'code') THEN {trim('translated')} WHEN kind = 'toc' THEN array_to_string(list_filter(list_transform(string_split_regex(translated, '\r?\n'), lambda l: {trim('l')}), lambda l: l <> ''), '  ' || chr(10))
+        ELSE regexp_replace({trim('translated')}, '{_S}+', ' ', 'g') END AS normalized, {' OR '.join(f"contains(translated, '{m}')" for m in _META)} AS meta_reply FROM newest WHERE translated IS NOT NULL""",
+    "image_notes": f"""WITH {SEGMENTS}, p AS (SELECT *, {trim(f"regexp_extract(content, '{_IMAGE}', 1)")} AS p FROM seg), c AS (SELECT *, CASE WHEN kind = 'image_caption' AND contains(content, '![') THEN CASE WHEN p <> '' AND NOT starts_with(p, 'http') THEN p ELSE '' END END AS here FROM p)
+        SELECT doc_id, seg_index, nullif(last_value(here IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY seg_index ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '') AS image FROM c""",
+    "sentence_pairs": f"""WITH {NEWEST}, sized AS (SELECT doc_id, seg_index::BIGINT AS seg_index, {sentence_count('original')} AS n, {sentence_count("coalesce(translated, '')")} AS m FROM newest WHERE kind = 'paragraph')
+        SELECT doc_id, seg_index, i AS orig_no, least(i, m - 1) AS trans_no FROM (SELECT *, unnest(range(0, n)) AS i FROM sized WHERE n > 0 AND m > 0)""",
+    "glossary_lines": f"WITH t AS (SELECT DISTINCT lower({trim('language')}) AS language, {trim('term')} AS term, {trim('translation')} AS translation FROM term_glossary WHERE term IS NOT NULL AND translation IS NOT NULL) SELECT language, string_agg(term || ' = ' || translation, chr(10) ORDER BY term, translation) AS lines FROM t GROUP BY language",
+    "live_segments": "SELECT doc_id, seg_index::BIGINT AS seg_index, length(n[3])::BIGINT AS n_chars FROM (SELECT doc_id, seg_index, max(row(coalesce(translated, '') <> '', loaded_at, coalesce(translated, ''))) AS n FROM bilingual_segments GROUP BY doc_id, seg_index)",
+    "task_list": f"WITH {TASKS} SELECT t.id, coalesce(d.title, '未知文献') AS title, t.type, t.status, t.progress, t.stage, coalesce({stamp('t.updated_at')}, {stamp('t.created_at')}) AS happened FROM latest t LEFT JOIN documents d ON d.id = t.doc_id",
+    "task_counts": f"WITH {TASKS} SELECT status, count(*) AS n FROM latest GROUP BY status UNION ALL SELECT 'all', count(*) FROM latest",
+    "task_times": f"WITH {TASKS} SELECT id, {stamp('created_at')} AS created, {stamp('updated_at')} AS updated FROM latest",
+    "task_stats": f"WITH {TASKS}, d AS (SELECT type AS event, {_DURATION} AS ms FROM latest) SELECT event, count(*) AS n, coalesce(sum(ms), 0)::BIGINT AS total_ms, round(coalesce(sum(ms), 0) / count(*), 3) AS mean_ms FROM d GROUP BY event",
+    "event_stats": "WITH e AS (SELECT event_type AS event, round(coalesce(value, 0.0) * 100)::BIGINT AS ms FROM events) SELECT event, count(*) AS n, sum(ms)::BIGINT AS total_ms, round(sum(ms) / count(*), 3) AS mean_ms FROM e GROUP BY event",
+    "diagnostics": f"WITH {TASKS} SELECT (SELECT count(*) FROM documents) AS n_documents, count(*) FILTER (status = 'failed') AS n_failed, count(*) FILTER (status IN ('running', 'queued')) AS n_active FROM latest",
+    "tasks_after_exit": f"WITH {TASKS} SELECT CASE WHEN status IN ('running', 'queued') THEN 'failed' ELSE status END AS status, coalesce(stage = '已取消', false) AS cancelled, count(*) AS n FROM latest GROUP BY ALL",
+    "tasks_unfinished": f"WITH {TASKS} SELECT id, status FROM latest WHERE coalesce(status NOT IN ('done', 'failed'), true)",
+    "parse_regression": f"WITH {TASKS}, d AS (SELECT status, {_DURATION} AS ms FROM latest WHERE type = 'parse' AND status IN ('done', 'failed')) SELECT count(*) AS n, count(*) FILTER (status = 'failed') AS n_failed, round(count(*) FILTER (status = 'done') / count(*), 6) AS rate, round(avg(ms / 1000), 3) AS mean_s, count(*) FILTER (status = 'done') / count(*) >= 0.95 AS passed FROM d",
+    "document_list": f"SELECT doc_id, title, status, read_status, {stamp('created_at')} AS created FROM documents",
+    "unread_readable": "SELECT doc_id, status FROM documents WHERE coalesce(read_status, 'unread') = 'unread' AND status IN ('parsed', 'translated', 'digested')",
+    "imported_paths": r"WITH p AS (SELECT doc_id, regexp_replace(regexp_replace(file_path, '^\\\\\?\\', ''), '/+', '/', 'g') AS path FROM documents WHERE file_path IS NOT NULL), f AS (SELECT path, min(doc_id) AS first_doc FROM p GROUP BY path HAVING count(*) > 1) SELECT doc_id, first_doc FROM p JOIN f USING (path) WHERE doc_id <> first_doc",
+    "import_checks": r"SELECT CASE WHEN file_path IS NULL OR lower(regexp_extract(file_path, '\.([^./\\]+)$', 1)) <> 'pdf' THEN 'E-1001' END AS code, count(*) AS n FROM documents GROUP BY ALL",
+    "cleared_documents": "WITH chosen AS (SELECT DISTINCT id FROM documents WHERE status = 'translated') SELECT 'pending' AS what, count(*) AS n FROM documents WHERE status IN ('pending', 'translated') UNION ALL SELECT 'tasks', count(*) FROM tasks WHERE doc_id IS NULL OR doc_id NOT IN (SELECT id FROM chosen) UNION ALL SELECT 'versions', count(*) FROM digest_versions WHERE doc_id IS NULL OR doc_id NOT IN (SELECT id FROM chosen)",
+    "note_names": f"SELECT doc_id, note, {sanitize('note')} AS file_name, short FROM (SELECT doc_id, {_NAME} AS note, {shorten(_TITLE, 20)} AS short FROM documents)",
+    "masked_keys": "SELECT doc_id, CASE WHEN length(id) <= 8 THEN '***' ELSE substring(id, 1, 6) || '***' END AS masked, CASE WHEN length(source) <= 8 THEN '***' ELSE substring(source, 1, 6) || '***' END AS masked_source, base64(encode(source)) AS coded FROM documents",
+    "retitled_headings": f"WITH {LINES}, titles AS (SELECT doc_id, arg_min({trim(chr(114) + 'egexp_replace(t, ' + chr(39) + '^#+' + chr(39) + ', ' + chr(39) * 2 + ')')}, pos) FILTER (starts_with(t, '#')) AS h FROM lines GROUP BY doc_id) SELECT t.doc_id, coalesce(CASE WHEN h <> '' AND strlen(h) <= 200 THEN {_BARE_TITLE.replace('{x}', 'h')} <> '' AND {_BARE_TITLE.replace('{x}', 'h')} = {_BARE_TITLE.replace('{x}', 'd.title')} END, false) AS same FROM titles t JOIN documents d USING (doc_id)",
+    "replace_counts": "SELECT doc_id AS name, (length(text) - length(replace(text, 'the', ''))) // 3 AS n_replaced, length(replace(text, 'the', 'THE'))::BIGINT AS n_chars FROM documents WHERE contains(text, 'the')",
+    "note_excerpts": f"WITH {NEWEST} SELECT doc_id, count(*) AS n, string_agg(original, chr(10) || '---' || chr(10) || chr(10) ORDER BY seg_index) AS note FROM newest WHERE kind = 'image_caption' GROUP BY doc_id",
+    "export_markdown": f"""WITH {MD}, {ASSEMBLED}, {VERSIONS}, {_DIGEST_MD}, {_PARTS}, scopes(scope, o, t, g) AS (VALUES ('all', true, true, true), ('no-original', false, true, true), ('bilingual', true, true, false), ('translated', false, true, false), ('digest', false, false, true))
+        SELECT doc_id, scope, '# ' || title || {_N2} || '> exported' || {_N2} || CASE WHEN o AND original IS NOT NULL THEN '---' || {_N2} || '## 原文' || {_N2} || original || {_N2} ELSE '' END
+          || CASE WHEN t AND translated IS NOT NULL THEN '---' || {_N2} || '## 译文' || {_N2} || translated || {_N2} ELSE '' END || CASE WHEN g AND digest IS NOT NULL THEN '---' || {_N2} || '## AI 拆解' || {_N2} || digest || chr(10) ELSE '' END AS markdown FROM parts, scopes""",
+    "table_html": rf"""WITH {SEGMENTS}, r AS (SELECT doc_id, seg_index, content, list_filter(list_transform(string_split(content, chr(10)), lambda l: {trim('l')}), lambda l: starts_with(l, '|') AND NOT regexp_matches(l, '^\|[\s:|-]+\|$')) AS rs FROM seg WHERE kind = 'table'),
+        h AS (SELECT *, list_transform(rs, lambda r, i: '<tr>' || array_to_string(list_transform(string_split(regexp_replace(regexp_replace(r, '^\|', ''), '\|$', ''), '|'), lambda c: CASE WHEN i = 1 THEN '<th>' || {trim('c')} || '</th>' ELSE '<td>' || {trim('c')} || '</td>' END), '') || '</tr>') AS hs FROM r)
+        SELECT doc_id, seg_index, CASE WHEN len(rs) < 2 THEN content ELSE '<table><thead>' || hs[1] || '</thead><tbody>' || array_to_string(hs[2:], '') || '</tbody></table>' END AS html FROM h""",
+    "http_errors": """WITH e AS (SELECT event_id, [400, 401, 403, 404, 429, 500, 503, 418][(event_id % 8 + 1)::INT]::BIGINT AS status, props FROM events)
+        SELECT event_id, status, status = 429 OR status >= 500 AS retryable, CASE status WHEN 400 THEN 'too_long_or_malformed' WHEN 401 THEN 'bad_key' WHEN 403 THEN 'no_access_or_balance' WHEN 404 THEN 'wrong_address_or_model' WHEN 429 THEN 'too_frequent' ELSE CASE WHEN status >= 500 THEN 'server_trouble' ELSE 'unknown' END END AS code,
+          CASE WHEN json_type(props, '$.message') = 'VARCHAR' THEN json_extract_string(props, '$.message') WHEN trim(props) = '' THEN NULL ELSE CASE WHEN length(props) > 200 THEN substring(props, 1, 200) || '…' ELSE props END END AS detail FROM e""",
+}
