@@ -104,6 +104,8 @@ def grams_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Keys of all grams of the texts, and the index of the text of each: trigrams,
     and for wide scripts single letters (two spaces of nought before them) and the
     script (two and its number)."""
+    if not texts:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     joined = "".join("\x01 " + t.replace("\x01", " ") + " " for t in texts)
     letters = _fold_table()[np.frombuffer(joined.encode("utf-32-le", "replace"), np.uint32)]
     letters = letters[np.concatenate(([True], (letters[1:] != _SPACE) | (letters[:-1] != _SPACE)))].astype(np.uint64)

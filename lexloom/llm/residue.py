@@ -128,14 +128,18 @@ def fit(df: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_ROWS, t
     def drawn(n: int) -> Column:
         return F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(min(1.0, n / rows) * (1 << 30))
 
-    sample = [r[0] for r in texts.filter(drawn(sample_rows)).collect()]
+    signed_at_all = F.col("text").rlike(f"{_SLOT}|(?i:{_SCRIPT_SIGNS}|{_ERROR_SIGNS}|{_FILLER_SIGNS})")
+    drawn_rows = texts.filter(drawn(sample_rows)).select("text", signed_at_all.alias("signed")).collect()
+    sample = [r.text for r in drawn_rows]
     short = texts.filter((F.length("text") <= TRUSTED_CHARS) & drawn(searched_rows)).withColumn("kind", trusted_kind(F.col("text"))).filter("kind IS NOT NULL")
     signed = short.distinct().orderBy(F.xxhash64("text"), "text").limit(trusted_rows * len(KINDS)).collect()
 
     common, cut = Counter(), [[features(p) for p in passages(t)] for t in sample]
-    for record in cut:
-        common.update(set().union(*record) if record else ())
-    often = max(5.0, COMMON * len(sample))
+    # Ordinary text is what stands in records without any sign: residue may be frequent.
+    plain = [record for record, row in zip(cut, drawn_rows) if record and not row.signed]
+    for record in plain:
+        common.update(set().union(*record))
+    often = max(5.0, COMMON * len(plain))
 
     def prose(found: set[str]) -> bool:
         # Pairs of letters vary more than words do.
@@ -149,10 +153,12 @@ def fit(df: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_ROWS, t
         if not any(map(prose, record)):
             for found in record:
                 trusted[kind].update(found)
+    # A record with a sign and no prose is residue as a whole, and no background.
     back = Counter()
-    for record in cut:
-        for found in record:
-            back.update(found)
+    for record, row in zip(cut, drawn_rows):
+        if not row.signed or any(map(prose, record)):
+            for found in record:
+                back.update(found)
     if not any(trusted.values()):
         return {}
     # The same passages come again in every round: count each set of features once.
