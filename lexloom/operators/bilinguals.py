@@ -39,16 +39,30 @@ def pending(segments: DataFrame, done: DataFrame) -> DataFrame:
 def assemble(rows: DataFrame) -> DataFrame:
     """(doc_id, n_segments, full_text): translations in order, originals where one is
     missing, parted by blank lines."""
-    text = F.coalesce("translated", "original")
-    ordered = F.array_sort(F.collect_list(F.struct("seg_index", text.alias("t"))))
-    return rows.groupBy("doc_id").agg(F.count("*").alias("n_segments"), F.array_join(F.transform(ordered, lambda x: x["t"]), "\n\n").alias("full_text"))
+    joined = in_order(rows.select("doc_id", "seg_index", F.coalesce("translated", "original").alias("t")))
+    return joined.select("doc_id", F.col("n").alias("n_segments"), F.col("text").alias("full_text"))
+
+
+#: Segments of a document that are joined in one go.
+VOLUME = 512
+
+
+def in_order(rows: DataFrame, between: str = "\n\n") -> DataFrame:
+    """(doc_id, n, text): the texts ``t`` of a document by ``seg_index``. Volumes of a
+    document are joined first, spread over all partitions, and the volumes after that:
+    a document with a large part of all rows is never gathered row by row."""
+    volume = F.floor(F.col("seg_index") / VOLUME)
+    ordered = F.array_sort(F.collect_list(F.struct("seg_index", F.coalesce("t", F.lit("")).alias("t"), F.col("t").isNotNull().alias("said"))))
+    said = lambda a: F.transform(F.filter(a, lambda x: x["said"]), lambda x: x["t"])
+    parts = rows.groupBy("doc_id", volume.alias("v")).agg(F.count("*").alias("n"), ordered.alias("a")).select("doc_id", "v", "n", F.array_join(said("a"), between).alias("t"), (F.size(said("a")) > 0).alias("said"))
+    volumes = F.array_sort(F.collect_list(F.struct("v", "t", "said")))
+    return parts.groupBy("doc_id").agg(F.sum("n").alias("n"), volumes.alias("a")).select("doc_id", "n", F.array_join(said("a"), between).alias("text"))
 
 
 def readable(rows: DataFrame) -> DataFrame:
     """(doc_id, text): translations that say something, in order."""
     kept = rows.filter(T.trim_all(F.col("translated")) != "")
-    ordered = F.array_sort(F.collect_list(F.struct("seg_index", "translated")))
-    return kept.groupBy("doc_id").agg(F.array_join(F.transform(ordered, lambda x: x["translated"]), "\n\n").alias("text"))
+    return in_order(kept.select("doc_id", "seg_index", F.col("translated").alias("t"))).select("doc_id", "text")
 
 
 def write_checkpoint(rows: DataFrame) -> DataFrame:

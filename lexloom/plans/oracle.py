@@ -420,3 +420,18 @@ SQL |= {
         SELECT event_id, status, status = 429 OR status >= 500 AS retryable, CASE status WHEN 400 THEN 'too_long_or_malformed' WHEN 401 THEN 'bad_key' WHEN 403 THEN 'no_access_or_balance' WHEN 404 THEN 'wrong_address_or_model' WHEN 429 THEN 'too_frequent' ELSE CASE WHEN status >= 500 THEN 'server_trouble' ELSE 'unknown' END END AS code,
           CASE WHEN json_type(props, '$.message') = 'VARCHAR' THEN json_extract_string(props, '$.message') WHEN trim(props) = '' THEN NULL ELSE CASE WHEN length(props) > 200 THEN substring(props, 1, 200) || '…' ELSE props END END AS detail FROM e""",
 }
+
+_ENGLISH = "'the', 'of', 'and', 'to', 'was', 'were', 'for', 'in', 'that', 'with', 'is', 'than', 'by', 'at'"
+_TASK = r"""CASE WHEN kind = 'heading' THEN 'Give the Chinese title of this section heading, nothing else.' || chr(10) || chr(10)
+  WHEN kind = 'reference' THEN 'Translate only the title in this reference into Chinese; keep names, journal, year, pages and numbers.' || chr(10) || chr(10)
+  WHEN kind = 'image_caption' OR captioned THEN CASE WHEN contains(content, '![') THEN 'Keep the image syntax; translate only the other words.' || chr(10) || chr(10) ELSE '' END ELSE '' END"""
+SQL |= {
+    "paper_language": rf"""WITH c AS (SELECT doc_id, substring(text, 1, 2000) AS c FROM documents WHERE length(trim(text)) > 0),
+        n AS (SELECT doc_id, length(regexp_replace(c, '[^\p{{L}}]', '', 'g')) AS letters, length(regexp_replace(c, '[^\x{{4e00}}-\x{{9fff}}]', '', 'g')) AS han, length(regexp_replace(c, '[^\x{{3040}}-\x{{30ff}}]', '', 'g')) AS kana, string_split_regex(lower(c), '[^\p{{L}}]+') AS ws FROM c),
+        e AS (SELECT *, len(list_filter(ws, lambda w: w IN ({_ENGLISH}))) AS english FROM n)
+        SELECT doc_id, CASE WHEN han > 0.4 * letters AND kana * 20 < letters THEN '中文' WHEN english >= 2 AND english * 12 >= len(ws) THEN '英文' ELSE '其他' END AS language FROM e""",
+    "translation_requests": rf"""WITH {SEGMENTS}, c AS (SELECT *, kind = 'image_caption' AND {trim(f"regexp_replace(content, '{_IMAGE}', '', 'g')")} = '' AS passthrough, regexp_matches({ltrim('content')}, '^(Figure|Fig\.|Table|Tab\.|Schema|Diagram|Photo|图|表|插图)') AS captioned FROM seg)
+        SELECT doc_id, seg_index, passthrough, CASE WHEN NOT passthrough THEN length('Answer with the translation alone.' || chr(10) || chr(10) || {_TASK} || content)::BIGINT END AS n_chars FROM c""",
+    "field_prompts": f"""WITH {PLAN} SELECT doc_id, count(*) AS n_prompts, sum(length('Field: ' || label || chr(10) || 'Answer: ' || CASE ftype WHEN 'table' THEN 'a markdown table' WHEN 'list[string]' THEN 'an array, an item an element' WHEN 'enum' THEN 'one of the given values' WHEN 'integer' THEN 'a whole number' ELSE 'a short passage' END
+          || chr(10) || 'Cite paragraphs as [段落 N]; answer 引用缺失 where none supports it.' || chr(10) || 'Reply with one JSON object: {{"zh": ..., "en": ..., "table": ...}}'))::BIGINT AS n_chars FROM plan GROUP BY doc_id""",
+}
