@@ -31,7 +31,7 @@ KINDS = ("placeholder", "filler", "error_page", "script_notice")
 #: Bounds of the sample the model is fitted on: records in all, trusted records for each kind.
 SAMPLE_ROWS, TRUSTED_ROWS = 4_000, 3_000
 #: Trusted records are sought among this many records, drawn by hash.
-SEARCHED_ROWS = 200_000
+SEARCHED_ROWS = 40_000
 #: A trusted record is at most this long.
 TRUSTED_CHARS = 600
 #: A feature of this share of the sampled records belongs to ordinary text.
