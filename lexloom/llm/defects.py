@@ -37,13 +37,13 @@ STOCK = 3
 _LETTER = re.compile(r"[^\W_]")
 _REFUSAL = re.compile(
     r"(?i)\b(?:sorry|apolog|unfortunately)\w*\b.{0,60}\b(?:not|n't|cannot|declin|outside|unable)|\b(?:can(?:no|')t|cannot|unable to|not able to|won't be|will not be|refuse to)\b.{0,40}\b(?:help|translat|assist|provid|render|process|comply|request)"
-    r"|\b(?:request|passage|content|text)\b.{0,40}\b(?:declined|refused|withheld|filtered|blocked|falls outside)|\bas an? (?:automated|ai|language)\b|safety (?:filter|polic)|human translator"
+    r"|\b(?:request|passage|content|text|output|reply|response|translation)\b.{0,40}\b(?:declined|refused|withheld|filtered|blocked|removed|falls outside)|content filter|\bas an? (?:automated|ai|language)\b|safety (?:filter|polic)|human translator"
     r"|无法.{0,6}(?:翻译|处理|提供|协助|完成)|不能.{0,8}(?:提供|处理|翻译|协助)|不予(?:翻译|处理|提供)|(?:拒绝|过滤).{0,12}|超出了?.{0,6}(?:范围|协助)|自动助手|人工译者|未生成译文|使用规定|安全策略"
 )
 _APOLOGY = re.compile(r"(?i)^[（(\[]?(?:i'm sorry|sorry|apolog|unfortunately|as an|after checking|request declined|抱歉|对不起|很遗憾，(?!关于)|经检查|作为|不予|此内容|该请求|这段|根据使用|内容已)")
 _INTRO = re.compile(r"^\s*(?:翻译结果|译文|翻译|翻譯|translation|translated text|here is the translation)\s*[:：]\s*", re.I)
 _END_MARK = re.compile(r"(?:[.!?。！？｡]|…|\.\.\.)[\s\"”“»›’'」』）)\]】]*$")
-_CARRIED = re.compile(r"[A-Za-z]{4,}-?\d+|\d[\d.,   ]*\d|\d|[A-Z][a-z]{4,}")
+_CARRIED = re.compile(r"[A-Za-z]{4,}-?\d+|\d+(?:[.,\u00a0\u2009\u202f]\d+)*|[A-Z][a-z]{4,}")
 _NOT_WORD = re.compile(r"[\W_]+")
 
 
@@ -118,7 +118,7 @@ def votes(kind: str, original: str | None, translated: str | None, target: str,
     in_response, in_prompt = copied(original, translated)
     exact = squeeze(original) == squeeze(translated)
     long = kind == "paragraph"
-    refuses = wording and (opening or stock >= STOCK or kept <= 0)
+    refuses = (wording and (opening or stock >= STOCK or kept <= 0)) or (kind != "heading" and stock >= STOCK and kept == 0)
     same = given == source and given is not None
     copy_like = exact or (in_response >= 0.75 and in_prompt >= 0.5 if long else min(in_response, in_prompt) >= 0.8)
     if kind == "heading" and given == target:
@@ -126,7 +126,8 @@ def votes(kind: str, original: str | None, translated: str | None, target: str,
         copy_like, in_prompt = False, 0.0
     third = given is not None and given not in (target, source) and (given_lead >= 0.12 or long)
     ended = bool(_END_MARK.search(translated.strip()))
-    open_end = not ended and (translated.rstrip()[-1:] in ",，、;；:：(（" or len(sentences._depths(translated)) * 2 != sum(c in '"“”«»「」（）()' for c in translated) or bool(re.search(r"[^\W\d_]$", translated.rstrip())))
+    last = translated.rstrip()[-1:]
+    open_end = not ended and (last.isalnum() or last in ",，、;；:：-–—([（【「“" or len(sentences._depths(translated)) * 2 != sum(c in '"“”«»「」（）()[]' for c in translated))
     return {
         "empty": (0, 0, int(len(translated.strip()) <= 1)),
         "refusal": (int(wording), int(opening), int(kind != "heading" and stock >= STOCK), -1 if kept < 0 else int(kept == 0)) if not (copy_like and not refuses) else (int(wording), 0, 0, 0),

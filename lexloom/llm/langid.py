@@ -38,11 +38,13 @@ CHUNK = 1_500_000
 
 #: Frequent short words that tell languages of one script apart.
 FUNCTION_WORDS = {
-    "en": "the of and to was were for in that with is than from by at this which are be as it",
-    "de": "der die das und den von für wurde auf ein mit dem ist nicht im wir zu eine sich des zum",
-    "fr": "le la les des et une du pour dans est nous sur qui par au un ne pas plus cette",
-    "es": "el la los las se en una para del que con por no su más un al como es sobre",
+    "en": "the of and to was were for in that with is than from by at this which are be as it about not on should their",
+    "de": "der die das und den von für wurde auf ein mit dem ist nicht im wir zu eine sich des zum sollten auch aus als bei nach über kein sind haben wenn dieser zwischen nur usw",
+    "fr": "le la les des et une du pour dans est nous sur qui par au un ne pas plus cette nous aux avec entre sont ce il",
+    "es": "el la los las se en una para del que con por no su más un al como es sobre entre desde hasta deberían lo",
 }
+#: Letters that one of those languages has alone.
+OWN_LETTERS = {"en": "", "de": "äöüß", "fr": "çœèêàùëîâô", "es": "ñ¿¡óíúª"}
 #: Words and letters that every prototype of another script starts with.
 SCRIPT_WORDS = {
     "zh": "的 了 在 是 我们 这 中 和 有 不 为 以 研究 方法 结果 数据",

@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexloom.session import materialize
+
 #: Statistics are kept from this count and share of their kind on, so at most
 #: 1 / share of a kind are broadcast.
 LEAST_COUNT, LEAST_SHARE = 4, 1e-6
@@ -412,7 +414,7 @@ def learn(contents: DataFrame, content_col: str = "content") -> Statistics:
                 counts = Counter()
         yield _counted(counts)
 
-    summed = contents.select(content_col).mapInArrow(run, "what string, key string, n bigint").groupBy("what", "key").agg(F.sum("n").alias("n"))
+    summed = materialize(contents.select(content_col).mapInArrow(run, "what string, key string, n bigint").groupBy("what", "key").agg(F.sum("n").alias("n")))
     kept = summed.filter(F.col("n") >= LEAST_COUNT)
     totals = kept.groupBy("what").agg(F.sum("n").alias("_all"))
     out: dict[str, dict[str, int]] = {}

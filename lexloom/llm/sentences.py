@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.llm import langid
+from lexloom.session import materialize
 
 #: A statistic is kept when it makes up this share of its language's tokens, and is
 #: seen this often: so at most 1 / LEAST_SHARE of them can reach the driver.
@@ -67,8 +68,9 @@ def language_of(text: str) -> str:
     for code, pattern in langid._SCRIPTS:
         if 3 * len(pattern.findall(text)) > len(_LETTER.findall(text)):
             return code
-    words = Counter(langid._WORD.findall(text.lower()))
-    return max(langid._WORDS, key=lambda k: (sum(words[w] for w in langid._WORDS[k]), k == "en"))
+    low = text.lower()
+    words = Counter(langid._WORD.findall(low))
+    return max(langid._WORDS, key=lambda k: (sum(words[w] for w in langid._WORDS[k]) + 0.5 * sum(map(low.count, langid.OWN_LETTERS[k])), k == "en"))
 
 
 def _norm(token: str) -> str:
@@ -182,7 +184,8 @@ def learn(texts: DataFrame, text_cols: tuple[str, ...]) -> Model:
                 counts = Counter()
         yield _counted(counts)
 
-    summed = texts.select(*text_cols).mapInArrow(run, "lang string, what string, key string, n bigint").groupBy("lang", "what", "key").agg(F.sum("n").alias("n"))
+    # Written once: the texts are walked one time, though the counts are read twice.
+    summed = materialize(texts.select(*text_cols).mapInArrow(run, "lang string, what string, key string, n bigint").groupBy("lang", "what", "key").agg(F.sum("n").alias("n")))
     totals = {r.lang: r.n for r in summed.filter("what = 'n'").groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     least = F.create_map(*[F.lit(x) for k, v in totals.items() for x in (k, max(1.0, v * LEAST_SHARE))]) if totals else None
     kept = summed.filter((F.col("what") == "n") | (F.col("n") >= least[F.col("lang")])) if totals else summed
