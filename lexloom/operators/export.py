@@ -64,6 +64,18 @@ def table_html(c: Column) -> Column:
     return F.when(F.size(rows) < 2, c).otherwise(F.concat(F.lit("<table><thead>"), cells(F.get(rows, 0), "th"), F.lit("</thead><tbody>"), body, F.lit("</tbody></table>")))
 
 
+def embedded(sizes: Column, most: int = 25, room: int = 15_000_000) -> Column:
+    """Which of a document's images (their sizes, in order) are put into its page: up to
+    ``most``, and ``room`` bytes; one that doesn't fit is passed over."""
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).cast("bigint").alias("used"), F.array().cast("array<boolean>").alias("takes"))
+
+    def step(s: Column, size: Column) -> Column:
+        fits = (s["n"] < most) & (s["used"] + size <= room)
+        return F.struct((s["n"] + fits.cast("int")).alias("n"), (s["used"] + F.when(fits, size).otherwise(0)).cast("bigint").alias("used"), F.array_append(s["takes"], fits).alias("takes"))
+
+    return F.aggregate(sizes, start, step, lambda s: s["takes"])
+
+
 class Renderer:
     """Markdown to HTML, block by block. A table stands where it was, also before a
     fence or as a single row."""

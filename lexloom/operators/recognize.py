@@ -90,6 +90,25 @@ def scores(signals: DataFrame, paradigms: tuple[L.Paradigm, ...] = L.PARADIGMS,
     return held.select("doc_id", "title", "keywords", "hay", F.array(*entries).alias("scored"))
 
 
+def basis(signals: DataFrame, paradigms: tuple[L.Paradigm, ...] = L.PARADIGMS) -> DataFrame:
+    """(doc_id, ord, id, basis): what speaks for each paradigm: sections, up to five
+    keywords, its object, the field of study, or the want of empirical sections."""
+    held = haystacks(signals).withColumn("empirical", is_empirical())
+    sections = {p.id: F.array_join(in_headings(p.sections), ", ") for p in paradigms}
+    scored = scores(signals, paradigms).select("doc_id", F.explode("scored").alias("x"))
+    found = once(held, "secs", F.create_map(*[v for p in paradigms for v in (F.lit(p.id), sections[p.id])])).select("doc_id", "secs", "empirical")
+    joined = scored.join(found, "doc_id")
+    label = F.create_map(*[F.lit(v) for p in paradigms for v in (p.id, p.object_label)])[F.col("x.id")]
+    sectionless = F.col("x.id").isin(*(p.id for p in paradigms if not p.sections))
+    here = F.col("secs")[F.col("x.id")]
+    lines = F.array(
+        F.when(here != "", F.concat(F.lit("sections: "), here)), F.when(F.size("x.found") > 0, F.concat(F.lit("keywords: "), F.array_join("x.found", ", "))),
+        F.when((F.col("x.object_hit") > 0) & (label != ""), F.concat(F.lit("object: "), label)), F.when(F.col("x.prior") > 0, F.lit("field of study")),
+        F.when(sectionless & ~F.col("empirical"), F.lit("no empirical sections")),
+    )
+    return joined.select("doc_id", F.col("x.ord").alias("ord"), F.col("x.id").alias("id"), F.concat_ws("; ", lines).alias("basis"))
+
+
 def ranked(scored: DataFrame) -> DataFrame:
     """Scores with ``best``, ``rest`` (second paradigms, best first), ``cross_type``,
     ``confidence``, ``review`` and ``fallback``."""

@@ -177,6 +177,25 @@ def citation_edges(docs: DataFrame, expand: bool = False) -> DataFrame:
     return cited.select("doc_id", "pos", F.explode(numbers).alias("ref"))
 
 
+def with_citation_links(docs: DataFrame) -> DataFrame:
+    """(doc_id, md): entries of the list of references get anchors, and citations link
+    to them; what is a link already stays."""
+    t = F.col("t")
+    plain = T.trim_all(F.replace(F.regexp_replace(t, rf"^#+{T.SPACE}*", ""), F.lit("**"), F.lit("")))
+    named = F.lower(plain).isin(*(h.lower() for h in REFERENCE_HEADINGS))
+    before = _ordered().rowsBetween(Window.unboundedPreceding, -1)
+    by_line = docs.select("doc_id", F.posexplode(F.split("md", "\n", -1)).alias("pos", "line")).withColumn("t", T.trim_all(F.col("line")))
+    marked = by_line.withColumn("refs", F.coalesce(F.max(named.cast("int")).over(before), F.lit(0)))
+    entry = F.regexp_extract(t, rf"^\[(\d+)\](?:[.:、．]|{T.SPACE}|$)", 1)
+    around, bodies = F.split("line", _CITED, -1), F.regexp_extract_all("line", F.lit(_CITED), F.lit(1))
+    numbers = lambda b: F.filter(F.split(b, r"[^0-9]+"), lambda n: n != "")
+    link = lambda b: F.array_join(F.transform(numbers(b), lambda n: F.concat(F.lit("["), n, F.lit("](#ref-"), n, F.lit(")"))), ", ")
+    linked = F.array_join(F.transform(around, lambda p, i: F.when(i < F.size(bodies), F.concat(p, link(F.get(bodies, i)))).otherwise(p)), "")
+    line = F.when((F.col("refs") == 1) & (entry != ""), F.concat(F.lit('<a id="ref-'), entry, F.lit('"></a>'), linked)).otherwise(linked)
+    held = marked.select("doc_id", "pos", line.alias("line"))
+    return held.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("md"))
+
+
 def locators(blocks: DataFrame, titles: DataFrame | None = None) -> DataFrame:
     """(doc_id, block, locator) from blocks (doc_id, block, interactive, body): the
     path of headings and the paragraph's number. ``titles`` (doc_id, title): a heading

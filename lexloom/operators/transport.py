@@ -61,6 +61,43 @@ def field_prompts(plan: DataFrame) -> DataFrame:
     return plan.withColumn("prompt", prompt)
 
 
+#: What to look at closely in each kind of study.
+CHECKS = {
+    "paradigm-experimental-baseline": "fair baselines, complete metrics, ablations that explain each part",
+    "paradigm-rct": "randomisation and blinding, sample size, registered outcomes, harms",
+    "paradigm-empirical-stat": "identification, endogeneity, robustness, causal claims",
+    "paradigm-theoretical": "definitions, consistent reasoning, answers to objections",
+    "paradigm-case-study": "choice of cases, several sources of evidence, fitting analysis",
+    "paradigm-systematic-review": "reproducible search, criteria, quality tools, heterogeneity and bias",
+    "paradigm-computational-sim": "verification apart from validation, convergence, uncertainty",
+    "paradigm-design-science": "aims that match the design, fitting evaluation, contribution to theory",
+}
+
+
+def system_prompts(recognised: DataFrame) -> DataFrame:
+    """(doc_id, system): the standing instruction for a document's fields."""
+    checks = F.create_map(*[F.lit(v) for kv in CHECKS.items() for v in kv])[F.col("best.id")]
+    text = F.concat(F.lit("Take this paper apart field by field. Kind of study: "), F.col("best.name"), F.lit(" ("), F.col("cross_type"), F.lit("). Cite paragraphs; invent nothing. Look closely at: "), F.coalesce(checks, F.lit("-")))
+    return recognised.select("doc_id", text.alias("system"))
+
+
+def ask_field(transport: Transport, system: str, prompt: str, cited: Callable[[str], bool]) -> str:
+    """A field's answer: one retry where that may help, and one more request where the
+    answer cites nothing; if that fails, the first answer stands."""
+    try:
+        answer = transport(system, prompt)
+    except CallError as e:
+        if not e.retryable:
+            raise
+        answer = transport(system, prompt)
+    if not cited(answer):
+        try:
+            answer = transport(system, prompt + "\n\nYour last answer cites no paragraph. Cite as [段落 N], or answer 引用缺失.")
+        except CallError:
+            pass
+    return answer
+
+
 def ask(transport: Transport, system: str, prompt: str, original: str, is_meta: Callable[[str], bool], wait: Callable[[float], None] = time.sleep) -> tuple[str | None, str | None]:
     """(reply, error) after at most three attempts."""
     last = "no reply"

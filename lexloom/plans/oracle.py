@@ -435,3 +435,33 @@ SQL |= {
     "field_prompts": f"""WITH {PLAN} SELECT doc_id, count(*) AS n_prompts, sum(length('Field: ' || label || chr(10) || 'Answer: ' || CASE ftype WHEN 'table' THEN 'a markdown table' WHEN 'list[string]' THEN 'an array, an item an element' WHEN 'enum' THEN 'one of the given values' WHEN 'integer' THEN 'a whole number' ELSE 'a short passage' END
           || chr(10) || 'Cite paragraphs as [段落 N]; answer 引用缺失 where none supports it.' || chr(10) || 'Reply with one JSON object: {{"zh": ..., "en": ..., "table": ...}}'))::BIGINT AS n_chars FROM plan GROUP BY doc_id""",
 }
+
+
+def _basis_rows() -> str:
+    rows = []
+    for i, p in enumerate(L.PARADIGMS):
+        object_line = f"CASE WHEN s.object_hit > 0 THEN 'object: {p.object_label}' END" if p.object_label else "NULL"
+        section_line = f"CASE WHEN len({_in_heads(p.sections)}) > 0 THEN 'sections: ' || array_to_string({_in_heads(p.sections)}, ', ') END"
+        want = "NULL" if p.sections else "CASE WHEN NOT (n_structure >= 2 OR (n_structure = 1 AND n_statistics >= 2)) THEN 'no empirical sections' END"
+        rows.append(f"SELECT e.doc_id, {i}::BIGINT AS ord, '{p.id}' AS id, concat_ws('; ', {section_line}, CASE WHEN len(s.found) > 0 THEN 'keywords: ' || array_to_string(s.found, ', ') END, {object_line}, CASE WHEN s.prior > 0 THEN 'field of study' END, {want}) AS basis FROM emp e JOIN scores s ON s.doc_id = e.doc_id AND s.ord = {i}")
+    return " UNION ALL ".join(rows)
+
+
+_CHECKS = {
+    "paradigm-experimental-baseline": "fair baselines, complete metrics, ablations that explain each part", "paradigm-rct": "randomisation and blinding, sample size, registered outcomes, harms",
+    "paradigm-empirical-stat": "identification, endogeneity, robustness, causal claims", "paradigm-theoretical": "definitions, consistent reasoning, answers to objections",
+    "paradigm-case-study": "choice of cases, several sources of evidence, fitting analysis", "paradigm-systematic-review": "reproducible search, criteria, quality tools, heterogeneity and bias",
+    "paradigm-computational-sim": "verification apart from validation, convergence, uncertainty", "paradigm-design-science": "aims that match the design, fitting evaluation, contribution to theory",
+}
+_NAMES = "CASE best " + " ".join(f"WHEN '{p.id}' THEN '{p.name}'" for p in L.PARADIGMS) + " END"
+_CITE = r"\[(\d+(?:[\t-\r\x{85}\p{Z},，\-–—]\s*\d+){0,7})\]"
+SQL |= {
+    "recognise_basis": f"WITH {SCORES} {_basis_rows()}",
+    "system_prompts": f"WITH {SCORES} SELECT doc_id, 'Take this paper apart field by field. Kind of study: ' || {_NAMES} || ' (' || cross_type || '). Cite paragraphs; invent nothing. Look closely at: ' || CASE best {' '.join(f'''WHEN '{k}' THEN '{v}' ''' for k, v in _CHECKS.items())} END AS system FROM recognised",
+    # Links that stand already are masked, so that no look-ahead is needed.
+    "citation_links": rf"""WITH {BLOCKS}, masked AS (SELECT doc_id, pos, line, t, regexp_replace(line, '{_CITE}\(', chr(1) || '\1' || chr(2) || '(', 'g') AS m,
+          coalesce(max((lower({trim(f"replace(regexp_replace(t, '^#+{_S}*', ''), '**', '')")}) IN ('references', 'reference', 'bibliography', '参考文献', '引用文献'))::INT) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS refs FROM blines),
+        cutup AS (SELECT *, string_split_regex(m, '{_CITE.replace('(\\d+', '(?:\\d+', 1)}') AS o, regexp_extract_all(m, '{_CITE}', 1) AS b FROM masked),
+        linked AS (SELECT doc_id, pos, t, refs, replace(replace(array_to_string(list_transform(o, lambda p, i: p || coalesce(array_to_string(list_transform(list_filter(string_split_regex(b[i], '[^0-9]+'), lambda n: n <> ''), lambda n: '[' || n || '](#ref-' || n || ')'), ', '), '')), ''), chr(1), '['), chr(2), ']') AS l FROM cutup)
+        SELECT doc_id, string_agg(CASE WHEN refs = 1 AND regexp_matches(t, '^\[\d+\]([.:、．]|{_S}|$)') THEN '<a id="ref-' || regexp_extract(t, '^\[(\d+)\]', 1) || '"></a>' || l ELSE l END, chr(10) ORDER BY pos) AS md FROM linked GROUP BY doc_id""",
+}

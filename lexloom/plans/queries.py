@@ -167,6 +167,21 @@ def recognise_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long.select("doc_id", "x.ord", "x.id", r("section_hit"), r("keyword_hit"), r("object_hit"), r("prior"), r("score"), F.array_join("x.found", ", ").alias("found"))
 
 
+@query
+def recognise_basis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recognize.basis(signals_of(spark, sf_dir))
+
+
+@query
+def system_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transport.system_prompts(recognised(spark, sf_dir))
+
+
+@query
+def citation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.with_citation_links(contents(spark, sf_dir))
+
+
 @query
 def recognise_primary(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = recognised(spark, sf_dir)

@@ -92,3 +92,20 @@ def test_translate(spark):
     segs = spark.createDataFrame([(1, 0, "heading", "# A"), (1, 1, "image_caption", "![](x)"), (1, 2, "image_caption", "**Figure** ![](x)")], "doc_id bigint, seg_index int, kind string, content string")
     out = {r.seg_index: (r.translated, r.error) for r in transport.translate(transport.translation_prompts(segs), lambda s, p: "T:" + p[-3:]).collect()}
     assert out[1] == ("![](x)", None) and out[0] == ("T:# A", None) and out[2][0].startswith("T:")
+
+
+def test_fields_are_asked_again():
+    replies = iter([transport.CallError("llm", "busy", True), "no source", "with [段落 1]"])
+
+    def call(_, __):
+        reply = next(replies)
+        if isinstance(reply, Exception):
+            raise reply
+        return reply
+
+    assert transport.ask_field(call, "", "p", lambda a: "[段落" in a) == "with [段落 1]"
+
+
+def test_embedding_budget(spark):
+    df = spark.createDataFrame([([5, 100, 6],), ([1] * 4,), ([],)], "s array<bigint>")
+    assert [r.t for r in df.select(export.embedded(F.col("s"), 3, 20).alias("t")).collect()] == [[True, False, True], [True, True, True, False], []]
