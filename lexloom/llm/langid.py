@@ -238,7 +238,10 @@ def judge(cosines: np.ndarray) -> tuple[str | None, float]:
 
 def identify(df: DataFrame, prototypes: np.ndarray, keep: tuple[str, ...], text_col: str = "text") -> DataFrame:
     """(*keep, text_col, lang_code, confidence) of every row. The prototypes' size
-    is fixed (languages times dimensions)."""
+    is fixed (languages times dimensions). ``ValueError`` where a kept column has the
+    name of an output."""
+    if clash := {"lang_code", "confidence", text_col} & set(keep):
+        raise ValueError(f"rename the kept columns {sorted(clash)} first")
     model = df.sparkSession.sparkContext.broadcast(prototypes)
     fields = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in (*keep, text_col))
 

@@ -228,6 +228,7 @@ def verify(item: list[str], text: str, share: float = SHARE) -> float:
 def find_leaks(documents: DataFrame, items: DataFrame, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, item_id, shared): documents that hold at least ``share`` of an item
     in one running passage, and the share they hold."""
+    # One more than allowed, so that too many are noticed, not dropped.
     rows = [(r[0], r[1]) for r in items.select("item_id", "item_text").distinct().orderBy("item_id", "item_text").limit(MAX_ITEMS + 1).collect()]
     table = documents.sparkSession.sparkContext.broadcast(Items(rows))
     id_type = documents.schema[id_col].dataType.simpleString()

@@ -86,7 +86,10 @@ def _pieces(text: pd.Series, limit: pd.Series, overlap: pd.Series) -> pd.Series:
 
 
 def split_items(df: DataFrame, text_col: str, limit: Column, overlap: Column, keep: tuple[str, ...]) -> DataFrame:
-    """(*keep, piece_no from 0, start_pos, end_pos, piece, n_pieces) of every item."""
+    """(*keep, piece_no from 0, start_pos, end_pos, piece, n_pieces) of every item.
+    ``ValueError`` where a kept column has the name of an output."""
+    if clash := {"piece_no", "start_pos", "end_pos", "piece", "n_pieces"} & set(keep):
+        raise ValueError(f"rename the kept columns {sorted(clash)} first")
     text, cut = F.col(text_col), F.pandas_udf(_pieces, "array<struct<start_pos:int,end_pos:int>>")
     whole = F.array(F.struct(F.lit(0).alias("start_pos"), F.length(text).alias("end_pos")))
     held = df.select(*keep, text.alias("_text"), cut(F.when(F.length(text) > limit, text), limit, overlap).alias("_cut"), whole.alias("_whole"))
