@@ -361,11 +361,11 @@ def wrong_labels(documents: DataFrame, prototypes: np.ndarray, residues: dict, s
     judged = identify(documents.withColumn("_declared", declared_code(F.col("language"))), prototypes, ("doc_id", "_declared"))
     fits = (F.col("_declared") == F.col("lang_code")) | ((F.col("_declared") == "other") & ~F.col("lang_code").isin("en", "zh"))
     wrong = judged.filter(F.col("lang_code").isNotNull() & (F.col("confidence") >= sure) & ~F.coalesce(fits, F.lit(False)))
-    model = documents.sparkSession.sparkContext.broadcast(residues)
+    model = documents.sparkSession.sparkContext.broadcast(residue.Scorer(residues))
 
     def ordinary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = [not residue.decide(t, model.value)[1] for t in batch.column(1).to_pylist()]
+            kept = [not model.value.decide(t)[1] for t in batch.column(1).to_pylist()]
             yield batch.select([0, 2, 3]).filter(pa.array(kept, pa.bool_()))
 
     return wrong.select("doc_id", "text", "lang_code", "confidence").mapInArrow(ordinary, "doc_id bigint, lang_code string, confidence double")

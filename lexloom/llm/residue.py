@@ -31,7 +31,7 @@ KINDS = ("placeholder", "filler", "error_page", "script_notice")
 #: Bounds of the sample the model is fitted on: records in all, trusted records for each kind.
 SAMPLE_ROWS, TRUSTED_ROWS = 4_000, 3_000
 #: Trusted records are sought among this many records, drawn by hash.
-SEARCHED_ROWS = 40_000
+SEARCHED_ROWS = 200_000
 #: A trusted record is at most this long.
 TRUSTED_CHARS = 600
 #: A feature of this share of the sampled records belongs to ordinary text.
@@ -180,31 +180,46 @@ def fit(df: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_ROWS, t
     return {f: w for f, w in weights.items() if max(w) > 0 or rest[f] >= 3}
 
 
-def decide(text: str, weights: dict[str, tuple[float, ...]], cut: float = 0.9) -> tuple[set[str], bool]:
-    """The kinds of a record, and whether nothing but residue stands in it."""
-    kinds, ordinary = set(), False
-    for passage in passages(text):
-        found = features(passage)
-        p = _posterior(found, weights) if found else None
-        if p and max(p) >= cut:
-            kinds.add(KINDS[p.index(max(p))])
-        elif len(found) >= 4 and (p is None or sum(p) < 0.5):
-            ordinary = True
-    return kinds, bool(kinds) and not ordinary
+class Scorer:
+    """Decides records by the weights of a model."""
+
+    def __init__(self, weights: dict[str, tuple[float, ...]], cut: float = 0.9):
+        self.weights, self.cut = weights, cut
+        self._most = {f: max(w) for f, w in weights.items()}
+
+    def posterior(self, found: set[str]) -> tuple[float, ...] | None:
+        """As :func:`_posterior`, but None also where no kind can come near one half:
+        no kind's odds exceed the sum of every feature's best weight."""
+        most = self._most
+        if math.log(PRIOR) + sum([most[f] for f in found if f in most]) < -2.1:
+            return None
+        return _posterior(found, self.weights)
+
+    def decide(self, text: str) -> tuple[set[str], bool]:
+        """The kinds of a record, and whether nothing but residue stands in it."""
+        kinds, ordinary = set(), False
+        for passage in passages(text):
+            found = features(passage)
+            p = self.posterior(found) if found else None
+            if p and max(p) >= self.cut:
+                kinds.add(KINDS[p.index(max(p))])
+            elif len(found) >= 4 and (p is None or sum(p) < 0.5):
+                ordinary = True
+        return kinds, bool(kinds) and not ordinary
 
 
 def score_records(df: DataFrame, weights: dict[str, tuple[float, ...]], id_col: str = "doc_id", text_col: str = "text", cut: float = 0.9) -> DataFrame:
     """(id_col, residue, whole) for every kind of residue a record holds.
 
     ``weights`` come from a bounded sample, so their size is bounded too."""
-    model = df.sparkSession.sparkContext.broadcast(weights)
+    model = df.sparkSession.sparkContext.broadcast(Scorer(weights, cut))
     id_type = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = defaultdict(list)
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                kinds, whole = decide(text, model.value, cut)
+                kinds, whole = model.value.decide(text)
                 for kind in sorted(kinds):
                     rows["key"].append(key)
                     rows["kind"].append(kind)
