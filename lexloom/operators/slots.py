@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -69,9 +69,14 @@ def replay(commands: DataFrame) -> DataFrame:
     """(doc_id, ord, task, kind, event): what happens to each document's tasks. A
     document has tens of commands at most, so gathering one is safe."""
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["at", "rank", "task"])
-        events = list(fold(list(zip(group["command"], group["task"], group["kind"]))))
-        return pd.DataFrame({"doc_id": group["doc_id"].iloc[0], "ord": range(len(events)), "task": [e[0] for e in events], "kind": [e[1] for e in events], "event": [e[2] for e in events]})
+    ordered = F.array_sort(F.collect_list(F.struct("at", "rank", "task", "command", "kind")))
+    logs = commands.groupBy("doc_id").agg(ordered.alias("log")).select("doc_id", F.transform("log", lambda c: F.array(c["command"], c["task"], c["kind"])).alias("log"))
 
-    return commands.groupBy("doc_id").applyInPandas(run, EVENTS)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(doc, i, *e) for doc, log in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for i, e in enumerate(fold([tuple(c) for c in log]))]
+            columns = list(zip(*rows)) or [[] for _ in range(5)]
+            types = (pa.string(), pa.int32(), *[pa.string()] * 3)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["doc_id", "ord", "task", "kind", "event"])
+
+    return logs.mapInArrow(run, EVENTS)
