@@ -166,7 +166,7 @@ def mark_furniture(lines: list[Line], known: dict[str, int]) -> None:
                 line.part = "header"
             elif not ended and piped:
                 line.part = "header"
-            elif len(bare) <= 30 and bare[:1].isupper() and re.match(r"^[^\W\d_]\S{3,20}(?:[ .]\S{1,3} \S{1,3}\.?)?$", bare) and not re.search(r"^\S+[.!?]$", bare):
+            elif len(bare) <= 30 and bare[:1].isupper() and re.match(r"^[A-Za-zÀ-ÿ][A-Za-zÀ-ÿ0-9'-]{3,20}(?:[ .]\S{1,3} \S{1,3}\.?)?$", bare):
                 line.part = "header"
         elif len(bare) <= 70 and bare[:1].upper() == bare[:1] and not bare.startswith("#") and _begins(_plain(bare), known) and not re.search(r"[.!?。！？]$", bare):
             line.part = "header"
