@@ -150,7 +150,7 @@ def mark_furniture(lines: list[Line], known: dict[str, int]) -> None:
     tops = {i: text for i, text in page_tops(lines) if i != first}
     plains = {i: _plain(t.split(" | ")[0] if " | " in t else t) for i, t in tops.items()}
     # Short lines that come again are headers too where no number shows it.
-    short = {i: _plain(line.text) for i, line in enumerate(lines) if i != first and line.part == "body" and len(line.text) <= 90 and not re.search(r"[.!?。！？,，;；:：]\s*$", line.text) and not line.text.lstrip().startswith("#")}
+    short = {i: _plain(line.text) for i, line in enumerate(lines) if i != first and line.part == "body" and len(line.text) <= 90 and not re.search(r"[.!?。！？,，;；:：][\"”»」）)]*\s*$", line.text) and not line.text.lstrip().startswith("#")}
     often = Counter(p for p in short.values() if len(p) >= 4)
     for i, line in enumerate(lines):
         if i == first or line.part not in ("body", "other"):
@@ -159,10 +159,10 @@ def mark_furniture(lines: list[Line], known: dict[str, int]) -> None:
         piped = " | " in bare and not bare.startswith("|")
         if i in tops:
             plain = plains[i]
-            ended = bool(re.search(r"[.!?。！？]$", bare)) and not re.search(r"et al\.?$|Vol\.\s?\S{1,5}$", bare)
+            ended = bool(re.search(r"[.!?。！？][\"”»」）)]*$", bare)) and not re.search(r"et al\.?$|Vol\.\s?\S{1,5}$", bare)
             if _NUMBERED.match(line.text) and not ended and len(bare) <= 110:
                 line.part = "header"
-            elif len(plain) >= 4 and (_alike(plain, title) or any(_alike(plain, p) for j, p in plains.items() if j != i) or _begins(plain, known)):
+            elif len(plain) >= 4 and not re.search(r"[。！？]", bare) and (_alike(plain, title) or any(_alike(plain, p) for j, p in plains.items() if j != i) or _begins(plain, known)):
                 line.part = "header"
             elif not ended and piped:
                 line.part = "header"
