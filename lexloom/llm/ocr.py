@@ -93,7 +93,7 @@ def _begins(plain: str, known: dict[str, int]) -> bool:
     """Whether a text is one of the known ones, or one and a name."""
     # Two edits leave one of two triples of letters as it was.
     heads = plain[:3], plain[3:6]
-    return any((k[:3] == heads[0] or k[3:6] == heads[1]) and 5 <= len(k) and len(plain) <= len(k) + 14 and near(plain[: len(k)], k, 2 if len(k) > 8 else 1) for k in known)
+    return any((k[:3] == heads[0] or k[3:6] == heads[1]) and 5 <= len(k) and len(plain) <= len(k) + (14 if " " in k or not k.isascii() else 1) and near(plain[: len(k)], k, 2 if len(k) > 8 else 1) for k in known)
 
 
 def read_lines(content: str) -> list[Line]:
@@ -168,7 +168,7 @@ def mark_furniture(lines: list[Line], known: dict[str, int]) -> None:
                 line.part = "header"
             elif len(bare) <= 30 and bare[:1].isupper() and re.match(r"^[A-Za-zÀ-ÿ][A-Za-zÀ-ÿ0-9'-]{3,20}(?:[ .]\S{1,3} \S{1,3}\.?)?$", bare):
                 line.part = "header"
-        elif len(bare) <= 70 and bare[:1].upper() == bare[:1] and not bare.startswith("#") and _begins(_plain(bare), known) and not re.search(r"[.!?。！？]$", bare):
+        elif len(bare) <= 70 and bare[:1].upper() == bare[:1] and not bare.startswith("#") and _begins(_plain(bare), known) and not re.search(r"[.!?。！？][\"”»」）)]*$", bare):
             line.part = "header"
         elif piped and len(bare) <= 90 and (_plain(bare.split(" | ")[0]) in known or bare.upper() == bare or often[short.get(i, "")] > 1):
             line.part = "header"
