@@ -31,7 +31,9 @@ from lexloom.session import materialize
 
 DEFECTS = ("empty", "refusal", "copy", "wrong_language", "truncated")
 KINDS = ("paragraph", "heading", "image_caption")
-#: Responses given to so many different prompts are stock phrases.
+#: A response is a stock phrase if so many different prompts got it, and most of the
+#: prompts that got it differ: the prompts of a phrase that is translated again and again
+#: are few (one in each language), however large the corpus.
 STOCK = 3
 
 _LETTER = re.compile(r"[^\W_]")
@@ -118,7 +120,8 @@ def votes(kind: str, original: str | None, translated: str | None, target: str,
     in_response, in_prompt = copied(original, translated)
     exact = squeeze(original) == squeeze(translated)
     long = kind == "paragraph"
-    refuses = (wording and (opening or stock >= STOCK or kept <= 0)) or (kind != "heading" and stock >= STOCK and kept == 0)
+    # Only what words a refusal keeps other defects from being seen; stock is one vote.
+    refuses = wording and (opening or kept <= 0)
     same = given == source and given is not None
     copy_like = exact or (in_response >= 0.75 and in_prompt >= 0.5 if long else min(in_response, in_prompt) >= 0.8)
     if kind == "heading" and given == target:
@@ -198,6 +201,15 @@ def folded(column: str) -> Column:
     return F.lower(F.regexp_replace(F.coalesce(F.col(column), F.lit("")), r"[\d\s\p{P}\p{S}\p{Z}]+", ""))
 
 
+def stock_responses(keyed: DataFrame) -> DataFrame:
+    """(_folded, _stock): stock phrases among the responses, with the number of different
+    prompts each got. Equal prompts, as in works that occur again, count once; counts are
+    partial before each shuffle."""
+    by_prompt = keyed.filter("kind <> 'heading'").groupBy("_folded", F.xxhash64(folded("original")).alias("_prompt")).agg(F.count("*").alias("_n"))
+    counted = by_prompt.groupBy("_folded").agg(F.count("*").alias("_stock"), F.sum("_n").alias("_rows"))
+    return counted.filter((F.col("_stock") >= STOCK) & (2 * F.col("_stock") > F.col("_rows"))).select("_folded", "_stock")
+
+
 def length_ratios(pairs: DataFrame) -> DataFrame:
     """(seg_id, ratio): a paragraph's length of response over prompt, divided by the
     middle ratio of its script and target."""
@@ -214,9 +226,7 @@ def label_pairs(segments: DataFrame, prototypes: np.ndarray) -> DataFrame:
     # Texts without letters have nothing to look up: their own keys keep them apart.
     key = F.when(folded("translated") == "", F.concat(F.lit("\x01"), F.col("seg_id").cast("string"))).otherwise(folded("translated"))
     keyed = pairs.withColumn("_folded", key)
-    # Responses with many prompts are stock phrases; counts are partial before the shuffle.
-    stock = keyed.filter("kind <> 'heading'").groupBy("_folded").agg(F.count("*").alias("_stock")).filter(F.col("_stock") >= STOCK)
-    known = keyed.join(stock, "_folded", "left").join(heading_languages(segments), "_folded", "left").join(length_ratios(pairs), "seg_id", "left")
+    known = keyed.join(stock_responses(keyed), "_folded", "left").join(heading_languages(segments), "_folded", "left").join(length_ratios(pairs), "seg_id", "left")
     model = spark.sparkContext.broadcast(prototypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

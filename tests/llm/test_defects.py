@@ -55,3 +55,24 @@ def test_copies():
     assert defects.copied("Some text here to copy.", "“some TEXT here to copy”") == (1.0, 1.0)
     assert defects.copied("abc", "") == (0.0, 0.0)
     assert max(defects.copied("完全不同的内容在这里", "something else entirely")) < 0.1
+
+
+def test_stock_counts_different_prompts(spark):
+    """Repeated works and phrases translated again and again are no stock; refusals are."""
+    rows = [(i, "paragraph", "The same prompt.", "again") for i in range(5)]
+    rows += [(10 + i, "paragraph", f"The prompt {'abc'[i % 3]}.", "often") for i in range(9)]
+    rows += [(20 + i, "paragraph", f"Prompt {chr(97 + i)}.", "stock") for i in range(4)]
+    keyed = spark.createDataFrame(rows, "seg_id bigint, kind string, original string, _folded string")
+    assert [tuple(r) for r in defects.stock_responses(keyed).collect()] == [("stock", 4)]
+
+
+def test_stock_hides_no_other_defect():
+    tongues = (("en", 1.0), ("de", 1.0))
+    prompt, foreign, broken = "Participants were told nothing about it.", "Darüber wurde nichts gesagt.", "参与者没有被告知任何有关"
+    rare, often = (defects.votes("paragraph", prompt, foreign, "zh", tongues, n, 1.0) for n in (0, 9))
+    assert rare["wrong_language"] == often["wrong_language"] and often["wrong_language"][0] == 1
+    rare, often = (defects.votes("paragraph", prompt, broken, "zh", (("en", 1.0), ("zh", 1.0)), n, 1.0) for n in (0, 9))
+    assert rare["truncated"] == often["truncated"] and often["truncated"][:2] == (1, 1)
+    # A refusal in words still hides them.
+    refused = defects.votes("paragraph", prompt, "Sorry, I cannot translate this passage", "zh", (("en", 1.0), ("en", 1.0)), 9, 1.0)
+    assert refused["truncated"][:2] == (0, 0) and refused["refusal"][:3] == (1, 1, 1)
