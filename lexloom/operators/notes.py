@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.functions import text as T
+from lexloom.operators import bilinguals
 
 
 def find_and_replace(notes: DataFrame, search: str, by: str) -> DataFrame:
@@ -21,9 +22,10 @@ def find_and_replace(notes: DataFrame, search: str, by: str) -> DataFrame:
 
 
 def append_excerpts(excerpts: DataFrame) -> DataFrame:
-    """(doc_id, n, note): all excerpts (doc_id, ord, excerpt) of a document, a rule between."""
-    ordered = F.array_sort(F.collect_list(F.struct("ord", "excerpt")))
-    return excerpts.groupBy("doc_id").agg(F.count("*").alias("n"), F.array_join(F.transform(ordered, lambda x: x["excerpt"]), "\n---\n\n").alias("note"))
+    """(doc_id, n, note): all excerpts (doc_id, ord, excerpt) of a document, a rule between,
+    joined in volumes first."""
+    joined = bilinguals.in_order(excerpts.select("doc_id", F.col("ord").alias("seg_index"), F.col("excerpt").alias("t")), "\n---\n\n")
+    return joined.select("doc_id", "n", F.col("text").alias("note"))
 
 
 def select_notes(notes: DataFrame, names: DataFrame) -> DataFrame:

@@ -410,6 +410,7 @@ SQL |= {
     "retitled_headings": f"WITH {LINES}, titles AS (SELECT doc_id, arg_min({trim(chr(114) + 'egexp_replace(t, ' + chr(39) + '^#+' + chr(39) + ', ' + chr(39) * 2 + ')')}, pos) FILTER (starts_with(t, '#')) AS h FROM lines GROUP BY doc_id) SELECT t.doc_id, coalesce(CASE WHEN h <> '' AND strlen(h) <= 200 THEN {_BARE_TITLE.replace('{x}', 'h')} <> '' AND {_BARE_TITLE.replace('{x}', 'h')} = {_BARE_TITLE.replace('{x}', 'd.title')} END, false) AS same FROM titles t JOIN documents d USING (doc_id)",
     "replace_counts": "SELECT doc_id AS name, (length(text) - length(replace(text, 'the', ''))) // 3 AS n_replaced, length(replace(text, 'the', 'THE'))::BIGINT AS n_chars FROM documents WHERE contains(text, 'the')",
     "note_excerpts": f"WITH {NEWEST} SELECT doc_id, count(*) AS n, string_agg(original, chr(10) || '---' || chr(10) || chr(10) ORDER BY seg_index) AS note FROM newest WHERE kind = 'image_caption' GROUP BY doc_id",
+    "segment_excerpts": f"WITH {NEWEST} SELECT doc_id, count(*) AS n, string_agg(original, chr(10) || '---' || chr(10) || chr(10) ORDER BY seg_index) AS note FROM newest GROUP BY doc_id",
     "export_markdown": f"""WITH {MD}, {ASSEMBLED}, {VERSIONS}, {_DIGEST_MD}, {_PARTS}, scopes(scope, o, t, g) AS (VALUES ('all', true, true, true), ('no-original', false, true, true), ('bilingual', true, true, false), ('translated', false, true, false), ('digest', false, false, true))
         SELECT doc_id, scope, '# ' || title || {_N2} || '> exported' || {_N2} || CASE WHEN o AND original IS NOT NULL THEN '---' || {_N2} || '## 原文' || {_N2} || original || {_N2} ELSE '' END
           || CASE WHEN t AND translated IS NOT NULL THEN '---' || {_N2} || '## 译文' || {_N2} || translated || {_N2} ELSE '' END || CASE WHEN g AND digest IS NOT NULL THEN '---' || {_N2} || '## AI 拆解' || {_N2} || digest || chr(10) ELSE '' END AS markdown FROM parts, scopes""",

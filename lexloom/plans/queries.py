@@ -470,11 +470,18 @@ def replace_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def note_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paragraphs of each document appended to one note."""
+    """Captions of each document appended to one note."""
     b = bilinguals.newest(table(spark, sf_dir, "bilingual_segments")).filter("kind = 'image_caption'")
     return notes.append_excerpts(b.select("doc_id", F.col("seg_index").alias("ord"), F.col("original").alias("excerpt")))
 
 
+@query
+def segment_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments of each document, of every kind, appended to one note."""
+    b = bilinguals.newest(table(spark, sf_dir, "bilingual_segments"))
+    return notes.append_excerpts(b.select("doc_id", F.col("seg_index").alias("ord"), F.col("original").alias("excerpt")))
+
+
 @query
 def export_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = export.parts(table(spark, sf_dir, "documents"), contents(spark, sf_dir), bilinguals.assemble(bilinguals.newest(table(spark, sf_dir, "bilingual_segments"))), digests.latest(table(spark, sf_dir, "digest_versions")))
