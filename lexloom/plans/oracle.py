@@ -268,6 +268,7 @@ SQL |= {
     "field_plan": f"WITH {PLAN} SELECT doc_id, ord, name, label, ftype, required, source, cross_type, strategy FROM plan",
     "field_terms": f"WITH {_FIELDS} SELECT family, name, array_to_string({_TERMS}, ' ') AS terms FROM fields",
     "field_context": f"WITH {_contexts(3000)} SELECT doc_id, name, label, n_chosen, context_chars, paragraphs FROM contexts",
+    "field_context_full": f"WITH {_contexts(60000)} SELECT doc_id, name, label, n_chosen, context_chars, paragraphs FROM contexts",
     "flagship": f"WITH {_contexts(60000)} SELECT doc_id, name, n_chosen, context_chars FROM contexts",
 }
 

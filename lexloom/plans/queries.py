@@ -219,6 +219,13 @@ def field_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recognize.field_contexts(recognize.field_plan(recognised(spark, sf_dir)), structure.numbered(docs), 3000).drop("ord", "ftype")
 
 
+@query
+def field_context_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The context of each planned field, with the full budget."""
+    docs = contents(spark, sf_dir)
+    return recognize.field_contexts(recognize.field_plan(recognised(spark, sf_dir)), structure.numbered(docs)).drop("ord", "ftype")
+
+
 @query
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents to signals, paradigm, plan, and context of each field, with the full budget."""

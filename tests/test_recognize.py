@@ -93,3 +93,13 @@ def test_context_against_a_greedy_model(spark):
                     used += n
                     taken.append(o)
         assert got[i] == sorted(taken)
+
+
+def test_full_contexts_are_those_of_the_flagship(spark):
+    import oracle_tools
+
+    from lexloom.plans import queries
+
+    full, flagship = (queries.QUERIES[n](spark, oracle_tools.DATA) for n in ("field_context_full", "flagship"))
+    assert full.select(*flagship.columns).exceptAll(flagship).count() == 0 and full.count() == flagship.count()
+    assert full.selectExpr("max(context_chars)").first()[0] > 3000
