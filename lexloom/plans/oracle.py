@@ -157,6 +157,7 @@ SQL: dict[str, str] = {
         SELECT doc_id, CASE WHEN h <> '' AND strlen(h) <= 200 THEN h END AS title, authors FROM titles LEFT JOIN names USING (doc_id)""",
     "document_signals": f"WITH {SIGNALS} SELECT doc_id, title, array_to_string(headings, ' | ') AS headings, length(abstract)::BIGINT AS abstract_chars, body_sample, keywords, table_count, image_count, math_symbols FROM signals",
     "inline_markup": f"WITH {SEGMENTS} SELECT doc_id, seg_index, {inline_html('content')} AS html FROM seg WHERE kind IN ('image_caption', 'table')",
+    "inline_markup_all": f"WITH {SEGMENTS} SELECT doc_id, seg_index, {inline_html('content')} AS html FROM seg WHERE kind <> 'code'",
     "heading_texts": rf"WITH {SEGMENTS} SELECT doc_id, seg_index, CASE WHEN regexp_matches(content, '^#{{1,6}}{_S}') THEN length(regexp_extract(content, '^(#{{1,6}})', 1)) END AS level, {plain('content')} AS plain FROM seg WHERE kind = 'heading'",
 }
 

@@ -135,6 +135,13 @@ def inline_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "seg_index", T.inline_html(F.col("content")).alias("html"))
 
 
+@query
+def inline_markup_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments of every kind but code as HTML."""
+    kept = structure.segments(contents(spark, sf_dir)).filter("kind <> 'code'")
+    return kept.select("doc_id", "seg_index", T.inline_html(F.col("content")).alias("html"))
+
+
 @query
 def heading_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     heads = structure.segments(contents(spark, sf_dir)).filter("kind = 'heading'")

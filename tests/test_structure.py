@@ -203,3 +203,12 @@ def test_one_shuffle_carries_all_windows(spark):
     parsed = spark.createDataFrame([(1, "# A\n\nx", None, None)], "doc_id bigint, content string, base_dir string, parsed_at timestamp_ntz")
     plan = structure.segments(structure.newest_contents(parsed))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_markup_of_every_kind_but_code(spark):
+    import oracle_tools
+
+    from lexloom.plans import queries
+
+    kinds = queries.QUERIES["segment_kinds"](spark, oracle_tools.DATA).filter("kind <> 'code'").selectExpr("sum(n_segments)").first()[0]
+    assert queries.QUERIES["inline_markup_all"](spark, oracle_tools.DATA).count() == kinds
