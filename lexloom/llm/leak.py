@@ -18,7 +18,7 @@ many windows; with ``WALKS * SAMPLES`` chances each, missing all of them is
 improbable (see ``tests/llm/test_leak.py`` for recall against brute force).
 
 Defined results: null and blank texts and items match nothing; an item shorter than
-a window is sought as it stands; repeated items and documents give repeated pairs
+a window is sought as it stands, from the start of a word on; repeated items and documents give repeated pairs
 only as often as they have ids; other columns are dropped.
 """
 
@@ -71,7 +71,7 @@ def fold(text: str) -> tuple[np.ndarray, np.ndarray]:
     """The folded letters, and where words start among them."""
     letters = _fold_table()[np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)]
     kept = letters != 0
-    before = np.concatenate(([False], kept[:-1]))
+    before = np.concatenate(([False], (kept & (letters != _END))[:-1]))
     wide = _wide(letters)
     start = kept & (~before | wide | np.concatenate(([False], wide[:-1])))
     return letters[kept], np.flatnonzero(start[kept])
@@ -109,16 +109,31 @@ class Walks:
 NARROW, WIDE = Walks(WINDOW, BITS), Walks(WIDE_WINDOW, WIDE_BITS)
 
 
-def _windows(letters: np.ndarray, starts: np.ndarray, every: int) -> Iterator[tuple[Walks, np.ndarray]]:
-    """Starts of narrow and of wide windows that lie inside the letters."""
+def _windows(letters: np.ndarray, starts: np.ndarray, every: int, owner: np.ndarray) -> Iterator[tuple[Walks, np.ndarray]]:
+    """Starts of narrow and of wide windows that lie inside the letters, counted anew
+    for each ``owner``."""
     wide = _wide(letters)
     for walks, kind in ((NARROW, False), (WIDE, True)):
-        mine = starts[wide[starts] == kind][::every]
+        mine = starts[wide[starts] == kind]
+        owners = owner[mine]
+        mine = mine[(np.arange(len(mine)) - np.searchsorted(owners, owners)) % every == 0]
         mine = mine[mine + walks.window <= len(letters)]
         if len(mine):
             yield walks, mine
 
 
+def _whole(letters: np.ndarray, starts: np.ndarray, sizes: set[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(size, starts, keys) of the strings of each size that begin at ``starts``."""
+    at, keys = starts, np.zeros(len(starts), np.uint64)
+    for step in range(max(sizes, default=0)):
+        inside = at + step < len(letters)
+        at, keys = at[inside], keys[inside]
+        keys += (letters[at + step].astype(np.uint64) + np.uint64(7)) * NARROW.mix[step]
+        keys ^= keys >> np.uint64(29)
+        if step + 1 in sizes:
+            yield step + 1, at, keys.copy()
+
+
 class Items:
     """The items' letters and their table of keys."""
 
@@ -129,15 +144,18 @@ class Items:
         found: dict[tuple[int, int], list[tuple[np.ndarray, int, np.ndarray]]] = defaultdict(list)
         for item_id, text in items:
             letters, starts = fold(text or "")
-            if len(letters) < 8:
+            if not len(letters):
                 continue
             number = len(self.ids)
             self.ids.append(item_id)
             self.letters.append(letters)
             self.words.append(words_of(text))
+            if len(letters) < WINDOW:
+                for size, at, keys in _whole(letters, starts[:1], {len(letters)}):
+                    found[0, size].append((keys, number, at))
             padded = np.concatenate((letters, np.full(2 * WINDOW, 2, np.uint32)))
-            for walks, mine in _windows(padded, starts[starts < max(1, len(letters) - WIDE_WINDOW)], 1):
-                inside = mine[mine + walks.window <= max(len(letters), walks.window)]
+            for walks, mine in _windows(padded, starts[starts < max(1, len(letters) - WIDE_WINDOW)], 1, np.zeros(len(padded), np.int64)):
+                inside = mine[mine + walks.window <= len(letters)]
                 for table, keys in walks.keys(padded, inside):
                     found[walks.window, table].append((keys, number, inside))
         self.tables = {}
@@ -153,20 +171,29 @@ class Items:
         owner = np.cumsum(letters == _END)
         padded = np.concatenate((letters, np.full(2 * WINDOW, 2, np.uint32)))
         out: set[tuple[int, int]] = set()
-        for walks, mine in _windows(padded, starts[letters[starts] != _END], 2):
+        starts = starts[letters[starts] != _END]
+        for walks, mine in _windows(padded, starts, 2, np.concatenate((owner, owner[-1:].repeat(2 * WINDOW)))):
             for table, keys in walks.keys(padded, mine):
-                if (walks.window, table) not in self.tables:
-                    continue
-                known, numbers = self.tables[walks.window, table]
-                low = np.searchsorted(known, keys)
-                hit = np.flatnonzero(known[np.minimum(low, len(known) - 1)] == keys)
-                for w in hit.tolist():
-                    i = int(low[w])
-                    while i < len(known) and known[i] == keys[w]:
-                        out.add((int(owner[mine[w]]), int(numbers[i])))
-                        i += 1
+                self._look_up((walks.window, table), keys, owner[mine], out)
+        # Strings shorter than a window have no key of one.
+        for size, mine, keys in _whole(letters, starts, {size for window, size in self.tables if window == 0}):
+            self._look_up((0, size), keys, owner[mine], out)
         return out
 
+    def _look_up(self, place: tuple[int, int], keys: np.ndarray, owners: np.ndarray, out: set[tuple[int, int]]) -> None:
+        if place not in self.tables:
+            return
+        known, numbers = self.tables[place]
+        if not len(known):
+            return
+        low = np.searchsorted(known, keys)
+        hit = np.flatnonzero(known[np.minimum(low, len(known) - 1)] == keys)
+        for w in hit.tolist():
+            i = int(low[w])
+            while i < len(known) and known[i] == keys[w]:
+                out.add((int(owners[w]), int(numbers[i])))
+                i += 1
+
 
 _PIECE = re.compile(r"[぀-ヿ㐀-鿿]|[฀-๿]|[^\W_぀-ヿ㐀-鿿฀-๿]+")
 
@@ -220,7 +247,8 @@ def verify(item: list[str], text: str, share: float = SHARE) -> float:
     words = words_of(text)
     there = set(words)
     part = shared_part(item, words) if sum(len(w) for w in item if w in there) >= share / 2 * sum(map(len, item)) else 0.0
-    if part < share and words and max(map(len, words)) >= 24:
+    # A few letters stand anywhere in words that are run together.
+    if part < share and sum(map(len, item)) >= 8 and words and max(map(len, words)) >= 24:
         part = max(part, shared_part(list("".join(item)), list("".join(words))))
     return part
 

@@ -65,3 +65,22 @@ def test_part_in_one_passage():
     assert leak.shared_part(item, item) == 1.0
     assert leak.shared_part(item, "x y c3 d4 e5 f6 g7 z".split()) == 0.5
     assert leak.shared_part(item, "nothing in common here".split()) == 0.0
+
+
+def test_short_items_are_sought_as_they_stand(spark):
+    docs = [(1, "Before it, the answer is: Seven Lamps! And after."), (2, "Qux."), (3, "He wrote 隧道渡船 there."), (4, "quxes and seven lanterns"), (5, "the end is qux")]
+    items = [(1, "seven lamps"), (2, "qux"), (3, "隧道渡船"), (4, "?!")]
+    found = leak.find_leaks(spark.createDataFrame(docs, "doc_id bigint, text string").coalesce(1), spark.createDataFrame(items, "item_id bigint, item_text string"))
+    got = {(r.doc_id, r.item_id) for r in found.collect() if r.shared == 1.0}
+    assert got == {(1, 1), (2, 2), (3, 3), (5, 2)}
+
+
+def test_windows_depend_on_no_other_document():
+    items, docs, _ = corpus()
+    known = leak.Items(items)
+    texts = [text for _, text in docs[:20]]
+    alone = {n for n, text in enumerate(texts) for _ in known.candidates([text])}
+    assert alone
+    for before in ("one", "one two"):
+        for text in texts:
+            assert {i for n, i in known.candidates([before, text]) if n == 1} == {i for _, i in known.candidates([text])}
