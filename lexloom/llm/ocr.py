@@ -1,13 +1,18 @@
 """Noise in text from scanned pages: found by line, and repaired.
 
-The cluster counts words, pairs of words, pairs of Han letters and the texts that
-stand where pages begin. Words that the corpus has often make the vocabulary, a
+The cluster counts words, pairs of words, pairs of Han letters and the documents at
+whose page tops a text stands. Words that the corpus has often make the vocabulary, a
 trie; a Levenshtein automaton of each suspicious word is intersected with it, which
-retrieves every word within two edits, and those that known misreadings explain
-stay. They are ranked by how often they follow the word before, then by frequency.
-A word is a misreading when such a candidate is many times as frequent. Page
-numbers, running headers (also misread ones, by edit distance) and words broken at
-line ends come from the layout of the document.
+retrieves every word within two edits (one in short words). Each candidate has a
+weight by what turns it into the word at hand: known misreadings count in full, any
+other letter in a letter's place by how many different words of the corpus show it.
+Candidates are ranked by how often they follow the word before, then by weight and
+frequency; a word is a misreading when weight times frequency exceeds its own
+frequency many times. A word with a digit or mark inside that has no candidate is
+spelled: misreadings are undone, and the form counts whose letter triples the
+vocabulary has. Han letters are compared with all letters that stand between the same
+neighbours. Page numbers, running headers (also misread ones, by edit distance) and
+words broken at line ends come from the layout of the document.
 
 Repairing removes page furniture, puts broken words together, corrects misread
 ones, and joins the lines of each paragraph.
@@ -31,18 +36,21 @@ from pyspark.sql import functions as F
 from lexloom.session import materialize
 
 #: Statistics are kept from this count and share of their kind on, so at most
-#: 1 / share of a kind are broadcast.
-LEAST_COUNT, LEAST_SHARE = 4, 1e-6
+#: 1 / share of a kind are broadcast. What was not kept counts as ``UNKEPT`` of the least.
+LEAST_COUNT, LEAST_SHARE, UNKEPT = 4, 2e-6, 0.05
+#: A page-top text is known from this many documents and share of the scanned ones on.
+TOP_COUNT, TOP_SHARE = 2, 0.004
 #: A reading so many times as frequent as the word at hand is the true one.
 TIMES = 30
+#: Weight of a letter in another's place that no other word shows, and the number of
+#: different words that halve what is missing to a weight of one.
+STRANGE, SHOWN = 0.2, 4
 #: Misreadings of printed letters, true first (fixed values).
 CONFUSIONS = (
     ("e", "c"), ("t", "f"), ("s", "5"), ("i", "!"), ("o", "0"), ("l", "1"), ("h", "b"), ("g", "9"), ("b", "6"),
     ("n", "ri"), ("d", "cl"), ("u", "ii"), ("m", "rn"), ("w", "vv"), ("i", "1"), ("l", "!"), ("z", "2"), ("B", "8"), ("S", "5"), ("O", "0"), ("I", "1"),
 )
 
-_MISREAD = re.compile("|".join(re.escape(bad) for _, bad in CONFUSIONS))
-
 _ROMAN = r"[ivxlc]{1,7}"
 _PAGE = re.compile(rf"^\f?\s*(?:[-–—]\s?\d{{1,4}}\s?[-–—]|\[\d{{1,4}}\]|第\s?\d{{1,4}}\s?[页頁]|(?:p|pp|S|стр|с)\.\s?\d{{1,4}}|(?:Page|page|Seite|Página|página)\s\d{{1,4}}(?:\s(?:of|von|sur|de|/)\s\d{{1,4}})?|\d{{1,4}}(?:\s?/\s?\d{{1,4}})?|{_ROMAN})\s*$")
 _NUMBERED = re.compile(rf"^\f?\s*(?:(?:\d{{1,4}}|{_ROMAN})\s{{2,}}(?P<a>\S.*?)|(?P<b>\S.*?)\s{{2,}}(?:\d{{1,4}}|{_ROMAN}))\s*$")
@@ -201,44 +209,60 @@ def is_scanned(lines: list[Line]) -> bool:
 
 
 class Trie:
-    """A vocabulary; :meth:`within` intersects it with a Levenshtein automaton."""
+    """A vocabulary, read from both ends; :meth:`within` intersects it with a Levenshtein
+    automaton."""
 
-    def __init__(self, words: Iterator[str]):
-        self._root: dict = {}
+    def __init__(self, words: Iterator[str], counts: dict[str, int] | None = None):
+        self._ends: tuple[dict, dict] = {}, {}
         for word in words:
-            node = self._root
-            for ch in word:
-                node = node.setdefault(ch, {})
-            node[""] = word
-
-    def within(self, word: str, most: int) -> list[str]:
-        """All words at most ``most`` edits away. A state of the automaton is one set
-        of positions in ``word`` (bits) for each number of edits made so far."""
-        out: list[str] = []
+            n = counts[word] if counts else 0
+            for node, letters in zip(self._ends, (word, word[::-1])):
+                for ch in letters:
+                    node = node.setdefault(ch, {0: 0})
+                    # The greatest count of the words below.
+                    node[0] = max(node[0], n)
+                node[""] = word
+
+    def within(self, word: str, most: int, least: float = 0) -> list[str]:
+        """All words at most ``most`` (two or fewer) edits away that count at least
+        ``least``. Either the first half of ``word`` has fewer edits than all of it, or
+        the second half has none, so one search from each end finds them all, and
+        neither branches much before the middle."""
+        half = len(word) // 2
+        found = set(self._search(0, word, most, least, [half if d == most > 0 else 0 for d in range(most + 1)]))
+        if most:
+            found.update(self._search(1, word[::-1], most, least, [len(word) - half if d else 0 for d in range(most + 1)]))
+        return list(found)
+
+    def _search(self, end: int, word: str, most: int, least: float, free: list[int]) -> Iterator[str]:
+        """A state of the automaton is one set of positions in ``word`` (bits) for each
+        number of edits made so far; ``free`` has the first position for each number."""
         whole = (1 << (len(word) + 1)) - 1
+        allowed = [whole & ~((1 << f) - 1) for f in free]
         final = 1 << len(word)
         at: dict[str, int] = {}
         for j, ch in enumerate(word):
             at[ch] = at.get(ch, 0) | 1 << (j + 1)
-        state = [(1 << (d + 1)) - 1 for d in range(most + 1)]
-        stack = [(self._root, tuple(state))]
+        stack = [(self._ends[end], tuple(((1 << (d + 1)) - 1) & allowed[d] for d in range(most + 1)))]
         while stack:
             node, state = stack.pop()
             for ch, child in node.items():
                 if ch == "":
-                    if state[most] & final:
-                        out.append(child)
+                    if any(s & final for s in state):
+                        yield child
+                    continue
+                if ch == 0 or child[0] < least:
                     continue
                 reads = at.get(ch, 0)
-                low = (state[0] << 1) & reads
+                low = alive = (state[0] << 1) & reads
                 moved = [low]
                 for d in range(1, most + 1):
                     # A letter read, put in, put in another's place, or left out.
-                    low = (((state[d] << 1) & reads) | state[d - 1] | (state[d - 1] << 1) | (low << 1)) & whole
+                    low = (((state[d] << 1) & reads) | state[d - 1] | (state[d - 1] << 1) | (low << 1)) & allowed[d]
                     moved.append(low)
-                if low:
+                    alive |= low
+                if alive:
                     stack.append((child, tuple(moved)))
-        return out
 
 
 def explained(true: str, seen: str, most: int = 2) -> int | None:
@@ -267,65 +291,118 @@ def explained(true: str, seen: str, most: int = 2) -> int | None:
     return walk(0, 0, most, -1)
 
 
+def changed(true: str, seen: str) -> int | None:
+    """The place of the one letter in which two words of a length differ, but for case."""
+    if len(true) != len(seen):
+        return None
+    places = [i for i, (x, y) in enumerate(zip(true, seen)) if x != y]
+    return places[0] if len(places) == 1 and true.lower() != seen.lower() else None
+
+
 class Statistics:
-    """Counts of the corpus, and readings derived from them."""
+    """Counts of the corpus, and readings derived from them. ``least`` has the count from
+    which each kind was kept, ``weights`` what is known of letters in other letters' places."""
 
-    def __init__(self, counts: dict[str, dict[str, int]]):
+    def __init__(self, counts: dict[str, dict[str, int]], least: dict[str, float] | None = None, weights: dict[tuple[str, str], float] | None = None):
         self.words, self.pairs, self.han, self.tops = (counts.get(k, {}) for k in ("word", "pair", "han", "top"))
+        self.least, self.weights = least or {}, weights or {}
         self._fresh()
 
     def _fresh(self) -> None:
-        self._tries: dict[int, Trie] | None = None
-        self._readings: dict[str, list[str]] = {}
+        self._trie: Trie | None = None
+        self._triples: set[str] | None = None
+        self._readings: dict[str, list[tuple[str, float, int]]] = {}
         self._left: dict[str, list[tuple[str, int]]] = {}
         self._letters: dict[str, str | None] = {}
         self._most = max(self.words.values(), default=0)
 
     def __getstate__(self) -> dict:
-        return {"words": self.words, "pairs": self.pairs, "han": self.han, "tops": self.tops}
+        return {"words": self.words, "pairs": self.pairs, "han": self.han, "tops": self.tops, "least": self.least, "weights": self.weights}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__ |= state
         self._fresh()
 
-    def readings(self, word: str) -> list[str]:
-        """Words that ``word`` is a misreading of, by frequency."""
+    def trusted(self, word: str) -> float:
+        """The count from which a word may be what ``word`` should be."""
+        return TIMES * max(self.words.get(word, 0), self._unkept("word"))
+
+    def _unkept(self, kind: str) -> float:
+        """What an entry counts that is known only to be rarer than those kept."""
+        return UNKEPT * self.least.get(kind, LEAST_COUNT)
+
+    def _common(self, word: str) -> bool:
+        """Whether a word is more than a name."""
+        return self.words.get(word.lower(), 0) >= 2 * self.words.get(word.capitalize(), 0)
+
+    def candidates(self, word: str) -> Iterator[tuple[str, float, int]]:
+        """(word of the vocabulary, weight, place of the first change) of every word
+        that an edit or two turn into ``word``; weight 0 where nothing speaks for it."""
+        if self._trie is None:
+            self._trie = Trie(iter(self.words), self.words)
+        least = self.trusted(word)
+        if least > self._most:
+            return
+        for form in {word, word.lower()}:
+            for c in self._trie.within(form, 2 if len(form) >= 5 else 1, least):
+                if c.lower() == form.lower():
+                    continue
+                if (at := explained(c, form)) is not None:
+                    yield c, 1.0, at
+                elif len(word) >= 5 and word.islower() and (at := changed(c, form)) is not None and self._common(c):
+                    yield c, self.weights.get((c[at].lower(), form[at].lower()), STRANGE), at
+                else:
+                    yield c, 0.0, 0
+
+    def readings(self, word: str) -> list[tuple[str, float, int]]:
+        """Words that ``word`` may be a misreading of, likeliest first, with weight and
+        place of the first change."""
         if (known := self._readings.get(word)) is None:
-            if self._tries is None:
-                by: dict[int, list[str]] = {}
-                for w in self.words:
-                    by.setdefault(len(w), []).append(w)
-                self._tries = {n: Trie(iter(ws)) for n, ws in by.items()}
             if len(self._readings) > 200_000:
                 self._readings = {}
-            own = self.words.get(word, 0)
-            known = []
-            for form in {word, word.lower()} if own * TIMES <= self._most and _MISREAD.search(word) else ():
-                # No misreading makes a word shorter, and each makes it one letter longer at most.
-                most = 2 if len(form) >= 5 else 1
-                for c in (c for n in range(len(form) - most, len(form) + 1) if n in self._tries for c in self._tries[n].within(form, most)):
-                    if c != form and self.words[c] >= TIMES * max(own, 0.2) and explained(c, form) is not None:
-                        known.append(c)
-            self._readings[word] = known = sorted(set(known), key=lambda c: -self.words[c])
+            least = self.trusted(word)
+            found = {c: (weight, at) for c, weight, at in self.candidates(word) if weight * self.words[c] >= least}
+            known = sorted(((c, *x) for c, x in found.items()), key=lambda x: (-x[1] * self.words[x[0]], x[0]))
+            self._readings[word] = known
         return known
 
-    def best(self, word: str, before: str) -> str | None:
+    def best(self, word: str, before: str) -> tuple[str, int] | None:
+        """The likeliest reading after the word before, and the place of its first change."""
         found = self.readings(word)
-        return max(found, key=lambda c: (self.pairs.get(f"{before} {c}", 0), self.words[c])) if found else None
+        if not found:
+            return None
+        # What misreadings explain goes before other letters in letters' places.
+        c, _, at = max(found, key=lambda x: (x[1] >= 1, self.pairs.get(f"{before} {x[0]}", 0), x[1] * self.words[x[0]]))
+        return c, at
+
+    def spelled(self, word: str) -> tuple[str, int] | None:
+        """A word with digits or marks inside with its misreadings undone, where all its
+        letter triples stand in the vocabulary; and the place of the first of them."""
+        strange = [i for i, ch in enumerate(word) if not ch.isalpha()] if not word.isalpha() else []
+        if not 1 <= len(strange) <= 2 or len(word) < 4:
+            return None
+        if self._triples is None:
+            self._triples = {f" {w.lower()} "[i : i + 3] for w in self.words for i in range(len(w))}
+        forms = [word]
+        for i in strange:
+            forms = [f[:i] + good + f[i + 1 :] for f in forms for good, bad in CONFUSIONS if bad == word[i] and len(good) == 1]
+        known = [f for f in forms if all(f" {f.lower()} "[i : i + 3] in self._triples for i in range(len(f)))]
+        return (known[0], strange[0]) if known else None
 
     def misread_han(self, left: str, letter: str, right: str) -> str | None:
         """The letter that fits far better between its neighbours, if there is one."""
         here = left + letter + right
         if here in self._letters:
             return self._letters[here]
-        mine_left, mine_right = self.han.get(left + letter, 0), self.han.get(letter + right, 0)
+        rare = 1.5 * self._unkept("han")
+        mine_left, mine_right = max(rare, self.han.get(left + letter, 0)), max(rare, self.han.get(letter + right, 0))
         if not self._left:
             for pair, n in self.han.items():
                 self._left.setdefault(pair[0], []).append((pair[1], n))
         best, score = None, 0
         for other, n in self._left.get(left, ()):
             m = self.han.get(other + right, 0)
-            if n >= TIMES * max(0.3, mine_left) and m >= TIMES * max(0.3, mine_right) and min(n, m) > score:
+            if n >= TIMES * mine_left and m >= TIMES * mine_right and min(n, m) > score:
                 best, score = other, min(n, m)
         if len(self._letters) > 500_000:
             self._letters = {}
@@ -376,14 +453,14 @@ def han_runs(lines: list[Line]) -> Iterator[tuple[str, list[int]]]:
 
 def count_document(content: str, counts: Counter) -> None:
     lines = read_lines(content)
-    for _, text in page_tops(lines):
-        plain = _plain(text.split(" | ")[0] if " | " in text else text)
-        if 4 <= len(plain) <= 60:
-            counts["top", plain] += 1
+    tops = {_plain(text.split(" | ")[0] if " | " in text else text) for _, text in page_tops(lines)}
+    counts.update(("top", plain) for plain in tops if 4 <= len(plain) <= 60)
     mark_furniture(lines, {})
     joins = dict(mark_broken(lines))
+    counts["scanned", ""] += is_scanned(lines)
     before = ""
     for _, _, token, _ in body_tokens(lines, joins):
+        token = token.rstrip("!")
         if _LATIN.match(token):
             counts["word", token] += 1
             low = token.lower()
@@ -415,12 +492,38 @@ def learn(contents: DataFrame, content_col: str = "content") -> Statistics:
         yield _counted(counts)
 
     summed = materialize(contents.select(content_col).mapInArrow(run, "what string, key string, n bigint").groupBy("what", "key").agg(F.sum("n").alias("n")))
-    kept = summed.filter(F.col("n") >= LEAST_COUNT)
-    totals = kept.groupBy("what").agg(F.sum("n").alias("_all"))
+    totals = {r.what: r.n for r in summed.groupBy("what").agg(F.sum("n").alias("n")).collect()}
+    least = {k: max(LEAST_COUNT, LEAST_SHARE * n) for k, n in totals.items()} | {"top": max(TOP_COUNT, TOP_SHARE * totals.get("scanned", 0))}
+    if not totals:
+        return Statistics({})
+    bound = F.create_map(*[F.lit(v) for k, n in least.items() for v in (k, float(n))])[F.col("what")]
     out: dict[str, dict[str, int]] = {}
-    for r in kept.join(F.broadcast(totals), "what").filter(F.col("n") >= LEAST_SHARE * F.col("_all")).collect():
+    for r in summed.filter((F.col("n") >= bound) & (F.col("what") != "scanned")).collect():
         out.setdefault(r.what, {})[r.key] = r.n
-    return Statistics(out)
+    known = Statistics(out, least)
+    known.weights = weigh(summed.filter("what = 'word'"), known)
+    return known
+
+
+def weigh(words: DataFrame, known: Statistics) -> dict[tuple[str, str], float]:
+    """The weight of each letter in another's place, by the number of different words
+    (key) of the corpus that it may explain. There are at most as many as pairs of letters."""
+    shared = words.sparkSession.sparkContext.broadcast(known)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+        for batch in batches:
+            for word in batch.column(0).to_pylist():
+                if word.islower():
+                    shown = {(c[at], word[at]) for c, weight, at in shared.value.candidates(word) if weight == STRANGE}
+                    counts.update(shown if len(shown) == 1 else ())
+        keys = list(zip(*counts)) or [[], []]
+        yield pa.RecordBatch.from_arrays([pa.array(keys[0], pa.string()), pa.array(keys[1], pa.string()), pa.array(list(counts.values()), pa.int64())], names=["good", "bad", "n"])
+
+    # Distinct words only: few bytes, much work.
+    pairs = words.select("key").repartition(words.sparkSession.sparkContext.defaultParallelism).mapInArrow(run, "good string, bad string, n bigint")
+    shown = pairs.groupBy("good", "bad").agg(F.sum("n").alias("n")).filter("n > 1").collect()
+    return {(r.good, r.bad): 1 - (1 - STRANGE) * 0.5 ** ((r.n - 1) / SHOWN) for r in shown}
 
 
 def _counted(counts: Counter) -> pa.RecordBatch:
@@ -444,15 +547,11 @@ def misread(lines: list[Line], joins: dict[int, int], known: Statistics, foreign
     for i, j, token, size in body_tokens(lines, joins):
         seen = token.rstrip("!") if token.count("!") == 1 and token.endswith("!") else token
         if _suspicious(seen, known.words):
-            true = known.best(seen, before)
-            if true is not None:
-                at = explained(true, seen if true in known.words and explained(true, seen) is not None else seen.lower())
-                yield (i if j is None or (at or 0) < size else j), seen, true
+            if (found := known.best(seen, before) or known.spelled(seen)) is not None:
+                true, at = found
+                yield (i if j is None or at < size else j), seen, true
                 before = true
                 continue
-            mixed = re.search(r"[^\W\d_][0159!6][^\W\d_]|^[!][^\W\d_]{2}|^[^\W\d_]{3,}[0]$", seen)
-            if mixed and not _HAN.search(seen) and not re.search(r"\d{2}", seen) and "-" not in seen and "/" not in seen and "." not in seen and "_" not in seen:
-                yield (i if j is None or mixed.start() < size else j), seen, seen
         before = seen
     if not foreign:
         for run, places in han_runs(lines):

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.llm import align, defects, encode, langid, leak, ocr, residue, sentences, split
-from lexloom.session import table
+from lexloom.session import materialize, table
 
 
 def p1_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,12 +30,12 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    contents = ocr.newest(table(spark, sf_dir, "parsed_docs"))
+    contents = materialize(ocr.newest(table(spark, sf_dir, "parsed_docs")))
     return ocr.find_noise(contents, ocr.learn(contents))
 
 
 def p4_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
-    contents = ocr.newest(table(spark, sf_dir, "parsed_docs"))
+    contents = materialize(ocr.newest(table(spark, sf_dir, "parsed_docs")))
     return ocr.repair_all(contents, ocr.learn(contents))
 
 
