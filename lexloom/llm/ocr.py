@@ -36,8 +36,9 @@ from pyspark.sql import functions as F
 from lexloom.session import materialize
 
 #: Statistics are kept from this count and share of their kind on, so at most
-#: 1 / share of a kind are broadcast. What was not kept counts as ``UNKEPT`` of the least.
-LEAST_COUNT, LEAST_SHARE, UNKEPT = 4, 2e-6, 0.05
+#: 1 / share of a kind are broadcast. What was not kept counts as ``UNKEPT`` of the least,
+#: so that whatever was kept may be the reading of what was not, at every size.
+LEAST_COUNT, LEAST_SHARE, UNKEPT = 4, 1e-6, 0.03
 #: A page-top text is known from this many documents and share of the scanned ones on.
 TOP_COUNT, TOP_SHARE = 2, 0.004
 #: A reading so many times as frequent as the word at hand is the true one.
@@ -329,7 +330,7 @@ class Statistics:
 
     def _unkept(self, kind: str) -> float:
         """What an entry counts that is known only to be rarer than those kept."""
-        return UNKEPT * self.least.get(kind, LEAST_COUNT)
+        return max(0.2, UNKEPT * self.least.get(kind, LEAST_COUNT))
 
     def _common(self, word: str) -> bool:
         """Whether a word is more than a name."""
