@@ -45,7 +45,8 @@ def distinct_hits(hay: Column, terms: list[str]) -> Column:
 def has_word(hay: Column, term: Column) -> Column:
     """Lower-case ASCII terms as words (plural allowed), others as parts of the text."""
     word = F.regexp(hay, F.concat(F.lit("(?<![a-zA-Z0-9])"), term, F.lit("(?:e?s)?(?![a-zA-Z0-9])")))
-    return F.when(term.rlike("^[a-z]+$"), word).otherwise(F.contains(hay, term))
+    # Most terms stand nowhere: no pattern is made for those.
+    return F.contains(hay, term) & F.when(term.rlike("^[a-z]+$"), word).otherwise(F.lit(True))
 
 
 def word_hits(hay: Column, terms: Column) -> Column:

@@ -11,6 +11,7 @@ keep the lexicon's order; null signals count as empty.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -126,47 +127,56 @@ def ranked(scored: DataFrame) -> DataFrame:
     return once(held, "_told", told).select("doc_id", "title", "keywords", "hay", "_told.*")
 
 
-def disciplines(signals: DataFrame, table: tuple[L.Discipline, ...], weak: tuple[str, ...] = L.WEAK_TERMS) -> DataFrame:
-    """(doc_id, name, code, confidence, secondary): the discipline whose terms are hit
-    most, and up to three more with two hits. Weak terms count in title and keywords
-    alone. Without a hit the name says so and the code is null."""
+def _ranked_hits(entries: list[Column]) -> Column:
+    """Entries by hits, ties in the table's order: sorted without a comparator."""
+    return F.array_sort(F.transform(F.array(*entries), lambda x: F.struct((-x["hits"]).alias("less"), x["ord"].alias("ord"), x["hits"].alias("hits"), x["name"].alias("name"), x["code"].alias("code"), x["group"].alias("group"), x["found"].alias("found"))))
+
+
+def _entries(table: tuple[L.Discipline, ...], found: Callable[[L.Discipline], Column]) -> list[Column]:
+    out = []
+    for i, d in enumerate(table):
+        hits = found(d)
+        out.append(F.struct(F.lit(i).alias("ord"), F.lit(d.name).alias("name"), F.lit(d.code).alias("code"), F.lit(d.group).alias("group"), F.size(hits).alias("hits"), hits.alias("found")))
+    return out
+
+
+def disciplines(signals: DataFrame, schemes: dict[str, tuple[L.Discipline, ...]] = L.SCHEMES, weak: tuple[str, ...] = L.WEAK_TERMS) -> DataFrame:
+    """(doc_id, scheme, group, code, name, confidence, basis, secondary): under each
+    scheme the discipline whose terms are hit most, up to five of the terms, and up to
+    three more disciplines with two hits. Weak terms count in title and keywords alone.
+    Without a hit the name says so, and group and code are null."""
     held = haystacks(signals)
     narrow = F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("keywords", F.lit(""))))
-    held = held.withColumn("narrow", narrow)
-    entries = []
-    for i, d in enumerate(table):
-        strong = tuple(t for t in d.terms if t not in weak)
-        found = F.concat(T.word_hits(F.col("hay"), _terms(*strong)), T.word_hits(F.col("narrow"), _terms(*(t for t in d.terms if t in weak))))
-        entries.append(F.struct(F.lit(i).alias("ord"), F.lit(d.name).alias("name"), F.lit(d.code).alias("code"), F.size(found).alias("hits")))
-    order = F.array_sort(F.array(*entries), lambda a, b: F.when(a["hits"] > b["hits"], -1).when(a["hits"] < b["hits"], 1).otherwise(a["ord"] - b["ord"]))
-    held = once(held, "_r", order)
-    best = F.get("_r", 0)
+    held = once(held, "narrow", narrow)
+
+    def found(d: L.Discipline) -> Column:
+        # Weak terms are looked up apart, but the terms found keep their order.
+        return F.filter(_terms(*d.terms), lambda t: F.when(t.isin(*weak), T.has_word(F.col("narrow"), t)).otherwise(T.has_word(F.col("hay"), t)))
+
+    told = F.array(*(F.struct(F.lit(k).alias("scheme"), F.lit(L.UNIDENTIFIED.get(k, "Unidentified")).alias("none"), _ranked_hits(_entries(t, found)).alias("r")) for k, t in schemes.items()))
+    each = held.select("doc_id", F.explode(told).alias("x")).select("doc_id", "x.*")
+    best = F.get("r", 0)
     none = best["hits"] == 0
-    more = F.slice(F.filter(F.slice("_r", 2, 1000), lambda x: x["hits"] >= 2), 1, 3)
-    return held.select(
-        "doc_id", F.when(none, "Unidentified").otherwise(best["name"]).alias("name"), F.when(~none, best["code"]).alias("code"),
-        F.least(best["hits"] / 4.0, F.lit(1.0)).alias("confidence"), F.array_join(F.transform(more, lambda x: x["name"]), ", ").alias("secondary"),
+    more = F.slice(F.filter(F.slice("r", 2, 1000), lambda x: x["hits"] >= 2), 1, 3)
+    return each.select(
+        "doc_id", "scheme", F.when(~none, best["group"]).alias("group"), F.when(~none, best["code"]).alias("code"), F.when(none, F.col("none")).otherwise(best["name"]).alias("name"),
+        F.least(best["hits"] / 4.0, F.lit(1.0)).alias("confidence"), F.array_join(F.slice(best["found"], 1, 5), ", ").alias("basis"), F.array_join(F.transform(more, lambda x: x["name"]), ", ").alias("secondary"),
     )
 
 
-def directions(signals: DataFrame, table: tuple[L.Discipline, ...]) -> DataFrame:
+def directions(signals: DataFrame, table: tuple[L.Discipline, ...] = L.DIRECTIONS) -> DataFrame:
     """(doc_id, rank, direction, weight): the three directions hit most, twice at least."""
     held = haystacks(signals)
-    entries = [F.struct(F.lit(i).alias("ord"), F.lit(d.name).alias("name"), F.size(T.word_hits(F.col("hay"), _terms(*d.terms))).alias("hits")) for i, d in enumerate(table)]
-    order = F.array_sort(F.filter(F.array(*entries), lambda x: x["hits"] >= 2), lambda a, b: F.when(a["hits"] > b["hits"], -1).when(a["hits"] < b["hits"], 1).otherwise(a["ord"] - b["ord"]))
-    top = held.select("doc_id", F.posexplode(F.slice(order, 1, 3)).alias("rank", "x"))
+    order = _ranked_hits(_entries(table, lambda d: T.word_hits(F.col("hay"), _terms(*d.terms))))
+    top = held.select("doc_id", F.posexplode(F.slice(F.filter(order, lambda x: x["hits"] >= 2), 1, 3)).alias("rank", "x"))
     return top.select("doc_id", "rank", F.col("x.name").alias("direction"), F.least(F.col("x.hits") / 3.0, F.lit(1.0)).alias("weight"))
 
 
-def field_plan(recognised: DataFrame, fields: list[L.FieldDef] | None = None, near: dict[str, str] = L.NEAR_FIELDS) -> DataFrame:
-    """(doc_id, ord, name, label, ftype, required, source, cross_type, strategy): the
-    fields to fill: common ones, the best paradigm's, second ones' by weight, and the
-    dialogue's. A name that an earlier level has is left out.
-
-    The fields are a literal of known size, so nothing is joined; windows are over
-    documents, which are partitioned by their id already."""
-    definitions = fields or L.field_definitions()
-    shape = "struct<family:string,ord:int,name:string,label:string,ftype:string,required:boolean>"
+def _levels(recognised: DataFrame, definitions: tuple[L.FieldDef, ...]) -> DataFrame:
+    """Every field of every level that a document has, in order: common ones, the best
+    paradigm's, second ones' by weight, and the dialogue's; ``nth`` counts a name's
+    occurrences. The fields are a literal of known size, so nothing is joined."""
+    shape = "struct<family:string,name:string,label:string,ftype:string,description:string,required:boolean,choices:array<string>>"
     literal = F.from_json(F.lit(_json(definitions)), f"array<{shape}>")
     best = F.col("best.id")
     least = F.when(F.col("cross_type") == "多学科交叉", 0.15).when(F.col("cross_type") == "双学科交叉", 0.25)
@@ -181,9 +191,17 @@ def field_plan(recognised: DataFrame, fields: list[L.FieldDef] | None = None, ne
         F.flatten(F.transform(seconds, lambda s, i: tagged(of(s["id"]), F.concat(F.lit("次范式·"), names[s["id"]]), i + 2))),
         F.when(F.col("cross_type") == "多学科交叉", tagged(of(F.lit("dialogue")), F.lit("交叉对话"), F.lit(DIALOGUE))).otherwise(tagged(F.array().cast(f"array<{shape}>"), F.lit(""), F.lit(0))),
     )
-    every = held.select("doc_id", "cross_type", F.posexplode(levels).alias("pos", "x")).select("doc_id", "cross_type", "pos", "x.name", "x.label", "x.ftype", "x.required", "x.source", "x.level")
-    by_doc, by_name = Window.partitionBy("doc_id"), Window.partitionBy("doc_id", "name").orderBy("pos")
-    kept = every.withColumn("_n", F.row_number().over(by_name)).filter("_n = 1")
+    every = held.select("doc_id", "cross_type", F.posexplode(levels).alias("pos", "x")).select("doc_id", "cross_type", "pos", "x.name", "x.label", "x.ftype", "x.description", "x.required", "x.choices", "x.source", "x.level")
+    return every.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "name").orderBy("pos")))
+
+
+def field_plan(recognised: DataFrame, fields: tuple[L.FieldDef, ...] = L.FIELDS, near: dict[str, str] = L.NEAR_FIELDS) -> DataFrame:
+    """(doc_id, ord, name, label, ftype, description, required, choices, source,
+    cross_type, strategy): the fields to fill. A name that an earlier level has is left
+    out (see :func:`plan_notes`). Windows are over documents, which are partitioned by
+    their id already."""
+    kept = _levels(recognised, fields).filter("nth = 1")
+    by_doc = Window.partitionBy("doc_id")
     close = F.lit(False)
     for second, first in near.items():
         close = close | ((F.col("name") == second) & F.coalesce(F.min(F.when(F.col("name") == first, F.col("pos"))).over(by_doc) < F.col("pos"), F.lit(False)))
@@ -191,19 +209,26 @@ def field_plan(recognised: DataFrame, fields: list[L.FieldDef] | None = None, ne
     kept = kept.withColumn("_close", close).withColumn("ord", F.row_number().over(by_doc.orderBy("pos")) - 1)
     strategy = F.when(F.col("cross_type") == "单学科", "通用字段 + 主范式特有字段").when(F.col("cross_type") == "双学科交叉", "通用字段 + 主范式特有字段 + 次范式特有字段").otherwise("通用字段 + 各范式特有字段 + 交叉对话字段")
     return kept.select(
-        "doc_id", "ord", "name", F.when(F.col("_close"), F.concat("label", F.lit("（次范式视角）"))).otherwise(F.col("label")).alias("label"), "ftype", "required",
+        "doc_id", "ord", "name", F.when(F.col("_close"), F.concat("label", F.lit("（次范式视角）"))).otherwise(F.col("label")).alias("label"), "ftype", "description", "required", "choices",
         F.when(F.col("_close"), F.replace("source", F.lit("次范式·"), F.lit("次范式视角·"))).otherwise(F.col("source")).alias("source"), "cross_type", strategy.alias("strategy"),
     )
 
 
-def _json(definitions: list[L.FieldDef]) -> str:
-    return json.dumps([{"family": d.family, "ord": d.ord, "name": d.name, "label": d.label, "ftype": d.ftype, "required": d.required} for d in definitions], ensure_ascii=False)
+def plan_notes(recognised: DataFrame, fields: tuple[L.FieldDef, ...] = L.FIELDS) -> DataFrame:
+    """(doc_id, pos, note): a note for each field of a second paradigm that an earlier
+    level's field of its name stands for."""
+    clash = _levels(recognised, fields).filter((F.col("nth") > 1) & F.col("level").between(2, DIALOGUE - 1))
+    return clash.select("doc_id", "pos", F.concat(F.lit("字段「"), "label", F.lit("」同名冲突：采用主范式定义，跳过次范式同名项")).alias("note"))
+
 
+def _json(definitions: tuple[L.FieldDef, ...]) -> str:
+    return json.dumps([{"family": d.family, "name": d.name, "label": d.label, "ftype": d.ftype, "description": d.description, "required": d.required, "choices": d.values} for d in definitions], ensure_ascii=False)
 
-def field_terms(name: Column, label: Column, description: Column | None = None) -> Column:
+
+def field_terms(name: Column, label: Column, description: Column) -> Column:
     """What a field is searched by: words of its name and description, pairs of letters
     of its label."""
-    words = F.split(name, "[^A-Za-z0-9]+") if description is None else F.concat(F.split(name, "[^A-Za-z0-9]+"), F.split(description, "[^A-Za-z0-9]+"))
+    words = F.concat(F.split(name, "[^A-Za-z0-9]+"), F.split(F.coalesce(description, F.lit("")), "[^A-Za-z0-9]+"))
     latin = F.filter(F.transform(words, F.lower), lambda w: F.length(w) >= 4)
     han = F.regexp_replace(label, r"[\x00-\x{7f}\p{Z}]", "")
     pairs = F.when(F.length(han) >= 2, F.transform(F.sequence(F.lit(1), F.length(han) - 1), lambda i: F.substring(han, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
@@ -216,35 +241,46 @@ def relevance(content: Column, terms: Column) -> Column:
     return F.size(F.filter(terms, lambda t: F.contains(low, t)))
 
 
-def choose_context(entries: Column, cap: Column) -> Column:
+def choose_context(scores: Column, sizes: Column, cap: Column) -> Column:
     """Places (from 0) of the segments that go into a field's context, in reading
-    order. ``entries``: array of (ord, score, length). Segments with hits come first,
-    best first, within seven tenths of ``cap``; then the others in reading order.
-    What doesn't fit is passed over."""
-    by_score = F.array_sort(F.filter(entries, lambda e: e["score"] > 0), lambda a, b: F.when(a["score"] > b["score"], -1).when(a["score"] < b["score"], 1).otherwise(a["ord"] - b["ord"]))
-    start = F.struct(F.lit(0).alias("used"), F.array().cast("array<int>").alias("taken"))
-
-    def fill(state: Column, queue: Column, room: Column) -> Column:
+    order; ``scores`` and ``sizes`` have an entry for each segment. Segments with hits
+    come first, best first, within seven tenths of ``cap``; then the others in reading
+    order. What doesn't fit is passed over. Both passes look at each segment once; what
+    they gather is bounded by ``cap``."""
+    places = F.sequence(F.lit(0), F.size(scores) - 1)
+    entries = F.when(F.size(scores) > 0, F.transform(places, lambda i: F.struct((-F.get(scores, i)).alias("less"), i.alias("i"), F.get(sizes, i).alias("size"))))
+    empty = F.array().cast("array<int>")
+
+    def fill(queue: Column, state: Column, room: Column) -> Column:
+        """Entries of the queue, but those whose place is next in ``done`` (in order)."""
         return F.aggregate(
             queue, state,
-            lambda s, e: F.when(s["used"] + e["length"] <= room, F.struct((s["used"] + e["length"]).alias("used"), F.array_append(s["taken"], e["ord"]).alias("taken"))).otherwise(s),
+            lambda s, e: F.when(F.get(s["done"], s["at"]) == e["i"], s.withField("at", s["at"] + 1))
+            .when(s["used"] + e["size"] <= room, F.struct((s["used"] + e["size"]).alias("used"), F.array_append(s["taken"], e["i"]).alias("taken"), s["done"].alias("done"), s["at"].alias("at"))).otherwise(s),
         )
 
-    hit = fill(start, by_score, F.floor(cap * 7 / 10).cast("int"))
-    rest = lambda taken: F.filter(entries, lambda e: ~F.array_contains(taken, e["ord"]))
-    return F.array_sort(F.aggregate(F.array(hit), F.array().cast("array<int>"), lambda _, h: fill(h, rest(h["taken"]), cap)["taken"]))
+    state = lambda used, done: F.struct(used.alias("used"), empty.alias("taken"), done.alias("done"), F.lit(0).alias("at"))
+    hits = fill(F.array_sort(F.filter(entries, lambda e: e["less"] < 0)), state(F.lit(0), empty), F.floor(cap * 7 / 10).cast("int"))
+    # Once computed, the first pass is used twice.
+    both = F.transform(F.array(hits), lambda h: F.concat(h["taken"], fill(entries, state(h["used"], F.array_sort(h["taken"])), cap)["taken"]))
+    return F.coalesce(F.array_sort(F.get(both, 0)), empty)
 
 
 def field_contexts(plan: DataFrame, numbered: DataFrame, cap: int = 60_000) -> DataFrame:
-    """(doc_id, name, label, ftype, chosen, context_chars, paragraphs): the context of
-    each field. A document's segments are gathered once; every field scores them."""
-    rendered = numbered.withColumn("size", F.length(render_numbered(F.col("no"), F.col("heading"), F.col("content"))))
-    whole = rendered.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "size", "no", F.lower("content").alias("low")))).alias("segs"))
-    joined = plan.withColumn("terms", field_terms(F.col("name"), F.col("label"))).join(whole, "doc_id")
-    scored = F.transform("segs", lambda s: F.struct(s["ord"].alias("ord"), F.size(F.filter("terms", lambda t: F.contains(s["low"], t))).alias("score"), s["size"].alias("length")))
-    chosen = once(once(joined, "scored", scored), "chosen", choose_context(F.col("scored"), F.lit(cap)))
-    kept = F.transform("chosen", lambda o: F.get("segs", o))
+    """(doc_id, ord, name, label, ftype, n_chosen, context_chars, paragraphs): the
+    context of each field. Every segment is scored for all fields of its document where
+    it stands; then its text is dropped, and only numbers are gathered and chosen from."""
+    terms = plan.select("doc_id", F.struct("ord", "name", "label", "ftype", field_terms(F.col("name"), F.col("label"), F.col("description")).alias("terms")).alias("f"))
+    asked = terms.groupBy("doc_id").agg(F.array_sort(F.collect_list("f")).alias("fields"))
+    sized = numbered.select("doc_id", F.col("ord").alias("seg"), "no", F.length(render_numbered(F.col("no"), F.col("heading"), F.col("content"))).alias("size"), F.lower("content").alias("low"))
+    found = F.transform("fields", lambda f: F.size(F.filter(f["terms"], lambda t: F.contains(F.col("low"), t))))
+    scored = sized.join(asked.select("doc_id", F.transform("fields", lambda f: F.struct(f["terms"].alias("terms"))).alias("fields")), "doc_id").select("doc_id", "seg", "no", "size", found.alias("scores"))
+    whole = scored.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seg", "no", "size", "scores"))).alias("segs"))
+    numbers = whole.select("doc_id", F.transform("segs", lambda s: s["size"]).alias("sizes"), F.transform("segs", lambda s: s["no"]).alias("nos"), F.transform("segs", lambda s: s["scores"]).alias("scores"))
+    told = F.transform("fields", lambda f, i: F.struct(f["ord"].alias("ord"), f["name"].alias("name"), f["label"].alias("label"), f["ftype"].alias("ftype"), F.transform("scores", lambda s: F.get(s, i)).alias("scores")))
+    each = asked.join(numbers, "doc_id").select("doc_id", "sizes", "nos", F.explode(told).alias("f")).select("doc_id", "sizes", "nos", "f.*")
+    chosen = once(each, "chosen", choose_context(F.col("scores"), F.col("sizes"), F.lit(cap)))
     return chosen.select(
-        "doc_id", "ord", "name", "label", "ftype", F.size("chosen").alias("n_chosen"), F.aggregate(kept, F.lit(0), lambda a, s: a + s["size"]).alias("context_chars"),
-        F.array_join(F.transform(F.filter(kept, lambda s: s["no"].isNotNull()), lambda s: s["no"].cast("string")), ",").alias("paragraphs"),
+        "doc_id", "ord", "name", "label", "ftype", F.size("chosen").alias("n_chosen"), F.aggregate("chosen", F.lit(0), lambda a, i: a + F.get("sizes", i)).alias("context_chars"),
+        F.array_join(F.filter(F.transform("chosen", lambda i: F.get("nos", i).cast("string")), lambda n: n.isNotNull()), ",").alias("paragraphs"),
     )

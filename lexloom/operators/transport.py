@@ -55,9 +55,9 @@ def translation_prompts(segments: DataFrame, direction: str = "en_to_zh") -> Dat
 
 
 def field_prompts(plan: DataFrame) -> DataFrame:
-    """A plan's fields with the question for each."""
-    asked = F.when(F.col("ftype") == "table", "a markdown table").when(F.col("ftype") == "list[string]", "an array, an item an element").when(F.col("ftype") == "enum", "one of the given values").when(F.col("ftype") == "integer", "a whole number").otherwise("a short passage")
-    prompt = F.concat(F.lit("Field: "), F.col("label"), F.lit("\nAnswer: "), asked, F.lit("\nCite paragraphs as [段落 N]; answer 引用缺失 where none supports it.\nReply with one JSON object: {\"zh\": ..., \"en\": ..., \"table\": ...}"))
+    """A plan's fields with the question for each: label, what it holds, form of the answer."""
+    asked = F.when(F.col("ftype") == "table", "a markdown table").when(F.col("ftype") == "list[string]", "an array, an item an element").when(F.col("ftype") == "enum", F.concat(F.lit("one of "), F.array_join("choices", "、"))).when(F.col("ftype") == "integer", "a whole number").otherwise("a short passage")
+    prompt = F.concat(F.lit("Field: "), F.col("label"), F.lit("\nHolds: "), F.col("description"), F.lit("\nAnswer: "), asked, F.lit("\nCite paragraphs as [段落 N]; answer 引用缺失 where none supports it.\nReply with one JSON object: {\"zh\": ..., \"en\": ..., \"table\": ...}"))
     return plan.withColumn("prompt", prompt)
 
 

@@ -212,7 +212,7 @@ def _literal(x: object) -> str:
     return "'" + str(x).replace("'", "''") + "'"
 
 
-_FIELDS = "fields(family, ford, name, label, ftype, required) AS (VALUES " + ", ".join(f"({_literal(d.family)}, {d.ord}, {_literal(d.name)}, {_literal(d.label)}, {_literal(d.ftype)}, {str(d.required).lower()})" for d in L.field_definitions()) + ")"
+_FIELDS = "fields(family, ford, name, label, ftype, description, required, choices) AS (VALUES " + ", ".join(f"({_literal(d.family)}, {i}, {_literal(d.name)}, {_literal(d.label)}, {_literal(d.ftype)}, {_literal(d.description)}, {str(d.required).lower()}, {_literal(', '.join(d.values))})" for i, d in enumerate(L.FIELDS)) + ")"
 _SHORT = "CASE {x} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in L.SHORT_NAMES.items()) + " END"
 PLAN = f"""{SCORES}, {_FIELDS},
 levels AS (
@@ -221,16 +221,16 @@ levels AS (
   UNION ALL SELECT r.doc_id, r.cross_type, k.rk, k.id, '次范式·' || {_SHORT.format(x='k.id')} FROM recognised r JOIN ranks k USING (doc_id)
     WHERE k.rk > 1 AND k.score >= 0.15 AND k.score >= CASE r.cross_type WHEN '多学科交叉' THEN 0.15 WHEN '双学科交叉' THEN 0.25 END
   UNION ALL SELECT doc_id, cross_type, 1000, 'dialogue', '交叉对话' FROM recognised WHERE cross_type = '多学科交叉'),
-every AS (SELECT doc_id, cross_type, level, source, name, label, ftype, required, row_number() OVER (PARTITION BY doc_id ORDER BY level, ford) AS pos FROM levels JOIN fields USING (family)),
+every AS (SELECT doc_id, cross_type, level, source, name, label, ftype, description, required, choices, row_number() OVER (PARTITION BY doc_id ORDER BY level, ford) AS pos FROM levels JOIN fields USING (family)),
 uniq AS (SELECT * FROM every QUALIFY row_number() OVER (PARTITION BY doc_id, name ORDER BY pos) = 1),
 near AS (SELECT *, name = 'validation_metrics' AND level BETWEEN 2 AND 999 AND coalesce(min(CASE WHEN name = 'evaluation_metrics' THEN pos END) OVER (PARTITION BY doc_id) < pos, false) AS close FROM uniq),
-plan AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS ord, name, CASE WHEN close THEN label || '（次范式视角）' ELSE label END AS label, ftype, required,
+plan AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS ord, name, CASE WHEN close THEN label || '（次范式视角）' ELSE label END AS label, ftype, description, required, choices,
   CASE WHEN close THEN replace(source, '次范式·', '次范式视角·') ELSE source END AS source, cross_type,
   CASE cross_type WHEN '单学科' THEN '通用字段 + 主范式特有字段' WHEN '双学科交叉' THEN '通用字段 + 主范式特有字段 + 次范式特有字段' ELSE '通用字段 + 各范式特有字段 + 交叉对话字段' END AS strategy FROM near)"""
 
 _HAN_LABEL = r"regexp_replace(label, '[\x00-\x7f\p{Z}]', '', 'g')"
 _TERMS = (
-    "list_sort(list_distinct(list_concat(list_filter(list_transform(string_split_regex(name, '[^A-Za-z0-9]+'), lambda w: lower(w)), lambda w: length(w) >= 4), "
+    "list_sort(list_distinct(list_concat(list_filter(list_transform(string_split_regex(name || ' ' || description, '[^A-Za-z0-9]+'), lambda w: lower(w)), lambda w: length(w) >= 4), "
     f"CASE WHEN length({_HAN_LABEL}) >= 2 THEN list_transform(range(1, length({_HAN_LABEL})), lambda i: substring({_HAN_LABEL}, i, 2)) ELSE [] END)))"
 )
 
@@ -240,7 +240,7 @@ def _contexts(cap: int) -> str:
     take = "CASE WHEN a[1] + x[1] <= {room} THEN list_concat([a[1] + x[1]], a[2:], [x[2]]) ELSE a END"
     return f"""{PLAN}{numbered},
 segs AS (SELECT doc_id, list(lower(content) ORDER BY ord) AS low, list(length({RENDERED})::BIGINT ORDER BY ord) AS sizes, list(no ORDER BY ord) AS nos FROM numbered GROUP BY doc_id),
-searched AS (SELECT p.doc_id, p.name, p.label, p.ftype, s.sizes, s.nos, s.low, {_TERMS.replace('name,', 'p.name,').replace('label', 'p.label')} AS terms FROM plan p JOIN segs s USING (doc_id)),
+searched AS (SELECT p.doc_id, p.name, p.label, p.ftype, s.sizes, s.nos, s.low, {_TERMS.replace('name ||', 'p.name ||').replace('description', 'p.description').replace('label', 'p.label')} AS terms FROM plan p JOIN segs s USING (doc_id)),
 scored AS (SELECT *, list_transform(low, lambda c: len(list_filter(terms, lambda t: contains(c, t)))) AS sc FROM searched),
 queue AS (SELECT *, list_transform(range(1, len(low) + 1), lambda i: [sizes[i], i - 1]) AS entries,
   list_transform(list_sort(list_transform(list_filter(range(1, len(low) + 1), lambda i: sc[i] > 0), lambda i: [-sc[i], i])), lambda e: [sizes[e[2]], e[2] - 1]) AS hits FROM scored),
@@ -249,24 +249,51 @@ filled AS (SELECT *, list_reduce(list_filter(entries, lambda e: NOT list_contain
 contexts AS (SELECT doc_id, name, label, len(f) - 1 AS n_chosen, f[1] AS context_chars, array_to_string(list_filter(list_transform(list_sort(f[2:]), lambda o: nos[o + 1]), lambda n: n IS NOT NULL), ',') AS paragraphs FROM filled)"""
 
 
-def _discipline_sql() -> str:
-    rows = []
-    for i, d in enumerate(L.DISCIPLINES):
-        strong, weak = [t for t in d.terms if t not in L.WEAK_TERMS], [t for t in d.terms if t in L.WEAK_TERMS]
-        rows.append(f"SELECT doc_id, {i} AS ord, {_literal(d.name)} AS name, {_literal(d.code)} AS code, {_words('hay', strong)} + {_words('narrow', weak)} AS hits, {_words('hay', d.terms)} AS all_hits FROM nar")
-    return f"{_HAY}, nar AS (SELECT *, lower(concat_ws(' ', title, keywords)) AS narrow FROM hay), dis AS ({' UNION ALL '.join(rows)})"
+def _found(d: L.Discipline) -> str:
+    """The terms of a discipline that a document has, in the table's order."""
+    word = "regexp_matches({h}, '(^|[^a-zA-Z0-9])' || t || '(e?s)?([^a-zA-Z0-9]|$)')"
+    told = lambda h: f"CASE WHEN regexp_matches(t, '^[a-z]+$') THEN contains({h}, t) AND {word.format(h=h)} ELSE contains({h}, t) END"
+    return f"list_filter({_list(d.terms)}, lambda t: CASE WHEN list_contains({_list(L.WEAK_TERMS)}, t) THEN {told('narrow')} ELSE {told('hay')} END)"
+
+
+def _discipline_sql(hay: str) -> str:
+    rows = [f"SELECT doc_id, '{k}' AS scheme, {i} AS ord, {_literal(d.group)} AS grp, {_literal(d.code)} AS code, {_literal(d.name)} AS name, {_found(d)} AS found FROM nar" for k, t in L.SCHEMES.items() for i, d in enumerate(t)]
+    none = "CASE b.scheme " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in L.UNIDENTIFIED.items()) + " END"
+    return f"""{hay}, nar AS (SELECT *, lower(concat_ws(' ', title, keywords)) AS narrow FROM hay), dis AS (SELECT *, len(found) AS hits FROM ({' UNION ALL '.join(rows)})),
+      rk AS (SELECT *, row_number() OVER (PARTITION BY doc_id, scheme ORDER BY hits DESC, ord) AS r FROM dis), more AS (SELECT * FROM rk WHERE r > 1 AND hits >= 2 QUALIFY row_number() OVER (PARTITION BY doc_id, scheme ORDER BY r) <= 3),
+      disciplines AS (SELECT b.doc_id, b.scheme, CASE WHEN b.hits > 0 THEN b.grp END AS "group", CASE WHEN b.hits > 0 THEN b.code END AS code, CASE WHEN b.hits = 0 THEN {none} ELSE b.name END AS name, least(b.hits / 4.0, 1.0)::DOUBLE AS confidence,
+        array_to_string(b.found[1:5], ', ') AS basis, coalesce(m.s, '') AS secondary
+        FROM rk b LEFT JOIN (SELECT doc_id, scheme, string_agg(name, ', ' ORDER BY r) AS s FROM more GROUP BY doc_id, scheme) m USING (doc_id, scheme) WHERE b.r = 1)"""
+
+
+def _direction_sql() -> str:
+    rows = [f"SELECT doc_id, {i} AS ord, {_literal(d.name)} AS name, {_words('hay', d.terms)} AS hits FROM hay" for i, d in enumerate(L.DIRECTIONS)]
+    return f"""directions AS (SELECT doc_id, r - 1 AS rank, name AS direction, round(least(hits / 3.0, 1.0)::DOUBLE, 6) AS weight
+      FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, ord) AS r FROM ({' UNION ALL '.join(rows)}) WHERE hits >= 2) WHERE r <= 3)"""
+
+
+def _papers() -> str:
+    rows = ", ".join(f"({p[0]}::BIGINT, {_literal(p[1])}, {_literal(p[2])}, {_list(p[3])}, {_literal(p[4])}, {_literal(p[5])}, {p[6]}, {p[7]}, {p[8]})" for p in L.SAMPLE_PAPERS)
+    return f"signals(doc_id, title, abstract, headings, body_sample, keywords, table_count, image_count, math_symbols) AS (VALUES {rows})"
 
 
-_DISC = _discipline_sql()
+_PAPERS = _papers() + SCORES[len(SIGNALS) :]
 SQL |= {
     "lexicon_hits": f"WITH {_HAY} " + " UNION ALL ".join(f"SELECT doc_id, '{p.id}' AS id, len({_hits('hay', p.keywords)}) AS parts, {_words('hay', p.keywords)} AS words FROM hay" for p in L.PARADIGMS),
     "recognise_scores": f"WITH {SCORES} SELECT doc_id, ord, id, round(section_hit, 6) AS section_hit, round(keyword_hit, 6) AS keyword_hit, round(object_hit, 6) AS object_hit, round(prior, 6) AS prior, round(score, 6) AS score, array_to_string(found, ', ') AS found FROM scores",
     "recognise_primary": f"WITH {SCORES} SELECT doc_id, best AS paradigm, round(least(b, 1.0), 6) AS confidence, cross_type, b < 0.50 AS review, secondary FROM recognised",
-    "disciplines_top": f"""WITH {_DISC}, rk AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, ord) AS r FROM dis), more AS (SELECT * FROM rk WHERE r > 1 AND hits >= 2 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY r) <= 3)
-        SELECT b.doc_id, CASE WHEN b.hits = 0 THEN 'Unidentified' ELSE b.name END AS name, CASE WHEN b.hits > 0 THEN b.code END AS code, least(b.hits / 4.0, 1.0)::DOUBLE AS confidence, coalesce(m.s, '') AS secondary
-        FROM rk b LEFT JOIN (SELECT doc_id, string_agg(name, ', ' ORDER BY r) AS s FROM more GROUP BY doc_id) m USING (doc_id) WHERE b.r = 1""",
-    "directions_top": f"WITH {_DISC} SELECT doc_id, r - 1 AS rank, name AS direction, round(least(all_hits / 3.0, 1.0)::DOUBLE, 6) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY all_hits DESC, ord) AS r FROM dis WHERE all_hits >= 2) WHERE r <= 3",
-    "field_plan": f"WITH {PLAN} SELECT doc_id, ord, name, label, ftype, required, source, cross_type, strategy FROM plan",
+    "disciplines_top": f"WITH {_discipline_sql(_HAY)} SELECT * FROM disciplines",
+    "directions_top": f"WITH {_HAY}, {_direction_sql()} SELECT * FROM directions",
+    "sample_recognition": f"""WITH {_discipline_sql(_PAPERS)}, {_direction_sql()}
+        SELECT r.doc_id, r.best AS paradigm, round(least(r.b, 1.0), 6) AS confidence, r.cross_type, d.domestic, d.international, coalesce(t.directions, '') AS directions FROM recognised r
+        JOIN (SELECT doc_id, max(CASE WHEN scheme = 'domestic' THEN name END) AS domestic, max(CASE WHEN scheme = 'international' THEN name END) AS international FROM disciplines GROUP BY doc_id) d USING (doc_id)
+        LEFT JOIN (SELECT doc_id, string_agg(direction, ', ' ORDER BY rank) AS directions FROM directions GROUP BY doc_id) t USING (doc_id)""",
+    "plan_notes": f"""WITH {SCORES}, {_FIELDS}, levels AS (SELECT doc_id, 0 AS level, 'common' AS family FROM recognised UNION ALL SELECT doc_id, 1, best FROM recognised
+          UNION ALL SELECT r.doc_id, k.rk, k.id FROM recognised r JOIN ranks k USING (doc_id) WHERE k.rk > 1 AND k.score >= 0.15 UNION ALL SELECT doc_id, 1000, 'dialogue' FROM recognised),
+        every AS (SELECT doc_id, level, name, label, row_number() OVER (PARTITION BY doc_id ORDER BY level, ford) - 1 AS pos FROM levels JOIN fields USING (family)),
+        nth AS (SELECT *, row_number() OVER (PARTITION BY doc_id, name ORDER BY pos) AS nth FROM every)
+        SELECT doc_id, pos, '字段「' || label || '」同名冲突：采用主范式定义，跳过次范式同名项' AS note FROM nth WHERE nth > 1 AND level BETWEEN 2 AND 999""",
+    "field_plan": f"WITH {PLAN} SELECT doc_id, ord, name, label, ftype, description, required, choices, source, cross_type, strategy FROM plan",
     "field_terms": f"WITH {_FIELDS} SELECT family, name, array_to_string({_TERMS}, ' ') AS terms FROM fields",
     "field_context": f"WITH {_contexts(3000)} SELECT doc_id, name, label, n_chosen, context_chars, paragraphs FROM contexts",
     "field_context_full": f"WITH {_contexts(60000)} SELECT doc_id, name, label, n_chosen, context_chars, paragraphs FROM contexts",
@@ -435,7 +462,7 @@ SQL |= {
         SELECT doc_id, CASE WHEN han > 0.4 * letters AND kana * 20 < letters THEN '中文' WHEN english >= 2 AND english * 12 >= len(ws) THEN '英文' ELSE '其他' END AS language FROM e""",
     "translation_requests": rf"""WITH {SEGMENTS}, c AS (SELECT *, kind = 'image_caption' AND {trim(f"regexp_replace(content, '{_IMAGE}', '', 'g')")} = '' AS passthrough, regexp_matches({ltrim('content')}, '^(Figure|Fig\.|Table|Tab\.|Schema|Diagram|Photo|图|表|插图)') AS captioned FROM seg)
         SELECT doc_id, seg_index, passthrough, CASE WHEN NOT passthrough THEN length('Answer with the translation alone.' || chr(10) || chr(10) || {_TASK} || content)::BIGINT END AS n_chars FROM c""",
-    "field_prompts": f"""WITH {PLAN} SELECT doc_id, count(*) AS n_prompts, sum(length('Field: ' || label || chr(10) || 'Answer: ' || CASE ftype WHEN 'table' THEN 'a markdown table' WHEN 'list[string]' THEN 'an array, an item an element' WHEN 'enum' THEN 'one of the given values' WHEN 'integer' THEN 'a whole number' ELSE 'a short passage' END
+    "field_prompts": f"""WITH {PLAN} SELECT doc_id, count(*) AS n_prompts, sum(length('Field: ' || label || chr(10) || 'Holds: ' || description || chr(10) || 'Answer: ' || CASE ftype WHEN 'table' THEN 'a markdown table' WHEN 'list[string]' THEN 'an array, an item an element' WHEN 'enum' THEN 'one of ' || replace(choices, ', ', '、') WHEN 'integer' THEN 'a whole number' ELSE 'a short passage' END
           || chr(10) || 'Cite paragraphs as [段落 N]; answer 引用缺失 where none supports it.' || chr(10) || 'Reply with one JSON object: {{"zh": ..., "en": ..., "table": ...}}'))::BIGINT AS n_chars FROM plan GROUP BY doc_id""",
 }
 

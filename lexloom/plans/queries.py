@@ -197,26 +197,47 @@ def recognise_primary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def disciplines_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return recognize.disciplines(signals_of(spark, sf_dir), lexicons.DISCIPLINES)
+    """Under the national and the international scheme."""
+    return recognize.disciplines(signals_of(spark, sf_dir))
 
 
 @query
 def directions_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = recognize.directions(signals_of(spark, sf_dir), lexicons.DISCIPLINES)
-    return d.withColumn("weight", F.round("weight", 6))
+    return recognize.directions(signals_of(spark, sf_dir)).withColumn("weight", F.round("weight", 6))
+
+
+def sample_papers(spark: SparkSession) -> DataFrame:
+    """Signals of six papers whose kind of study, discipline and directions are known."""
+    return spark.createDataFrame(lexicons.SAMPLE_PAPERS, "doc_id bigint, title string, abstract string, headings array<string>, body_sample string, keywords string, table_count int, image_count int, math_symbols int")
+
+
+@query
+def sample_recognition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = sample_papers(spark)
+    told = recognize.ranked(recognize.scores(s)).select("doc_id", F.col("best.id").alias("paradigm"), F.round("confidence", 6).alias("confidence"), "cross_type")
+    by = recognize.disciplines(s).groupBy("doc_id").agg(*(F.max(F.when(F.col("scheme") == k, F.col("name"))).alias(k) for k in lexicons.SCHEMES))
+    to = recognize.directions(s).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "direction"))), lambda x: x["direction"]), ", ").alias("directions"))
+    return told.join(by, "doc_id").join(to, "doc_id", "left").withColumn("directions", F.coalesce("directions", F.lit("")))
 
 
 @query
 def field_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return recognize.field_plan(recognised(spark, sf_dir))
+    return recognize.field_plan(recognised(spark, sf_dir)).withColumn("choices", F.array_join("choices", ", "))
+
+
+@query
+def plan_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names that clash, where every paradigm but the best is a second one."""
+    every = recognised(spark, sf_dir).withColumn("rest", F.transform("rest", lambda x: x.withField("score", F.lit(0.5)))).withColumn("cross_type", F.lit("多学科交叉"))
+    return recognize.plan_notes(every)
 
 
 @query
 def field_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each field is searched by."""
-    rows = [(d.family, d.name, d.label) for d in lexicons.field_definitions()]
-    df = spark.createDataFrame(rows, "family string, name string, label string")
-    return df.select("family", "name", F.array_join(recognize.field_terms(F.col("name"), F.col("label")), " ").alias("terms"))
+    rows = [(d.family, d.name, d.label, d.description) for d in lexicons.FIELDS]
+    df = spark.createDataFrame(rows, "family string, name string, label string, description string")
+    return df.select("family", "name", F.array_join(recognize.field_terms(F.col("name"), F.col("label"), F.col("description")), " ").alias("terms"))
 
 
 @query

@@ -53,9 +53,9 @@ def test_plans(spark):
 
 
 def test_field_definitions():
-    fields = L.field_definitions()
+    fields = L.FIELDS
     assert len(fields) == 95 and len({(f.family, f.name) for f in fields}) == 95
-    assert next(f for f in fields if f.name == "blinding").enum_values == ("开放", "单盲", "双盲", "三盲", "评估者盲")
+    assert next(f for f in fields if f.name == "blinding").values == ("开放", "单盲", "双盲", "三盲", "评估者盲")
 
 
 @pytest.mark.parametrize(("hay", "term", "expected"), [("state of the art now", "art", True), ("many arts here", "art", True), ("participant", "art", False), ("数字遗产", "遗产", True), ("an f1-score", "f1-score", True)])
@@ -66,8 +66,8 @@ def test_words(spark, hay, term, expected):
 
 
 def choose(spark, entries, cap):
-    df = spark.createDataFrame([(entries, cap)], "e array<struct<ord:int,score:int,length:int>>, cap int")
-    return df.select(recognize.choose_context(F.col("e"), F.col("cap")).alias("c")).first().c
+    df = spark.createDataFrame([([e[1] for e in entries], [e[2] for e in entries], cap)], "s array<int>, n array<int>, cap int")
+    return df.select(recognize.choose_context(F.col("s"), F.col("n"), F.col("cap")).alias("c")).first().c
 
 
 def test_context_skips_what_does_not_fit(spark):
@@ -82,8 +82,8 @@ def test_context_against_a_greedy_model(spark):
 
     rng = random.Random(5)
     cases = [([(i, rng.randint(0, 3), rng.randint(1, 40)) for i in range(rng.randint(0, 9))], rng.randint(10, 120)) for _ in range(80)]
-    df = spark.createDataFrame([(i, e, c) for i, (e, c) in enumerate(cases)], "id int, e array<struct<ord:int,score:int,length:int>>, cap int")
-    got = {r.id: r.c for r in df.select("id", recognize.choose_context(F.col("e"), F.col("cap")).alias("c")).collect()}
+    df = spark.createDataFrame([(i, [x[1] for x in e], [x[2] for x in e], c) for i, (e, c) in enumerate(cases)], "id int, s array<int>, n array<int>, cap int")
+    got = {r.id: r.c for r in df.select("id", recognize.choose_context(F.col("s"), F.col("n"), F.col("cap")).alias("c")).collect()}
     for i, (entries, cap) in enumerate(cases):
         used, taken = 0, []
         queue = sorted((e for e in entries if e[1] > 0), key=lambda e: (-e[1], e[0]))
@@ -103,3 +103,25 @@ def test_full_contexts_are_those_of_the_flagship(spark):
     full, flagship = (queries.QUERIES[n](spark, oracle_tools.DATA) for n in ("field_context_full", "flagship"))
     assert full.select(*flagship.columns).exceptAll(flagship).count() == 0 and full.count() == flagship.count()
     assert full.selectExpr("max(context_chars)").first()[0] > 3000
+
+
+def test_no_text_is_carried_once_it_is_scored(spark):
+    import oracle_tools
+
+    from lexloom.plans import queries
+
+    plan = queries.QUERIES["flagship"](spark, oracle_tools.DATA)._jdf.queryExecution().optimizedPlan().toString()
+    gathered = [line for line in plan.split("\n") if "Aggregate [doc_id" in line and "collect_list(struct(seg," in line]
+    assert gathered and all("low" not in line and "content" not in line for line in gathered)
+
+
+def test_sample_papers(spark):
+    from lexloom.plans import queries
+
+    got = {r.doc_id: r for r in queries.QUERIES["sample_recognition"](spark, "").collect()}
+    kinds = ["experimental-baseline", "theoretical", "empirical-stat", "experimental-baseline", "systematic-review", "design-science"]
+    assert [got[i + 1].paradigm for i in range(6)] == [f"paradigm-{k}" for k in kinds]
+    assert got[1].confidence >= 0.7 and got[1].cross_type == "单学科" and got[4].confidence > 0.7
+    assert got[4].domestic != "新闻传播学"
+    assert (got[6].domestic, got[6].international) == ("非物质文化遗产学", "Conservation")
+    assert {"数字遗产与非遗数字化", "虚拟现实与沉浸式技术"} <= set(got[6].directions.split(", "))
