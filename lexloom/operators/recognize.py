@@ -127,17 +127,11 @@ def ranked(scored: DataFrame) -> DataFrame:
     return once(held, "_told", told).select("doc_id", "title", "keywords", "hay", "_told.*")
 
 
-def _ranked_hits(entries: list[Column]) -> Column:
-    """Entries by hits, ties in the table's order: sorted without a comparator."""
-    return F.array_sort(F.transform(F.array(*entries), lambda x: F.struct((-x["hits"]).alias("less"), x["ord"].alias("ord"), x["hits"].alias("hits"), x["name"].alias("name"), x["code"].alias("code"), x["group"].alias("group"), x["found"].alias("found"))))
-
-
-def _entries(table: tuple[L.Discipline, ...], found: Callable[[L.Discipline], Column]) -> list[Column]:
-    out = []
-    for i, d in enumerate(table):
-        hits = found(d)
-        out.append(F.struct(F.lit(i).alias("ord"), F.lit(d.name).alias("name"), F.lit(d.code).alias("code"), F.lit(d.group).alias("group"), F.size(hits).alias("hits"), hits.alias("found")))
-    return out
+def _ranked_hits(table: tuple[L.Discipline, ...], found: Callable[[L.Discipline], Column]) -> Column:
+    """Entries of a table with the terms found, by hits, ties in the table's order; terms
+    are searched for once, and no comparator is called."""
+    entries = [F.struct(F.lit(i).alias("ord"), F.lit(d.name).alias("name"), F.lit(d.code).alias("code"), F.lit(d.group).alias("group"), found(d).alias("found")) for i, d in enumerate(table)]
+    return F.array_sort(F.transform(F.array(*entries), lambda x: F.struct((-F.size(x["found"])).alias("less"), x["ord"].alias("ord"), F.size(x["found"]).alias("hits"), x["name"].alias("name"), x["code"].alias("code"), x["group"].alias("group"), x["found"].alias("found"))))
 
 
 def disciplines(signals: DataFrame, schemes: dict[str, tuple[L.Discipline, ...]] = L.SCHEMES, weak: tuple[str, ...] = L.WEAK_TERMS) -> DataFrame:
@@ -153,7 +147,7 @@ def disciplines(signals: DataFrame, schemes: dict[str, tuple[L.Discipline, ...]]
         # Weak terms are looked up apart, but the terms found keep their order.
         return F.filter(_terms(*d.terms), lambda t: F.when(t.isin(*weak), T.has_word(F.col("narrow"), t)).otherwise(T.has_word(F.col("hay"), t)))
 
-    told = F.array(*(F.struct(F.lit(k).alias("scheme"), F.lit(L.UNIDENTIFIED.get(k, "Unidentified")).alias("none"), _ranked_hits(_entries(t, found)).alias("r")) for k, t in schemes.items()))
+    told = F.array(*(F.struct(F.lit(k).alias("scheme"), F.lit(L.UNIDENTIFIED.get(k, "Unidentified")).alias("none"), _ranked_hits(t, found).alias("r")) for k, t in schemes.items()))
     each = held.select("doc_id", F.explode(told).alias("x")).select("doc_id", "x.*")
     best = F.get("r", 0)
     none = best["hits"] == 0
@@ -167,7 +161,7 @@ def disciplines(signals: DataFrame, schemes: dict[str, tuple[L.Discipline, ...]]
 def directions(signals: DataFrame, table: tuple[L.Discipline, ...] = L.DIRECTIONS) -> DataFrame:
     """(doc_id, rank, direction, weight): the three directions hit most, twice at least."""
     held = haystacks(signals)
-    order = _ranked_hits(_entries(table, lambda d: T.word_hits(F.col("hay"), _terms(*d.terms))))
+    order = _ranked_hits(table, lambda d: T.word_hits(F.col("hay"), _terms(*d.terms)))
     top = held.select("doc_id", F.posexplode(F.slice(F.filter(order, lambda x: x["hits"] >= 2), 1, 3)).alias("rank", "x"))
     return top.select("doc_id", "rank", F.col("x.name").alias("direction"), F.least(F.col("x.hits") / 3.0, F.lit(1.0)).alias("weight"))
 
@@ -274,11 +268,13 @@ def field_contexts(plan: DataFrame, numbered: DataFrame, cap: int = 60_000) -> D
     asked = terms.groupBy("doc_id").agg(F.array_sort(F.collect_list("f")).alias("fields"))
     sized = numbered.select("doc_id", F.col("ord").alias("seg"), "no", F.length(render_numbered(F.col("no"), F.col("heading"), F.col("content"))).alias("size"), F.lower("content").alias("low"))
     found = F.transform("fields", lambda f: F.size(F.filter(f["terms"], lambda t: F.contains(F.col("low"), t))))
-    scored = sized.join(asked.select("doc_id", F.transform("fields", lambda f: F.struct(f["terms"].alias("terms"))).alias("fields")), "doc_id").select("doc_id", "seg", "no", "size", found.alias("scores"))
-    whole = scored.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seg", "no", "size", "scores"))).alias("segs"))
-    numbers = whole.select("doc_id", F.transform("segs", lambda s: s["size"]).alias("sizes"), F.transform("segs", lambda s: s["no"]).alias("nos"), F.transform("segs", lambda s: s["scores"]).alias("scores"))
-    told = F.transform("fields", lambda f, i: F.struct(f["ord"].alias("ord"), f["name"].alias("name"), f["label"].alias("label"), f["ftype"].alias("ftype"), F.transform("scores", lambda s: F.get(s, i)).alias("scores")))
-    each = asked.join(numbers, "doc_id").select("doc_id", "sizes", "nos", F.explode(told).alias("f")).select("doc_id", "sizes", "nos", "f.*")
+    told = F.transform("fields", lambda f: F.struct(f["ord"].alias("ord"), f["name"].alias("name"), f["label"].alias("label"), f["ftype"].alias("ftype")))
+    scored = sized.join(asked, "doc_id").select("doc_id", told.alias("fields"), F.struct("seg", "no", "size", found.alias("scores")).alias("s"))
+    # Both sides are laid out by document, and so is what follows: the plan is made once.
+    whole = scored.groupBy("doc_id").agg(F.first("fields").alias("fields"), F.array_sort(F.collect_list("s")).alias("segs"))
+    numbers = whole.select("doc_id", "fields", F.transform("segs", lambda s: s["size"]).alias("sizes"), F.transform("segs", lambda s: s["no"]).alias("nos"), F.transform("segs", lambda s: s["scores"]).alias("scores"))
+    of_field = F.transform("fields", lambda f, i: f.withField("scores", F.transform("scores", lambda s: F.get(s, i))))
+    each = numbers.select("doc_id", "sizes", "nos", F.explode(of_field).alias("f")).select("doc_id", "sizes", "nos", "f.*")
     chosen = once(each, "chosen", choose_context(F.col("scores"), F.col("sizes"), F.lit(cap)))
     return chosen.select(
         "doc_id", "ord", "name", "label", "ftype", F.size("chosen").alias("n_chosen"), F.aggregate("chosen", F.lit(0), lambda a, i: a + F.get("sizes", i)).alias("context_chars"),

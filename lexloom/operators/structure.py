@@ -239,12 +239,13 @@ def title_and_authors(docs: DataFrame) -> DataFrame:
     return grouped.select("doc_id", F.when((F.col("h") != "") & (F.octet_length("h") <= 200), F.col("h")).alias("title"), F.when(F.size("names") > 0, F.array_join("names", ", ")).alias("authors"))
 
 
-def keywords_line(docs: DataFrame) -> DataFrame:
-    """(doc_id, keywords): what the first line of keywords names."""
-    t = T.trim_all(F.regexp_replace("t", r"^(?:\*\*)+", ""))
-    body = T.trim_all(F.when(t.rlike("[:：]"), F.regexp_replace(t, "(?s)^.*?[:：]", "")).otherwise(t))
-    fits = F.lower(t).rlike("^(?:keywords|关键词|key words)") & (body != "") & (F.octet_length(body) < 400)
-    return lines_of(docs).filter(fits).groupBy("doc_id").agg(F.min(F.struct("pos", body.alias("k")))["k"].alias("keywords"))
+def keywords_line(md: Column) -> Column:
+    """What the first line of keywords names; null without one."""
+    space = r"[\t\x0b-\r\x{85}\p{Z}]"
+    lines = F.regexp_extract_all(md, F.lit(rf"(?dim)^{space}*(?:\*\*)*{space}*(?:keywords|关键词|key words)[^\n]*"), F.lit(0))
+    bare = F.transform(lines, lambda x: T.trim_all(F.regexp_replace(T.trim_all(x), r"^(?:\*\*)+", "")))
+    bodies = F.transform(bare, lambda t: T.trim_all(F.when(t.rlike("[:：]"), F.regexp_replace(t, "(?s)^.*?[:：]", "")).otherwise(t)))
+    return F.get(F.filter(bodies, lambda x: (x != "") & (F.octet_length(x) < 400)), 0)
 
 
 def signals(docs: DataFrame, titles: DataFrame | None = None) -> DataFrame:
@@ -255,8 +256,8 @@ def signals(docs: DataFrame, titles: DataFrame | None = None) -> DataFrame:
     whole = segments(docs).groupBy("doc_id").agg(by.alias("s"), F.count_if(F.col("kind") == "table").alias("table_count"), F.count_if(F.col("kind") == "image_caption").alias("caps"))
     texts = lambda kind: F.transform(F.filter("s", lambda x: x["kind"] == kind), lambda x: x["content"])
     heads = F.filter(F.transform(texts("heading"), lambda h: T.trim_all(F.regexp_replace(h, "^#+", ""))), lambda h: h != "")
-    marks = docs.select("doc_id", T.occurrences(F.col("md"), "![").alias("marks"), T.occurrences(F.col("md"), "$").alias("math_symbols"))
-    joined = docs.select("doc_id").join(whole, "doc_id", "left").join(marks, "doc_id").join(keywords_line(docs), "doc_id", "left")
+    marks = docs.select("doc_id", T.occurrences(F.col("md"), "![").alias("marks"), T.occurrences(F.col("md"), "$").alias("math_symbols"), keywords_line(F.col("md")).alias("keywords"))
+    joined = marks.join(whole, "doc_id", "left")
     if titles is not None:
         joined = joined.join(titles.select("doc_id", F.col("title").alias("given")), "doc_id", "left")
     else:

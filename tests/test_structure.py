@@ -148,8 +148,9 @@ def test_title_and_authors(spark):
 
 
 def test_keywords(spark):
-    got = {r.doc_id: r.keywords for r in structure.keywords_line(docs(spark, "**Keywords:** a, b", "关键词：甲；乙\nKeywords: c", "nothing", "Key words x")).collect()}
-    assert got == {0: "** a, b", 1: "甲；乙", 3: "Key words x"}
+    mds = docs(spark, "**Keywords:** a, b", "关键词：甲；乙\nKeywords: c", "nothing", "Key words x", "text\r\n \u3000**keywords：\r\n关键词 \r\nA Keywords: no")
+    got = {r.doc_id: r.keywords for r in mds.select("doc_id", structure.keywords_line(F.col("md")).alias("keywords")).collect()}
+    assert got == {0: "** a, b", 1: "甲；乙", 2: None, 3: "Key words x", 4: "关键词"}
 
 
 @pytest.mark.parametrize(
