@@ -5,9 +5,15 @@ both sides, copied stretches, numbers and names carried over, lengths against wh
 the corpus has, wordings of refusal, and how many different prompts got the same
 response. For every defect a label model (one latent class per pair, functions
 independent given it) is fitted by expectation-maximization to the counts of their
-vote patterns, which the cluster aggregates; it gives every pattern a posterior. A
-pair gets each defect whose posterior passes the defect's cutoff, and the cutoff is
-the one with the best expected F1 under the model.
+vote patterns, which the cluster aggregates; it gives every pattern a posterior. No
+defect's votes look at another defect's, so a pair gets each defect whose posterior
+passes the defect's cutoff. Cutoffs are validated: the pairs are parted in two halves
+by their ids, a model is fitted to each half, and a half's cutoff is the one with the
+best F1 of its model on the other half, whose own model says how likely each pattern
+there is the defect.
+
+Texts are shuffled once, to find the row of each segment that was loaded last. What
+needs other pairs (stock responses, headings) is found on hashes and joined by segment.
 
 Defined results: a null response is empty; a null prompt gives only what the
 response alone shows; repeated rows of a segment count once, the row loaded last;
@@ -35,6 +41,8 @@ KINDS = ("paragraph", "heading", "image_caption")
 #: prompts that got it differ: the prompts of a phrase that is translated again and again
 #: are few (one in each language), however large the corpus.
 STOCK = 3
+#: The share of pairs that a defect is first taken to have.
+PRIOR = 0.02
 
 _LETTER = re.compile(r"[^\W_]")
 _REFUSAL = re.compile(
@@ -101,15 +109,16 @@ def likeliest(text: str, cosines: np.ndarray) -> tuple[str | None, float]:
 #: The functions' names by defect, in the order :func:`votes` gives them.
 FUNCTIONS = {
     "empty": ("no_letter", "no_word", "tiny"),
-    "refusal": ("wording", "opening", "stock", "nothing_kept"),
+    "refusal": ("wording", "opening", "stock", "nothing_kept", "no_copy", "prompt_plain"),
     "copy": ("same_letters", "source_language", "most_of_it"),
     "wrong_language": ("third_language", "not_target", "not_copied", "kept"),
     "truncated": ("no_end_mark", "open_end", "short"),
 }
 
 
-def votes(kind: str, original: str | None, translated: str | None, target: str, languages: tuple[tuple[str | None, float], tuple[str | None, float]], stock: int, ratio: float) -> dict[str, tuple[int, ...]]:
-    """A vote of every function: 1 for the defect, 0 against it, -1 to abstain."""
+def votes(kind: str, original: str | None, translated: str | None, target: str, languages: tuple[tuple[str | None, float], tuple[str | None, float]], ratio: float) -> dict[str, tuple[int, ...]]:
+    """A vote of every function: 1 for the defect, 0 against it, -1 to abstain. The
+    vote on stock, which needs other pairs, is left to :func:`label_pairs`."""
     original, translated = original or "", translated or ""
     if not _LETTER.search(translated):
         return {d: ((1, int(not re.search(r"\w", translated)), int(len(translated.strip()) <= 4)) if d == "empty" else (0,) * len(FUNCTIONS[d])) for d in DEFECTS}
@@ -120,23 +129,20 @@ def votes(kind: str, original: str | None, translated: str | None, target: str,
     in_response, in_prompt = copied(original, translated)
     exact = squeeze(original) == squeeze(translated)
     long = kind == "paragraph"
-    # Only what words a refusal keeps other defects from being seen; stock is one vote.
-    refuses = wording and (opening or kept <= 0)
     same = given == source and given is not None
     copy_like = exact or (in_response >= 0.75 and in_prompt >= 0.5 if long else min(in_response, in_prompt) >= 0.8)
-    if kind == "heading" and given == target:
-        # Some headings are the same in both languages.
-        copy_like, in_prompt = False, 0.0
+    # Some headings are the same in both languages.
+    shared = kind == "heading" and given == target
     third = given is not None and given not in (target, source) and (given_lead >= 0.12 or long)
     ended = bool(_END_MARK.search(translated.strip()))
     last = translated.rstrip()[-1:]
     open_end = not ended and (last.isalnum() or last in ",，、;；:：-–—([（【「“" or len(sentences._depths(translated)) * 2 != sum(c in '"“”«»「」（）()[]' for c in translated))
     return {
         "empty": (0, 0, int(len(translated.strip()) <= 1)),
-        "refusal": (int(wording), int(opening), int(kind != "heading" and stock >= STOCK), -1 if kept < 0 else int(kept == 0)) if not (copy_like and not refuses) else (int(wording), 0, 0, 0),
-        "copy": (int(copy_like), int(same and (exact or given != target)), int(in_prompt >= 0.5)),
-        "wrong_language": (int(third and not refuses), int(given not in (target, source, None) and not refuses), int(in_response < 0.6) if third else -1, int(kept > 0) if third and kept >= 0 else -1),
-        "truncated": (-1 if given == "th" else int(long and not ended and not refuses), int(long and open_end and not refuses), -1 if ratio <= 0 else int(long and ratio < 0.75)),
+        "refusal": (int(wording), int(opening), 0, -1 if kept < 0 else int(kept == 0), 0 if copy_like else -1, 0 if _REFUSAL.search(original) else -1),
+        "copy": (int(copy_like and not shared), int(same and (exact or given != target)), int(in_prompt >= 0.5 and not shared)),
+        "wrong_language": (int(third), int(given not in (target, source, None)), int(in_response < 0.6) if third else -1, int(kept > 0) if third and kept >= 0 else -1),
+        "truncated": (-1 if given == "th" else int(long and not ended), int(long and open_end), -1 if ratio <= 0 else int(long and ratio < 0.75)),
     }
 
 
@@ -166,34 +172,44 @@ class LabelModel:
                     agree = weight[y][voted & (seen[:, f] == y)].sum()
                     right[f, y] = min(0.999, max(0.55, (agree + 2 * 0.95) / (weight[y][voted].sum() + 2)))
         self.accuracy, self.prior = right, first
-        self.cutoff = self._best_cutoff(count)
-
-    def _best_cutoff(self, count: np.ndarray) -> float:
-        """The cutoff with the best expected F1 over all pairs, at least one half."""
-        order = np.argsort(-self._posterior)
-        p, n = self._posterior[order], count[order]
-        found, all_true = np.cumsum(p * n), float((p * n).sum())
-        f1 = 2 * found / np.maximum(1e-12, np.cumsum(n) + all_true)
-        return max(0.5, float(p[int(f1.argmax())])) if len(p) else 0.5
 
     def posterior(self, pattern: tuple[int, ...]) -> float:
         i = self._at.get(pattern)
         return 0.0 if i is None else float(self._posterior[i])
 
 
-def heading_languages(segments: DataFrame) -> DataFrame:
-    """(_folded, _heading): headings that stand in several documents, nearly all of
+def validated_cutoff(halves: tuple[dict[tuple[int, ...], int], dict[tuple[int, ...], int]], prior: float) -> float:
+    """The mean over both halves of the cutoff with the best F1 of one half's model on
+    the other half's patterns, at least one half; 0.5 where a half has no patterns."""
+    if not all(halves):
+        return 0.5
+    models = [LabelModel(counts, prior) for counts in halves]
+    found = []
+    for mine, other, held_out in ((models[0], models[1], halves[1]), (models[1], models[0], halves[0])):
+        told = sorted(((mine.posterior(p), other.posterior(p), n) for p, n in held_out.items()), reverse=True)
+        p, true, n = (np.array(x, float) for x in zip(*told))
+        f1 = 2 * np.cumsum(true * n) / np.maximum(1e-12, np.cumsum(n) + (true * n).sum())
+        # Between the last pattern that is taken and the first that isn't.
+        last = int(f1.argmax())
+        below = p[p < p[last]]
+        found.append(max(0.5, float(p[last] + (below[0] if len(below) else 0.0)) / 2))
+    return sum(found) / 2
+
+
+def heading_languages(pairs: DataFrame) -> DataFrame:
+    """(_heading_key, _heading): headings that stand in several documents, nearly all of
     one Latin-script language, and that language. A document's language is told by
     the function words of its prompts; sums are partial before the shuffle."""
     words = F.split(F.lower("original"), r"[^\p{L}]+")
     hits = [F.sum(F.size(F.filter(words, lambda w: w.isin(*langid.FUNCTION_WORDS[k].split()))) / F.size(words)).alias(k) for k in langid.FUNCTION_WORDS]
     best = F.greatest(*(F.col(k) for k in langid.FUNCTION_WORDS))
-    by_doc = segments.filter("kind = 'paragraph'").groupBy("doc_id").agg(*hits).filter(best > 0)
+    by_doc = pairs.filter("kind = 'paragraph'").groupBy("doc_id").agg(*hits).filter(best > 0)
     language = F.coalesce(*(F.when(F.col(k) == best, F.lit(k)) for k in langid.FUNCTION_WORDS))
-    headings = segments.filter("kind = 'heading'").select("doc_id", folded("original").alias("_folded")).filter(F.col("_folded").rlike(r"^\p{IsLatin}+$")).distinct()
-    counted = headings.join(by_doc.select("doc_id", language.alias("_l")), "doc_id").groupBy("_folded", "_l").agg(F.count("*").alias("_n"))
-    top = counted.groupBy("_folded").agg(F.max_by("_l", F.struct("_n", "_l")).alias("_heading"), F.max("_n").alias("_most"), F.sum("_n").alias("_all"))
-    return top.filter((F.col("_all") >= STOCK) & (F.col("_most") >= 0.8 * F.col("_all"))).select("_folded", "_heading")
+    latin = pairs.filter("kind = 'heading'").select("doc_id", folded("original").alias("_t")).filter(F.col("_t").rlike(r"^\p{IsLatin}+$"))
+    headings = latin.select("doc_id", F.xxhash64("_t").alias("_heading_key")).distinct()
+    counted = headings.join(by_doc.select("doc_id", language.alias("_l")), "doc_id").groupBy("_heading_key", "_l").agg(F.count("*").alias("_n"))
+    top = counted.groupBy("_heading_key").agg(F.max_by("_l", F.struct("_n", "_l")).alias("_heading"), F.max("_n").alias("_most"), F.sum("_n").alias("_all"))
+    return top.filter((F.col("_all") >= STOCK) & (F.col("_most") >= 0.8 * F.col("_all"))).select("_heading_key", "_heading")
 
 
 def folded(column: str) -> Column:
@@ -202,66 +218,76 @@ def folded(column: str) -> Column:
 
 
 def stock_responses(keyed: DataFrame) -> DataFrame:
-    """(_folded, _stock): stock phrases among the responses, with the number of different
-    prompts each got. Equal prompts, as in works that occur again, count once; counts are
-    partial before each shuffle."""
-    by_prompt = keyed.filter("kind <> 'heading'").groupBy("_folded", F.xxhash64(folded("original")).alias("_prompt")).agg(F.count("*").alias("_n"))
-    counted = by_prompt.groupBy("_folded").agg(F.count("*").alias("_stock"), F.sum("_n").alias("_rows"))
-    return counted.filter((F.col("_stock") >= STOCK) & (2 * F.col("_stock") > F.col("_rows"))).select("_folded", "_stock")
+    """(_key, _stock): stock phrases among the responses (hashes of their letters), with
+    the number of different prompts (hashes) each got. Equal prompts, as in works that
+    occur again, count once; counts are partial before each shuffle."""
+    by_prompt = keyed.filter("kind <> 'heading'").groupBy("_key", "_prompt").agg(F.count("*").alias("_n"))
+    counted = by_prompt.groupBy("_key").agg(F.count("*").alias("_stock"), F.sum("_n").alias("_rows"))
+    return counted.filter((F.col("_stock") >= STOCK) & (2 * F.col("_stock") > F.col("_rows"))).select("_key", "_stock")
 
 
-def length_ratios(pairs: DataFrame) -> DataFrame:
-    """(seg_id, ratio): a paragraph's length of response over prompt, divided by the
-    middle ratio of its script and target."""
+def with_ratio(pairs: DataFrame) -> DataFrame:
+    """Pairs with ``ratio``: the length of response over prompt, divided by the middle
+    ratio of its script and target; there are few of those, so they are broadcast."""
     wide = (F.length(F.regexp_replace("original", r"[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}]", "")) > 0.25 * F.length("original")).cast("int")
-    sized = pairs.filter((F.length("original") > 0) & (F.length("translated") > 0)).select("seg_id", "target_lang", wide.alias("_wide"), (F.length("translated") / F.length("original")).alias("_r"))
-    middle = sized.groupBy("target_lang", "_wide").agg(F.percentile_approx("_r", 0.5, 1000).alias("_m"))
-    return sized.join(F.broadcast(middle), ["target_lang", "_wide"]).select("seg_id", (F.col("_r") / F.col("_m")).alias("ratio"))
+    sized = pairs.select("*", wide.alias("_wide"), F.when((F.length("original") > 0) & (F.length("translated") > 0), F.length("translated") / F.length("original")).alias("_r"))
+    middle = sized.filter("_r IS NOT NULL").groupBy("target_lang", "_wide").agg(F.percentile_approx("_r", 0.5, 1000).alias("_m"))
+    return sized.join(F.broadcast(middle), ["target_lang", "_wide"], "left").withColumn("ratio", F.col("_r") / F.col("_m")).drop("_r", "_m", "_wide")
 
 
 def label_pairs(segments: DataFrame, prototypes: np.ndarray) -> DataFrame:
     """(seg_id, defect, posterior): every defect that passes its cutoff."""
-    pairs = sentences.latest(segments, KINDS)
+    pairs = materialize(sentences.latest(segments, KINDS, ("doc_id", "kind", "original", "translated", "target_lang")))
     spark = segments.sparkSession
-    # Texts without letters have nothing to look up: their own keys keep them apart.
-    key = F.when(folded("translated") == "", F.concat(F.lit("\x01"), F.col("seg_id").cast("string"))).otherwise(folded("translated"))
-    keyed = pairs.withColumn("_folded", key)
-    known = keyed.join(stock_responses(keyed), "_folded", "left").join(heading_languages(segments), "_folded", "left").join(length_ratios(pairs), "seg_id", "left")
+    # Numbers from here on. Texts without letters have nothing to look up: no key.
+    keyed = pairs.select("seg_id", "kind", F.when(folded("translated") != "", F.xxhash64(folded("translated"))).alias("_key"), F.xxhash64(folded("original")).alias("_prompt"))
+    named = keyed.filter("_key IS NOT NULL")
+    stock = named.filter("kind <> 'heading'").join(stock_responses(named), "_key").select("seg_id", F.lit(True).alias("_stock"))
+    headed = named.filter("kind = 'heading'").join(heading_languages(pairs).withColumnRenamed("_heading_key", "_key"), "_key").select("seg_id", "_heading")
     model = spark.sparkContext.broadcast(prototypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tongues = Languages(model.value)
         for batch in batches:
-            ids, kinds, originals, responses, targets, stocks, ratios, headings = (c.to_pylist() for c in batch.columns)
+            ids, kinds, originals, responses, targets, ratios, headings = (c.to_pylist() for c in batch.columns)
             sides = [[langid_text(k, t) for k, t in zip(kinds, side)] for side in (originals, responses)]
             cosines = [tongues.cosines(side) for side in sides]
             rows = []
             for i, seg_id in enumerate(ids):
                 languages = [likeliest(sides[s][i], cosines[s][i]) for s in (0, 1)]
-                if kinds[i] == "heading" and headings[i]:
+                if headings[i]:
                     languages[1] = headings[i], 1.0
-                cast = votes(kinds[i], originals[i], responses[i], targets[i] or "", languages, stocks[i] or 0, ratios[i] or 0.0)
+                cast = votes(kinds[i], originals[i], responses[i], targets[i] or "", languages, ratios[i] or 0.0)
                 rows.append([seg_id, *("".join("n01"[v + 1] for v in cast[d]) for d in DEFECTS)])
             columns = list(zip(*rows)) or [[] for _ in range(1 + len(DEFECTS))]
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), *(pa.array(c, pa.string()) for c in columns[1:])], names=["seg_id", *DEFECTS])
 
-    inputs = known.select("seg_id", "kind", "original", "translated", "target_lang", "_stock", "ratio", "_heading")
-    voted = inputs.mapInArrow(run, "seg_id bigint, " + ", ".join(f"`{d}` string" for d in DEFECTS))
-    voted = materialize(voted)
-    # At most 3 ** functions patterns a defect.
-    patterns = voted.select(F.explode(F.array(*(F.struct(F.lit(d).alias("defect"), F.col(d).alias("pattern")) for d in DEFECTS))).alias("x")).groupBy("x.defect", "x.pattern").count().collect()
+    # Only headings, which are short, are joined with what other pairs say before they vote.
+    ready = with_ratio(pairs)
+    heads = ready.filter("kind = 'heading'").join(headed, "seg_id", "left")
+    inputs = ready.filter("kind <> 'heading'").withColumn("_heading", F.lit(None).cast("string")).unionByName(heads)
+    voted = inputs.select("seg_id", "kind", "original", "translated", "target_lang", "ratio", "_heading").mapInArrow(run, "seg_id bigint, " + ", ".join(f"`{d}` string" for d in DEFECTS))
+    at = FUNCTIONS["refusal"].index("stock")
+    stocked = F.when(F.col("_stock"), F.concat(F.col("refusal").substr(1, at), F.lit("1"), F.col("refusal").substr(at + 2, 100))).otherwise(F.col("refusal"))
+    voted = materialize(voted.join(stock, "seg_id", "left").withColumn("refusal", stocked).drop("_stock"))
+    long = voted.select("seg_id", F.explode(F.array(*(F.struct(F.lit(d).alias("defect"), F.col(d).alias("pattern")) for d in DEFECTS))).alias("x")).select("seg_id", "x.defect", "x.pattern")
+    # At most 3 ** functions patterns a defect and half.
+    counted = long.groupBy("defect", "pattern", (F.pmod(F.xxhash64("seg_id"), F.lit(2))).alias("half")).count().collect()
     posteriors = []
     for defect in DEFECTS:
-        counts = {tuple("n01".index(c) - 1 for c in r["pattern"]): r["count"] for r in patterns if r["defect"] == defect}
+        halves: tuple[dict, dict] = ({}, {})
+        for r in counted:
+            if r["defect"] == defect:
+                halves[r["half"]][tuple("n01".index(c) - 1 for c in r["pattern"])] = r["count"]
+        counts = {p: halves[0].get(p, 0) + halves[1].get(p, 0) for p in {**halves[0], **halves[1]}}
         if not counts:
             continue
-        fitted = LabelModel(counts, 0.02)
+        fitted, cutoff = LabelModel(counts, PRIOR), validated_cutoff(halves, PRIOR)
         for pattern in counts:
-            if (p := fitted.posterior(pattern)) >= fitted.cutoff and any(v == 1 for v in pattern):
+            if (p := fitted.posterior(pattern)) >= cutoff and any(v == 1 for v in pattern):
                 posteriors.append((defect, "".join("n01"[v + 1] for v in pattern), p))
-    long = voted.select("seg_id", F.explode(F.array(*(F.struct(F.lit(d).alias("defect"), F.col(d).alias("pattern")) for d in DEFECTS))).alias("x")).select("seg_id", "x.defect", "x.pattern")
-    cutoff = spark.createDataFrame(posteriors, "defect string, pattern string, posterior double")
-    return long.join(F.broadcast(cutoff), ["defect", "pattern"]).select("seg_id", "defect", "posterior")
+    kept = spark.createDataFrame(posteriors, "defect string, pattern string, posterior double")
+    return long.join(F.broadcast(kept), ["defect", "pattern"]).select("seg_id", "defect", "posterior")
 
 
 def langid_text(kind: str, text: str | None) -> str:

@@ -46,7 +46,12 @@ def test_label_model_finds_the_classes():
     for v in map(tuple, votes):
         counts[v] = counts.get(v, 0) + 1
     model = defects.LabelModel(counts, 0.02)
-    told = np.array([model.posterior(tuple(v)) >= model.cutoff for v in votes])
+    halves = ({}, {})
+    for i, v in enumerate(map(tuple, votes)):
+        halves[i % 2][v] = halves[i % 2].get(v, 0) + 1
+    cutoff = defects.validated_cutoff(halves, 0.02)
+    assert 0.5 <= cutoff < 1 and defects.validated_cutoff((halves[0], {}), 0.02) == 0.5
+    told = np.array([model.posterior(tuple(v)) >= cutoff for v in votes])
     assert abs(model.prior - 0.05) < 0.03
     assert (told & truth).sum() / truth.sum() > 0.6 and (told & truth).sum() / max(1, told.sum()) > 0.8
 
@@ -59,20 +64,19 @@ def test_copies():
 
 def test_stock_counts_different_prompts(spark):
     """Repeated works and phrases translated again and again are no stock; refusals are."""
-    rows = [(i, "paragraph", "The same prompt.", "again") for i in range(5)]
-    rows += [(10 + i, "paragraph", f"The prompt {'abc'[i % 3]}.", "often") for i in range(9)]
-    rows += [(20 + i, "paragraph", f"Prompt {chr(97 + i)}.", "stock") for i in range(4)]
-    keyed = spark.createDataFrame(rows, "seg_id bigint, kind string, original string, _folded string")
-    assert [tuple(r) for r in defects.stock_responses(keyed).collect()] == [("stock", 4)]
+    rows = [(i, "paragraph", 1, 1) for i in range(5)]
+    rows += [(10 + i, "paragraph", 100 + i % 3, 2) for i in range(9)]
+    rows += [(20 + i, "paragraph", 200 + i, 3) for i in range(4)]
+    keyed = spark.createDataFrame(rows, "seg_id bigint, kind string, _prompt bigint, _key bigint")
+    assert [tuple(r) for r in defects.stock_responses(keyed).collect()] == [(3, 4)]
 
 
-def test_stock_hides_no_other_defect():
-    tongues = (("en", 1.0), ("de", 1.0))
-    prompt, foreign, broken = "Participants were told nothing about it.", "Darüber wurde nichts gesagt.", "参与者没有被告知任何有关"
-    rare, often = (defects.votes("paragraph", prompt, foreign, "zh", tongues, n, 1.0) for n in (0, 9))
-    assert rare["wrong_language"] == often["wrong_language"] and often["wrong_language"][0] == 1
-    rare, often = (defects.votes("paragraph", prompt, broken, "zh", (("en", 1.0), ("zh", 1.0)), n, 1.0) for n in (0, 9))
-    assert rare["truncated"] == often["truncated"] and often["truncated"][:2] == (1, 1)
-    # A refusal in words still hides them.
-    refused = defects.votes("paragraph", prompt, "Sorry, I cannot translate this passage", "zh", (("en", 1.0), ("en", 1.0)), 9, 1.0)
-    assert refused["truncated"][:2] == (0, 0) and refused["refusal"][:3] == (1, 1, 1)
+def test_no_defect_hides_another():
+    prompt = "Participants were told nothing about it."
+    refused = defects.votes("paragraph", prompt, "Sorry, I cannot translate this passage", "zh", (("en", 1.0), ("en", 1.0)), 1.0)
+    assert refused["truncated"][:2] == (1, 1) and refused["refusal"][:2] == (1, 1)
+    foreign = defects.votes("paragraph", prompt, "Leider kann ich das nicht. Sorry, cannot help", "zh", (("en", 1.0), ("de", 1.0)), 1.0)
+    assert foreign["wrong_language"][0] == 1 and foreign["refusal"][0] == 1
+    # A prompt that declines may be rendered so.
+    told = defects.votes("paragraph", "We cannot provide the data.", "很遗憾，无法提供数据。", "zh", (("en", 1.0), ("zh", 1.0)), 1.0)
+    assert told["refusal"][0] == 1 and told["refusal"][-1] == 0
