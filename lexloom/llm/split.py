@@ -4,23 +4,25 @@ Recursive bisection: a span that is still too long is cut at the strongest
 boundary near its midpoint (blank line, line, sentence, clause, space, any
 character), and both halves are treated the same until each fits in the limit
 minus the overlap; then every piece but the first is extended to the left by the
-overlap. The pieces of an item are made in one Python worker from that item
+overlap. Of the boundaries near a midpoint only those count where neither the cut nor
+the place an overlap before it parts a visible character, if there are any. The pieces of an item are made in one Python worker from that item
 alone, and only oversized items leave the JVM.
 
 Defined results: null gives no piece, an item within the limit (empty ones too)
 gives one piece; no piece exceeds the limit; neighbouring pieces share exactly the
 overlap, or all of the first one where it is shorter; text without any boundary is
-cut between characters, never inside a combined character or "\\r\\n"; repeated
+cut between characters, not inside a combined character or "\\r\\n" where a cut within
+reach avoids it; repeated
 rows give repeated pieces; other columns are passed on.
 """
 
 from __future__ import annotations
 
 import re
-import unicodedata
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,10 +38,14 @@ BOUNDARIES = (
 NEAR = 0.5
 
 
-def _glued(text: str, at: int) -> bool:
-    """Whether a cut before ``at`` would part one visible character."""
-    left, right = text[at - 1], text[at]
-    return bool(unicodedata.combining(right)) or right in "‍️" or left == "‍" or left + right == "\r\n" or "\U0001f3fb" <= right <= "\U0001f3ff" or unicodedata.category(right) in ("Mn", "Mc", "Me")
+_GLUED = regex.compile(r"[\p{M}\u200d\ufe0f\U0001f3fb-\U0001f3ff]|(?<=\u200d).|(?<=\r)\n", regex.S)
+
+
+def _glued(text: str) -> np.ndarray:
+    """At which places a cut would part one visible character."""
+    out = np.zeros(len(text) + 1, bool)
+    out[np.fromiter((m.start() for m in _GLUED.finditer(text)), np.int64)] = True
+    return out
 
 
 def cut_points(text: str, limit: int, overlap: int) -> list[int]:
@@ -53,6 +59,10 @@ def cut_points(text: str, limit: int, overlap: int) -> list[int]:
     for level, pattern in BOUNDARIES:
         ends = np.fromiter((m.end() for m in pattern.finditer(text)), np.int64)
         strength[ends] = np.maximum(strength[ends], level)
+    glued = _glued(text)
+    # A piece begins an overlap before its cut.
+    early = np.concatenate((np.zeros(min(overlap, len(glued)), bool), glued[: max(0, len(glued) - overlap)]))
+    unclean = glued | early
     starts, spans = [0], [(0, len(text))]
     while spans:
         low, high = spans.pop()
@@ -61,15 +71,11 @@ def cut_points(text: str, limit: int, overlap: int) -> list[int]:
             continue
         half, reach = (low + high) / 2, max(1, int((high - low) * NEAR / 2))
         first, last = max(low + 1, int(half) - reach), min(high - 1, int(half) + reach)
-        near = strength[first : last + 1]
-        best = near.max()
-        if best:
-            at = first + np.flatnonzero(near == best)
-            cut = int(at[np.abs(at - half).argmin()])
-        else:
-            cut = int(half)
-            while cut > first and _glued(text, cut):
-                cut -= 1
+        near = np.where(unclean[first : last + 1], -1, strength[first : last + 1])
+        if near.max() < 0:
+            near = np.where(glued[first : last + 1], -1, strength[first : last + 1])
+        at = first + np.flatnonzero(near == near.max())
+        cut = int(at[np.abs(at - half).argmin()])
         starts.append(cut)
         spans += [(low, cut), (cut, high)]
     return sorted(starts)

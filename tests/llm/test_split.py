@@ -36,6 +36,14 @@ def test_no_boundary_at_all():
         assert (accent * 100)[s] == "e"
 
 
+def test_overlaps_begin_at_whole_characters():
+    text = "e\u0301" * 300
+    for s, e in split.pieces_of(text, 101, 8)[1:]:
+        assert text[s] == "e"
+    mixed = ("wo\u0301rd " * 9 + "\u0301".join("aeiou") + ". ") * 8
+    assert all(not split._glued(mixed)[s] for s, _ in split.pieces_of(mixed, 101, 7)[1:])
+
+
 def test_items(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "x" * 5), (4, "word " * 30), (4, "word " * 30)], "doc_id bigint, content string")
     out = split.split_items(df, "content", F.lit(40), F.lit(5), ("doc_id",)).collect()
