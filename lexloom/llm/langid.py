@@ -193,12 +193,13 @@ def build_prototypes(texts: dict[str, list[str]], dimensions: int = DIMENSIONS)
 
 
 def fit(df: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_ROWS, of_one: int = SAMPLE_OF_ONE) -> np.ndarray:
-    """Prototypes from a bounded sample of ``df``, drawn by a hash of the text."""
+    """Prototypes from a bounded sample of ``df``, drawn and ordered by a hash of the
+    text, so that they don't depend on how the rows lie."""
     texts = df.select(F.col(text_col).alias("text")).filter(F.length(F.trim("text")) > 0)
     rows = max(1, texts.count())
     drawn = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(min(1.0, sample_rows / rows) * (1 << 30))
     by: dict[str, list[str]] = {}
-    for (text,) in texts.filter(drawn).collect():
+    for text, _ in sorted(texts.filter(drawn).select("text", F.xxhash64("text")).collect(), key=lambda r: (r[1], r[0])):
         if (language := plain_language(text)) and len(kept := by.setdefault(language, [])) < of_one:
             kept.append(text)
     return build_prototypes(by)

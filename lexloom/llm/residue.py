@@ -24,7 +24,7 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KINDS = ("placeholder", "filler", "error_page", "script_notice")
@@ -132,7 +132,9 @@ def fit(df: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_ROWS, t
     drawn_rows = texts.filter(drawn(sample_rows)).select("text", signed_at_all.alias("signed")).collect()
     sample = [r.text for r in drawn_rows]
     short = texts.filter((F.length("text") <= TRUSTED_CHARS) & drawn(searched_rows)).withColumn("kind", trusted_kind(F.col("text"))).filter("kind IS NOT NULL")
-    signed = short.distinct().orderBy(F.xxhash64("text"), "text").limit(trusted_rows * len(KINDS)).collect()
+    # Each kind has room of its own: a frequent one crowds out no other.
+    place = F.row_number().over(Window.partitionBy("kind").orderBy(F.xxhash64("text"), "text"))
+    signed = short.distinct().withColumn("_place", place).filter(F.col("_place") <= trusted_rows).select("text", "kind").collect()
 
     common, cut = Counter(), [[features(p) for p in passages(t)] for t in sample]
     # Ordinary text is what stands in records without any sign: residue may be frequent.
