@@ -90,17 +90,76 @@ def test_vectors_bring_neighbours_together():
     for a, b in ((0, 1), (2, 3), (4, 5)):
         counts[a, b] = counts[b, a] = 50
     counts[0, 4] = counts[4, 0] = counts[1, 5] = counts[5, 1] = 30
-    v = align.fit_vectors(counts, 100, 8)
-    assert v.shape == (6, 8) and np.isfinite(v).all()
-    assert align.fit_vectors(np.zeros((0, 0), np.float32)).shape[0] == 0
-
-
-def test_very_long_texts_are_aligned_in_windows(monkeypatch):
-    monkeypatch.setattr(align, "WHOLE_CELLS", 2_000)
-    monkeypatch.setattr(align, "STRIDE", 40)
-    rng = random.Random(4)
-    a = [f"Item {rng.randint(1000, 9999)} and {rng.randint(1000, 9999)} rose." for _ in range(150)]
-    b = ["第" + x.split(" ")[1] + "与" + x.split(" ")[3] + "上升。" for x in a if x != a[70]]
-    got = align.pair_sentences(a, b, ("en", "zh"), align.Space({}))
-    right = {(i, i if i < 70 else i - 1) for i in range(150) if i != 70}
-    assert len(right & set(got)) >= 140 and len(set(got) - right) <= 5
+    v, outer = align.fit_vectors(counts, 100, 8)
+    assert v.shape == outer.shape == (6, 8) and np.isfinite(v).all()
+    assert align.fit_vectors(np.zeros((0, 0), np.float32))[0].shape[0] == 0
+
+
+def test_further_words_come_near_words_with_their_contexts():
+    rng = np.random.default_rng(4)
+    topics = np.kron(np.eye(4), np.ones((10, 10))) * 20 + rng.poisson(1, (40, 40))
+    counts = (topics + topics.T).astype(np.float32)
+    inner, outer = align.fit_vectors(counts, 100, 16)
+    further = np.stack([rng.poisson(counts[k] / 10) for k in (3, 14, 25, 36)]).astype(np.float32)
+    folded = align.fold_vectors(further, outer, counts.sum(0))
+    centre = inner.mean(0)
+    unit = lambda x: (x - centre) / np.linalg.norm(x - centre, axis=1, keepdims=True)
+    assert [int(k) // 10 for k in (unit(folded) @ unit(inner).T).argmax(1)] == [0, 1, 2, 3]
+    assert not align.fold_vectors(np.zeros((1, 40), np.float32), outer, counts.sum(0)).any()
+
+
+def test_rare_words_have_vectors(spark):
+    """Ten times as many words as are frequent: each has a vector."""
+    rng = random.Random(5)
+    common = ["".join(rng.choice("aeiou") + rng.choice("bdfgklmnprst") for _ in range(3)) for _ in range(40)]
+    rare = ["".join(rng.choice("aeiou") + rng.choice("bdfgklmnprst") for _ in range(5)) for _ in range(400)]
+    texts = [" ".join(["the", "of", *rng.choices(common, k=30), rare[i % 400]]).capitalize() + "." for i in range(1600)]
+    data = [(i, t, "参与者没有被告知任何信息。", "en", "zh", [0, len(t)], [0, 13]) for i, t in enumerate(texts)]
+    monkey = align.CORE_SHARE
+    align.CORE_SHARE = 5e-3
+    try:
+        space = align.learn(spark.createDataFrame(data, align.CUT), spark.createDataFrame([], GLOSSARY))
+    finally:
+        align.CORE_SHARE = monkey
+    index, vectors, weights, frequent = space._vectors["en"]
+    assert frequent < 60 and len(index) > 400 and len(vectors) == len(weights) == len(index)
+    assert (np.abs(vectors.astype(int)).sum(1) > 0).all() and vectors.dtype == np.int8
+
+
+def test_seeds_are_those_of_the_ratio_on_the_driver(spark):
+    from lexloom.llm import sentences
+
+    rng = random.Random(8)
+    rows = [(float(k), float(k + rng.randint(0, 30)), float(k + rng.randint(0, 30)), 400.0) for k in range(2, 40)]
+    df = spark.createDataFrame(rows, "k double, a double, b double, n double")
+    got = [r.x for r in df.select(align.log_likelihood(df.k, df.a, df.b, df.n).alias("x")).collect()]
+    assert np.allclose(got, [sentences.dunning(*r) for r in rows])
+
+
+def numbered_texts(n, seed=4):
+    rng = random.Random(seed)
+    a = [f"Item {rng.randint(1000, 9999)} and {rng.randint(1000, 9999)} rose by {k}." for k in range(n)]
+    return a, ["第" + x.split(" ")[1] + "与" + x.split(" ")[3] + "上升" + x.split(" ")[-1][:-1] + "。" for x in a]
+
+
+def test_blocks_change_nothing(monkeypatch):
+    a, b = numbered_texts(130)
+    b = b[:40] + b[100:110] + b[41:100] + b[110:]
+    held = align.pair_sentences(a, b, ("en", "zh"), align.Space({}))
+    monkeypatch.setattr(align, "HELD_CELLS", 1_500)
+    assert align.pair_sentences(a, b, ("en", "zh"), align.Space({})) == held
+    assert {(100, 40), (105, 45), (39, 39), (129, 128)} <= set(held)
+
+
+def test_moved_sentences_of_very_long_texts():
+    """Sentences that moved by half a text of 2,000 sentences find their partners."""
+    a, b = numbered_texts(2_000)
+    order = list(range(2_000))
+    moved = [200, 201, 777, 1_400]
+    for k in moved:
+        order.remove(k)
+        order.insert((k + 1_000) % 1_990, k)
+    got = set(align.pair_sentences(a, [b[k] for k in order], ("en", "zh"), align.Space({})))
+    truth = {(k, at) for at, k in enumerate(order)}
+    assert {(k, order.index(k)) for k in moved} <= got
+    assert len(got & truth) >= 0.99 * len(truth) and len(got - truth) <= 20
