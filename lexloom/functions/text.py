@@ -208,6 +208,30 @@ def failure_label(category: Column, message: Column) -> Column:
     return F.when(keyed, F.lit("接口鉴权失败")).when(category == "network", F.lit("网络不可达")).when(category == "llm", F.lit("模型返回异常")).when(category == "internal", F.lit("处理出错")).otherwise(F.lit("拆解失败"))
 
 
+#: Codes of what went wrong with a call (fixed values).
+CATEGORY_CODES = {"network": "E-3014", "config": "E-3015", "llm": "E-3016"}
+
+
+def category_code(category: Column) -> Column:
+    """The code of a category of errors; the general one for any other."""
+    out = F.lit("E-3001")
+    for name, code in CATEGORY_CODES.items():
+        out = F.when(category == name, code).otherwise(out)
+    return out
+
+
+def network_error(kind: Column, detail: Column) -> Column:
+    """What is told of a failed connection: of kind timeout, connect, or any other
+    (messages are fixed values)."""
+    told = F.when(kind == "timeout", "请求超时: ").when(kind == "connect", "无法连接到 API 服务器: ").otherwise("网络请求失败: ")
+    hint = (
+        F.when(kind == "timeout", "网络连接不稳定或 API 响应过慢。请检查网络后重试")
+        .when(kind == "connect", "可能的原因：① 本机未联网或网络受限；② API 地址（Base URL）填写错误。请检查网络与设置页配置")
+        .otherwise("可能的原因：① 本机未联网或网络受限；② 域名无法解析（DNS）。请检查网络后重试")
+    )
+    return F.struct(F.lit("network").alias("category"), F.concat(told, F.coalesce(detail, F.lit(""))).alias("message"), hint.alias("hint"))
+
+
 def retryable(status: Column) -> Column:
     return (status == 429) | (status >= 500)
 

@@ -105,3 +105,19 @@ def live_view(rows: DataFrame) -> DataFrame:
     said = F.coalesce(F.col("translated"), F.lit(""))
     best = F.max(F.struct((said != "").alias("has"), "loaded_at", said.alias("t")))
     return rows.groupBy("doc_id", "seg_index").agg(best.alias("b")).select("doc_id", "seg_index", F.col("b.t").alias("translated"))
+
+
+def upsert_terms(glossary: DataFrame, changes: DataFrame) -> DataFrame:
+    """The glossary with the changes (term, translation): rows of a known term get the
+    translation, an unknown term a row of its own with an id made of it. Of several changes
+    of a term the greatest translation counts; blank terms and translations are no change."""
+    bare = changes.select(T.trim_all(F.col("term")).alias("term"), T.trim_all(F.col("translation")).alias("_new")).filter("term <> '' AND _new <> ''").groupBy("term").agg(F.max("_new").alias("_new"))
+    kept = glossary.join(bare, "term", "left").withColumn("translation", F.coalesce("_new", "translation")).select(*glossary.columns)
+    fresh = bare.join(glossary.select("term").distinct(), "term", "left_anti")
+    made = {"id": F.sha2("term", 256), "term": F.col("term"), "translation": F.col("_new")}
+    return kept.unionByName(fresh.select(*(made.get(c, F.lit(None)).cast(t).alias(c) for c, t in glossary.dtypes)))
+
+
+def delete_terms(glossary: DataFrame, terms: DataFrame) -> DataFrame:
+    """The glossary without the rows of the terms (term)."""
+    return glossary.join(terms.select("term").distinct(), "term", "left_anti")

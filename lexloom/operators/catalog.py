@@ -108,14 +108,20 @@ def duplicate_paths(documents: DataFrame) -> DataFrame:
     return named.join(first, "path").filter("doc_id <> first_doc").select("doc_id", "first_doc")
 
 
-def check_imports(files: DataFrame, head: str | None = None) -> DataFrame:
-    """Files (path, and bytes in ``head``) with a ``code``: E-1001 for another kind of
-    file, E-1002 for one that isn't what its name says, null for a good one."""
+def check_imports(files: DataFrame, head: str | None = None, known: DataFrame | None = None) -> DataFrame:
+    """Files (path, and bytes in ``head``) with a ``code``: E-1001 for another kind of file
+    and for one that isn't what its name says, E-1003 for one that can't be read (no
+    bytes), E-1002 for one whose path a document of ``known`` (file_path) has already, null
+    for a good one. Codes are fixed values."""
     kind = F.lower(F.regexp_extract("path", r"\.([^./\\]+)$", 1)) != "pdf"
     code = F.when(F.col("path").isNull() | kind, "E-1001")
     if head:
-        code = code.when(F.substring(F.col(head), 1, 5) != F.lit(b"%PDF-"), "E-1002")
-    return files.withColumn("code", code)
+        code = code.when(F.col(head).isNull(), "E-1003").when(F.substring(F.col(head), 1, 5) != F.lit(b"%PDF-"), "E-1001")
+    if known is None:
+        return files.withColumn("code", code)
+    paths = known.filter("file_path IS NOT NULL").select(canonical_path(F.col("file_path")).alias("_p")).distinct().withColumn("_known", F.lit(True))
+    joined = files.withColumn("_p", canonical_path(F.col("path"))).join(paths, "_p", "left")
+    return joined.withColumn("code", code.when(F.col("_known"), "E-1002")).drop("_p", "_known")
 
 
 def clear_cache(documents: DataFrame, tasks: DataFrame, versions: DataFrame, chosen: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

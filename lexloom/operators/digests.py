@@ -30,10 +30,15 @@ def parsed(content: Column) -> Column:
     )
 
 
+def once(versions: DataFrame) -> DataFrame:
+    """One row for each version of each document: of differing ones always the same."""
+    rest = [c for c in versions.columns if c not in ("doc_id", "version")]
+    return versions.groupBy("doc_id", "version").agg(F.max(F.struct(*rest)).alias("_v")).select("doc_id", "version", "_v.*")
+
+
 def fields(versions: DataFrame) -> DataFrame:
     """A row for each field of each version, ``ord`` giving its place."""
-    once = versions.dropDuplicates(["doc_id", "version"])
-    return once.select("doc_id", "version", F.posexplode(parsed(F.col("content"))).alias("ord", "f")).select("doc_id", "version", "ord", "f.*")
+    return once(versions).select("doc_id", "version", F.posexplode(parsed(F.col("content"))).alias("ord", "f")).select("doc_id", "version", "ord", "f.*")
 
 
 def latest(versions: DataFrame) -> DataFrame:
@@ -51,11 +56,23 @@ def next_versions(documents: DataFrame, versions: DataFrame) -> DataFrame:
 
 def rollback(versions: DataFrame, chosen: DataFrame) -> DataFrame:
     """New rows that repeat the content of ``chosen`` (doc_id, version) versions."""
-    old = versions.dropDuplicates(["doc_id", "version"]).join(chosen, ["doc_id", "version"], "left_semi").select("doc_id", "content")
+    old = once(versions).join(chosen, ["doc_id", "version"], "left_semi").select("doc_id", "content")
     numbered = next_versions(old.select("doc_id"), versions)
     return old.join(numbered, "doc_id").select("doc_id", F.col("next_version").alias("version"), F.lit("").alias("field_schema"), "content", F.lit(0.0).alias("score"))
 
 
+def at_version(versions: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The fields of the chosen (doc_id, version) versions; missing ones give no rows."""
+    return fields(versions.join(chosen.select("doc_id", "version").distinct(), ["doc_id", "version"], "left_semi"))
+
+
+def save_edits(versions: DataFrame, edits: DataFrame) -> DataFrame:
+    """New versions with the contents of ``edits`` (doc_id, content); documents that have
+    no version yet get their first."""
+    numbered = next_versions(edits.select("doc_id"), versions)
+    return edits.join(numbered, "doc_id").select("doc_id", F.col("next_version").alias("version"), F.lit("").alias("field_schema"), "content", F.lit(0.0).alias("score"))
+
+
 def skipped(failed: Column, zh: Column) -> Column:
     """Whether a field is left out of exports: failed, empty, or without a source."""
     bare = T.trim_all(zh)
@@ -118,3 +135,26 @@ def parse_response(raw: Column, ftype: Column) -> Column:
     zh, en = F.when(listed, T.normalize_list(zh)).otherwise(zh), F.when(listed, T.normalize_list(en)).otherwise(en)
     told = F.struct(zh.alias("zh"), en.alias("en"), F.when((ftype == "table") & (part("table") != ""), part("table")).alias("table"))
     return F.when(zh != "", told).otherwise(F.struct(bare.alias("zh"), F.lit("").alias("en"), F.lit(None).cast("string").alias("table")))
+
+
+_TEXT_KEYS = ("zh", "en", "text", "content", "term", "definition", "list")
+
+
+def json_text(raw: Column) -> Column:
+    """The text that a JSON answer carries: an object's first usual key with words, an
+    array's items a line each; what is no JSON, or carries none, stays as it is."""
+    bare = T.trim_all(raw)
+    parsed = F.when(bare.startswith("{") | bare.startswith("["), F.try_parse_json(bare))
+
+    def item(x: Column) -> Column:
+        kind = F.schema_of_variant(x)
+        texts = [F.when(F.schema_of_variant(F.try_variant_get(x, f"$.{k}", "variant")) == "STRING", T.trim_all(F.try_variant_get(x, f"$.{k}", "string"))) for k in _ITEM]
+        return F.when(kind == "STRING", T.trim_all(F.try_variant_get(x, "$", "string"))).when(kind.startswith("OBJECT"), F.coalesce(*texts, F.to_json(x))).otherwise("")
+
+    def picked(x: Column) -> Column:
+        kind = F.schema_of_variant(x)
+        lines = F.array_join(F.filter(F.transform(F.try_variant_get(x, "$", "array<variant>"), item), lambda t: t != ""), "\n")
+        text = F.when(kind == "STRING", T.trim_all(F.try_variant_get(x, "$", "string"))).when(kind.startswith("ARRAY"), lines)
+        return F.when(text != "", text)
+
+    return F.coalesce(*(picked(F.try_variant_get(parsed, f"$.{k}", "variant")) for k in _TEXT_KEYS), F.when(bare.startswith("["), picked(parsed)), raw)

@@ -6,6 +6,7 @@ fewer than two rows stays text in :func:`table_html`.
 
 from __future__ import annotations
 
+import base64
 from collections.abc import Iterator
 
 import pandas as pd
@@ -64,7 +65,12 @@ def table_html(c: Column) -> Column:
     return F.when(F.size(rows) < 2, c).otherwise(F.concat(F.lit("<table><thead>"), cells(F.get(rows, 0), "th"), F.lit("</thead><tbody>"), body, F.lit("</tbody></table>")))
 
 
-def embedded(sizes: Column, most: int = 25, room: int = 15_000_000) -> Column:
+#: Images that a page holds itself, in number and bytes, and their kinds (fixed values).
+MOST_IMAGES, IMAGE_ROOM = 25, 15_000_000
+MIME_TYPES = {"png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "webp": "image/webp"}
+
+
+def embedded(sizes: Column, most: int = MOST_IMAGES, room: int = IMAGE_ROOM) -> Column:
     """Which of a document's images (their sizes, in order) are put into its page: up to
     ``most``, and ``room`` bytes; one that doesn't fit is passed over."""
     start = F.struct(F.lit(0).alias("n"), F.lit(0).cast("bigint").alias("used"), F.array().cast("array<boolean>").alias("takes"))
@@ -80,7 +86,8 @@ class Renderer:
     """Markdown to HTML, block by block. A table stands where it was, also before a
     fence or as a single row."""
 
-    def __init__(self) -> None:
+    def __init__(self, images: dict[str, bytes] | None = None, most: int = MOST_IMAGES, room: int = IMAGE_ROOM) -> None:
+        self.images, self.most, self.room = images or {}, most, room
         self.out: list[str] = []
         self.kind, self.held = "", []
 
@@ -92,6 +99,15 @@ class Renderer:
             s = "".join(f"<{tag}>{p}</{tag}>" if i % 2 and (p or tag != "em") else p for i, p in enumerate(s.split(mark)))
         return s
 
+    def embed(self, source: str) -> str:
+        """The image itself while the page has room for it, else where it is."""
+        data = self.images.get(source.removeprefix("./"))
+        if data is None or source.startswith(("data:", "http")) or self.most < 1 or len(data) > self.room:
+            return source
+        self.most, self.room = self.most - 1, self.room - len(data)
+        kind = MIME_TYPES.get(source.rpartition(".")[2].lower(), "application/octet-stream")
+        return f"data:{kind};base64,{base64.b64encode(data).decode()}"
+
     def close(self) -> None:
         held, self.held = self.held, []
         if not held:
@@ -146,7 +162,7 @@ class Renderer:
                 alt, _, rest = t[2:].partition("](")
                 source = rest.partition(")")[0].split(" ")[0].strip("\"'")
                 if source:
-                    self.out.append(f'<img alt="{self.inline(alt)}" src="{self.inline(source)}"/>')
+                    self.out.append(f'<img alt="{self.inline(alt)}" src="{self.inline(self.embed(source))}"/>')
             elif t in ("---", "***", "___"):
                 self.close()
                 self.out.append("<hr/>")
@@ -169,18 +185,58 @@ def render(md: str | None) -> str | None:
     return None if md is None else Renderer().render(md)
 
 
-def compose_html(parts: DataFrame, theme: str = "light", scope: str = "all") -> DataFrame:
-    """(doc_id, html): a page of its own for each document. The formatter is
-    procedural, so it runs in Arrow batches; its cost follows the text."""
+def chosen_images(parts: DataFrame, images: DataFrame, scope: str = "all") -> DataFrame:
+    """(doc_id, images): of the images (doc_id, path, content) that a page shows, those
+    that fit into it, in order of appearance. Sizes are chosen from before any image is
+    gathered, so a page's images never exceed ``IMAGE_ROOM``."""
+    shown = F.concat_ws("\n", *(F.col(p) for p in TITLES if scope not in SCOPES or p in SCOPES[scope]))
+    bare = lambda p: F.regexp_replace(p, r"^\./", "")
+    refs = parts.select("doc_id", F.posexplode(F.array_distinct(F.transform(T.image_refs(shown), bare))).alias("pos", "path"))
+    known = images.select("doc_id", bare(F.col("path")).alias("path"), "content").dropDuplicates(["doc_id", "path"])
+    sized = refs.join(known.select("doc_id", "path", F.length("content").alias("size")), ["doc_id", "path"])
+    lists = sized.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "path", "size"))).alias("l"))
+    takes = embedded(F.transform("l", lambda x: x["size"].cast("bigint")))
+    taken = lists.select("doc_id", F.explode(F.arrays_zip(F.transform("l", lambda x: x["path"]).alias("path"), takes.alias("takes"))).alias("x")).filter("x.takes").select("doc_id", "x.path")
+    return taken.join(known, ["doc_id", "path"]).groupBy("doc_id").agg(F.collect_list(F.struct("path", "content")).alias("images"))
+
+
+def compose_html(parts: DataFrame, theme: str = "light", scope: str = "all", images: DataFrame | None = None) -> DataFrame:
+    """(doc_id, html): a page of its own for each document, with its ``images`` (doc_id,
+    path, content) inside as far as they fit. The formatter is procedural, so it runs in
+    Arrow batches; its cost follows the text."""
     css, chosen = theme_css(theme), [p for p in TITLES if scope not in SCOPES or p in SCOPES[scope]]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             pages = []
             for row in batch.to_dict("records"):
-                sections = [f"<section><h2>{TITLES[p]}</h2>{render(row[p])}</section>" for p in chosen if isinstance(row[p], str)]
-                title = Renderer.inline(row["title"] or "")
-                pages.append(f'<!DOCTYPE html><html lang="zh-CN"><head><meta charset="utf-8"/><title>{title}</title><style>{css}</style></head><body><main><h1>{title}</h1>\n' + "\n<hr/>\n".join(sections) + "</main></body></html>")
+                held = {x["path"]: bytes(x["content"]) for x in (row["images"] if row["images"] is not None else ())}
+                renderer, sections = Renderer(held), []
+                for p in chosen:
+                    if isinstance(row[p], str):
+                        renderer.out = []
+                        sections.append(f"<section><h2>{TITLES[p]}</h2>{renderer.render(row[p])}</section>")
+                pages.append(page(row["title"] or "", "\n<hr/>\n".join(sections), css))
             yield pd.DataFrame({"doc_id": batch["doc_id"], "html": pages})
 
-    return parts.select("doc_id", "title", "original", "translated", "digest").mapInPandas(run, "doc_id bigint, html string")
+    if images is None:
+        held = parts.withColumn("images", F.lit(None).cast("array<struct<path:string,content:binary>>"))
+    else:
+        held = parts.join(chosen_images(parts, images, scope), "doc_id", "left")
+    return held.select("doc_id", "title", "original", "translated", "digest", "images").mapInPandas(run, "doc_id bigint, html string")
+
+
+def page(title: str, body: str, css: str) -> str:
+    name = Renderer.inline(title)
+    return f'<!DOCTYPE html><html lang="zh-CN"><head><meta charset="utf-8"/><title>{name}</title><style>{css}</style></head><body><main><h1>{name}</h1>\n{body}</main></body></html>'
+
+
+def note_pages(notes: DataFrame, theme: str = "light") -> DataFrame:
+    """(name, html): a page for each note (name, body); an unreadable one has an empty page."""
+    css = theme_css(theme)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"name": batch["name"], "html": [page(n, render(b) if isinstance(b, str) else "", css) for n, b in zip(batch["name"], batch["body"])]})
+
+    return notes.select("name", "body").mapInPandas(run, "name string, html string")

@@ -38,3 +38,28 @@ def list_notes(spark, folder: str) -> DataFrame:
     files themselves aren't read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").load(folder).select("path", "modificationTime", "length")
     return files.select(F.regexp_extract("path", r"([^/]+)\.md$", 1).alias("name"), F.col("modificationTime").alias("updated_at"), F.col("length").alias("size")).orderBy(F.desc("updated_at"), "name")
+
+
+def save_notes(notes: DataFrame, changes: DataFrame) -> DataFrame:
+    """The notes (name, body) with the changed ones in place of, or beside, the old; names
+    are made fit for files, and of several changes of a name the greatest body counts."""
+    new = changes.select(T.sanitize_name(F.col("name")).alias("name"), "body").groupBy("name").agg(F.max("body").alias("body"))
+    return delete_notes(notes, new).unionByName(new)
+
+
+def delete_notes(notes: DataFrame, names: DataFrame) -> DataFrame:
+    """The notes but those named; names without a note are passed over."""
+    return notes.join(names.select("name").distinct(), "name", "left_anti").select("name", "body")
+
+
+def rename_notes(notes: DataFrame, renames: DataFrame) -> DataFrame:
+    """(name, new_name, error) of renames (name, new_name), one a note: the error tells of a
+    note that isn't there, and of a name that another note has (messages are fixed values)."""
+    known = notes.select("name").distinct()
+    fit = renames.select("name", T.sanitize_name(F.col("name")).alias("_old"), T.sanitize_name(F.col("new_name")).alias("new_name"))
+    told = fit.join(known.withColumnRenamed("name", "_old").withColumn("_there", F.lit(True)), "_old", "left").join(known.withColumnRenamed("name", "new_name").withColumn("_taken", F.lit(True)), "new_name", "left")
+    error = (
+        F.when(F.col("_there").isNull(), F.concat(F.lit("笔记「"), "name", F.lit("」不存在")))
+        .when((F.col("_old") != F.col("new_name")) & F.col("_taken"), F.concat(F.lit("已存在同名笔记「"), "new_name", F.lit("」，请换一个名称")))
+    )
+    return told.select("name", "new_name", error.alias("error"))

@@ -10,11 +10,13 @@ answering, the original stands; an error that a retry can't mend is in ``error``
 
 from __future__ import annotations
 
+import threading
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions import text as T
@@ -119,15 +121,56 @@ def ask(transport: Transport, system: str, prompt: str, original: str, is_meta:
     return None, last
 
 
-def translate(prompted: DataFrame, transport: Transport, system: str = "") -> DataFrame:
-    """(doc_id, seg_index, translated, error) of prompted segments."""
+def translate(prompted: DataFrame, transport: Transport, system: str = "", at_once: int = 3, cancelled: Callable[[], bool] = lambda: False, paused: Callable[[], bool] = lambda: False) -> DataFrame:
+    """(doc_id, seg_index, translated, error) of prompted segments. A task has ``at_once``
+    calls under way at most. No call begins while ``paused``, none after ``cancelled``, and
+    none after an error that every later call of the task would meet too; segments that
+    were not asked for have the error "cancelled" and can be resumed."""
     markers = tuple(T.META_REPLIES)
     ready = prompted.filter("passthrough").select("doc_id", "seg_index", F.col("content").alias("translated"), F.lit(None).cast("string").alias("error"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            replies = [ask(transport, system, p, c, lambda r: any(m in r for m in markers)) for p, c in zip(batch["prompt"], batch["content"])]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "seg_index": batch["seg_index"], "translated": [r for r, _ in replies], "error": [e for _, e in replies]})
+        ended = threading.Event()
+
+        def one(prompt: str, content: str) -> tuple[str | None, str | None]:
+            while paused() and not cancelled():
+                time.sleep(0.05)
+            if ended.is_set() or cancelled():
+                return None, "cancelled"
+            reply, error = ask(transport, system, prompt, content, lambda r: any(m in r for m in markers))
+            if error and (error.startswith("config:") or any(sign in error for sign in T.CREDENTIAL_SIGNS)):
+                ended.set()
+            return reply, error
+
+        with ThreadPoolExecutor(at_once) as pool:
+            for batch in batches:
+                replies = list(pool.map(one, batch["prompt"], batch["content"]))
+                yield pd.DataFrame({"doc_id": batch["doc_id"], "seg_index": batch["seg_index"], "translated": [r for r, _ in replies], "error": [e for _, e in replies]})
 
     asked = prompted.filter("NOT passthrough").select("doc_id", "seg_index", "content", "prompt").mapInPandas(run, "doc_id bigint, seg_index int, translated string, error string")
     return ready.withColumn("seg_index", F.col("seg_index").cast("int")).unionByName(asked)
+
+
+#: Images of a document that are described, and the bytes of the largest (fixed values).
+DESCRIBED, DESCRIBED_BYTES = 12, 12_000_000
+
+
+def describe_images(images: DataFrame, transport: Callable[[str, bytes], str], prompt: str = "Describe this figure of a paper: what it shows, its axes and its main finding.") -> DataFrame:
+    """(doc_id, path, note, error) of the first images (doc_id, ord, path, content) of each
+    document; one that is too large is not asked about."""
+    first = images.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy("ord", "path"))).filter(F.col("_n") <= DESCRIBED)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            told: list[tuple[str | None, str | None]] = []
+            for content in batch["content"]:
+                if content is None or len(content) > DESCRIBED_BYTES:
+                    told.append((None, "config: missing or too large"))
+                    continue
+                try:
+                    told.append((transport(prompt, bytes(content)), None))
+                except CallError as e:
+                    told.append((None, f"{e.category}: {e.message}"))
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "path": batch["path"], "note": [n for n, _ in told], "error": [e for _, e in told]})
+
+    return first.select("doc_id", "path", "content").mapInPandas(run, "doc_id bigint, path string, note string, error string")

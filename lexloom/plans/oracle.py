@@ -373,6 +373,17 @@ _DURATION = f"greatest(date_diff('millisecond', {stamp('created_at')}, {stamp('u
 _KEPT_NAME = r"""substring(regexp_replace({x}, '[/\\:*?"<>|\x00-\x1f\x{7f}-\x{9f}]', '', 'g'), 1, 120)"""
 
 
+_CANONICAL = r"regexp_replace(regexp_replace(file_path, '^\\\\\?\\', ''), '/+', '/', 'g')"
+
+
+def _picked(x: str) -> str:
+    """The words of a JSON text or of an array's items."""
+    keys = ", ".join(f"CASE WHEN json_type(i, '$.{k}') = 'VARCHAR' THEN {trim(f"json_extract_string(i, '$.{k}')")} END" for k in ("term", "text", "item", "label", "definition", "zh"))
+    item = f"CASE json_type(i) WHEN 'VARCHAR' THEN {trim("json_extract_string(i, '$')")} WHEN 'OBJECT' THEN coalesce({keys}, i::VARCHAR) ELSE '' END"
+    lines = f"array_to_string(list_filter(list_transform(from_json({x}, '[\"JSON\"]'), lambda i: {item}), lambda t: t <> ''), chr(10))"
+    return f"nullif(CASE json_type({x}) WHEN 'VARCHAR' THEN {trim(f"json_extract_string({x}, '$')")} WHEN 'ARRAY' THEN {lines} END, '')"
+
+
 def sanitize(x: str) -> str:
     bare = trim("regexp_replace(" + trim(_KEPT_NAME.replace("{x}", x)) + ", '[. ]+$', '')")
     reserved = ", ".join(f"'{r}'" for r in ["CON", "PRN", "AUX", "NUL", *(f"COM{i}" for i in range(1, 10)), *(f"LPT{i}" for i in range(1, 10))])
@@ -431,8 +442,35 @@ SQL |= {
     "parse_regression": f"WITH {TASKS}, d AS (SELECT status, {_DURATION} AS ms FROM latest WHERE type = 'parse' AND status IN ('done', 'failed')) SELECT count(*) AS n, count(*) FILTER (status = 'failed') AS n_failed, round(count(*) FILTER (status = 'done') / count(*), 6) AS rate, round(avg(ms / 1000), 3) AS mean_s, count(*) FILTER (status = 'done') / count(*) >= 0.95 AS passed FROM d",
     "document_list": f"SELECT doc_id, title, status, read_status, {stamp('created_at')} AS created FROM documents",
     "unread_readable": "SELECT doc_id, status FROM documents WHERE coalesce(read_status, 'unread') = 'unread' AND status IN ('parsed', 'translated', 'digested')",
-    "imported_paths": r"WITH p AS (SELECT doc_id, regexp_replace(regexp_replace(file_path, '^\\\\\?\\', ''), '/+', '/', 'g') AS path FROM documents WHERE file_path IS NOT NULL), f AS (SELECT path, min(doc_id) AS first_doc FROM p GROUP BY path HAVING count(*) > 1) SELECT doc_id, first_doc FROM p JOIN f USING (path) WHERE doc_id <> first_doc",
-    "import_checks": r"SELECT CASE WHEN file_path IS NULL OR lower(regexp_extract(file_path, '\.([^./\\]+)$', 1)) <> 'pdf' THEN 'E-1001' END AS code, count(*) AS n FROM documents GROUP BY ALL",
+    "imported_paths": rf"WITH a AS (SELECT doc_id, file_path FROM documents UNION ALL SELECT doc_id + 1000000000000, '\\?\' || replace(file_path, '/', '//') FROM documents), p AS (SELECT doc_id, {_CANONICAL} AS path FROM a WHERE file_path IS NOT NULL), f AS (SELECT path, min(doc_id) AS first_doc FROM p GROUP BY path HAVING count(*) > 1) SELECT doc_id, first_doc FROM p JOIN f USING (path) WHERE doc_id <> first_doc",
+    "import_checks": rf"""WITH known AS (SELECT DISTINCT {_CANONICAL} AS path FROM documents),
+        cases("case", n, head) AS (VALUES ('again', 0, '%PDF-1.7'), ('new', 1, '%PDF-1.4'), ('damaged', 1, '%PD'), ('unreadable', 1, NULL), ('other', 2, '%PDF-1.7')),
+        files AS (SELECT "case", head, CASE n WHEN 0 THEN file_path WHEN 1 THEN '/new' || file_path ELSE file_path || '.docx' END AS file_path FROM documents, cases),
+        told AS (SELECT "case", CASE WHEN file_path IS NULL OR lower(regexp_extract(file_path, '\.([^./\\]+)$', 1)) <> 'pdf' THEN 'E-1001' WHEN head IS NULL THEN 'E-1003' WHEN NOT starts_with(head, '%PDF-') THEN 'E-1001' WHEN {_CANONICAL} IN (SELECT path FROM known WHERE path IS NOT NULL) THEN 'E-1002' END AS code FROM files)
+        SELECT "case", code, count(*) AS n FROM told GROUP BY ALL""",
+    "read_marks": "SELECT CASE WHEN id = (SELECT min(id) FROM documents) THEN 'read' ELSE read_status END AS read_status, count(*) AS n FROM documents GROUP BY 1",
+    "config_list": "SELECT * FROM (VALUES ('a', 'one', 'sk-123***', 0::BIGINT), ('b', 'two too', '***', 0), ('c', 'three', 'sk-abc***', 1)) AS t(id, name, key_ref, is_default)",
+    "coded_failures": f"WITH {VERSIONS} SELECT doc_id, version, name, '[' || CASE error_category WHEN 'network' THEN 'E-3014' WHEN 'config' THEN 'E-3015' WHEN 'llm' THEN 'E-3016' ELSE 'E-3001' END || '] ' || error_message AS told FROM dfields WHERE failed",
+    "network_errors": f"""WITH {TASKS}, k AS (SELECT id, error, CASE WHEN regexp_matches(lower(error), 'time(d )?out|超时') THEN 1 WHEN regexp_matches(lower(error), 'connect|连接') THEN 2 ELSE 3 END AS k FROM latest WHERE error IS NOT NULL)
+        SELECT id, 'network' AS category, ['请求超时: ', '无法连接到 API 服务器: ', '网络请求失败: '][k] || error AS message,
+          ['网络连接不稳定或 API 响应过慢。请检查网络后重试', '可能的原因：① 本机未联网或网络受限；② API 地址（Base URL）填写错误。请检查网络与设置页配置', '可能的原因：① 本机未联网或网络受限；② 域名无法解析（DNS）。请检查网络后重试'][k] AS hint FROM k""",
+    "directions_asked": "SELECT id, language, CASE WHEN language = 'zh_to_en' THEN 'zh_to_en' ELSE 'en_to_zh' END AS direction, CASE WHEN language IS NULL THEN '[E-9999] ' || term END AS error FROM term_glossary",
+    "first_names": "SELECT doc_id, coalesce(nullif(trim(note_name), ''), nullif(trim(title), ''), nullif(trim(id), '')) AS name FROM documents",
+    "rescued_answers": f"""WITH {VERSIONS}, forms AS (SELECT doc_id, version, name, unnest(['plain', 'object', 'list', 'items', 'broken']) AS form,
+          unnest([zh, to_json({{'text': en, 'definition': zh}})::VARCHAR, to_json({{'list': [zh, en]}})::VARCHAR, '[' || to_json({{'term': zh}})::VARCHAR || ', {{"item": " x "}}, 7, {{"other":1}}, "last"]', '{{' || zh]) AS raw FROM dfields),
+        j AS (SELECT *, {trim('raw')} AS t FROM forms), v AS (SELECT *, CASE WHEN t[1] IN ('{{', '[') AND json_valid(t) THEN t::JSON END AS x FROM j)
+        SELECT doc_id, version, name, form, coalesce({", ".join(_picked(f"json_extract(x, '$.{k}')") for k in ("zh", "en", "text", "content", "term", "definition", "list"))}, CASE WHEN t[1] = '[' THEN {_picked('x')} END, raw) AS words FROM v""",
+    "edited_versions": f"WITH {VERSIONS} SELECT v.doc_id, v.version + 1 AS version, 0.0::DOUBLE AS score, length(v.n[2]) + 1 AS content_chars FROM versions v JOIN top USING (doc_id, version)",
+    "first_version_fields": f"WITH {VERSIONS} SELECT doc_id, version, ord, name, zh FROM dfields WHERE version = (SELECT min(version) FROM digest_versions d WHERE d.doc_id = dfields.doc_id)",
+    "glossary_changes": f"""WITH c AS (SELECT {trim('term')} AS term, {trim('tr')} AS tr FROM (SELECT term, translation || '！' AS tr FROM term_glossary UNION ALL SELECT journal, '期刊' FROM documents)),
+        m AS (SELECT term, max(tr) AS tr FROM c WHERE term <> '' AND tr <> '' GROUP BY term),
+        a AS (SELECT g.id, g.term, coalesce(m.tr, g.translation) AS translation FROM term_glossary g LEFT JOIN m USING (term) UNION ALL SELECT sha256(term), term, tr FROM m WHERE term NOT IN (SELECT term FROM term_glossary WHERE term IS NOT NULL))
+        SELECT * FROM a WHERE term IS NULL OR term NOT IN (SELECT term FROM term_glossary WHERE term LIKE '% %')""",
+    "renamed_notes": f"""WITH d AS (SELECT title, journal FROM documents WHERE title IS NOT NULL AND journal IS NOT NULL), k AS (SELECT DISTINCT {sanitize('title')} AS name FROM d),
+        r AS (SELECT title AS name, max(journal) AS new_name FROM d GROUP BY title), s AS (SELECT new_name AS name, max(name) AS new_name FROM r GROUP BY new_name),
+        f AS (SELECT name, {sanitize('name')} AS old, {sanitize('new_name')} AS new_name FROM (SELECT * FROM r UNION ALL SELECT * FROM s))
+        SELECT name, new_name, CASE WHEN old NOT IN (SELECT name FROM k) THEN '笔记「' || name || '」不存在' WHEN old <> new_name AND new_name IN (SELECT name FROM k) THEN '已存在同名笔记「' || new_name || '」，请换一个名称' END AS error FROM f""",
+    "quiet_events": "SELECT event_id, user_id FROM (SELECT event_id, user_id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS after FROM events) WHERE after IS NULL OR date_diff('microsecond', ts, after) >= 3600000000",
     "cleared_documents": "WITH chosen AS (SELECT DISTINCT id FROM documents WHERE status = 'translated') SELECT 'pending' AS what, count(*) AS n FROM documents WHERE status IN ('pending', 'translated') UNION ALL SELECT 'tasks', count(*) FROM tasks WHERE doc_id IS NULL OR doc_id NOT IN (SELECT id FROM chosen) UNION ALL SELECT 'versions', count(*) FROM digest_versions WHERE doc_id IS NULL OR doc_id NOT IN (SELECT id FROM chosen)",
     "note_names": f"SELECT doc_id, note, {sanitize('note')} AS file_name, short FROM (SELECT doc_id, {_NAME} AS note, {shorten(_TITLE, 20)} AS short FROM documents)",
     "masked_keys": "SELECT doc_id, CASE WHEN length(id) <= 8 THEN '***' ELSE substring(id, 1, 6) || '***' END AS masked, CASE WHEN length(source) <= 8 THEN '***' ELSE substring(source, 1, 6) || '***' END AS masked_source, base64(encode(source)) AS coded FROM documents",

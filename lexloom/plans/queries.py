@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from lexloom.functions import text as T
 from lexloom.operators import bilinguals, catalog, digests, export, lexicons, notes, packed, recognize, slots, structure, transport
 from lexloom.session import table
+from lexloom.sources import files
+from lexloom.streaming import views
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -279,7 +281,7 @@ def next_version(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def version_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = table(spark, sf_dir, "digest_versions").dropDuplicates(["doc_id", "version"])
+    v = digests.once(table(spark, sf_dir, "digest_versions"))
     return v.select("doc_id", "version", T.parse_mixed_ts(F.col("created_at")).alias("created"), F.size(digests.parsed(F.col("content"))).alias("n_fields"))
 
 
@@ -456,14 +458,120 @@ def unread_readable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def imported_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents whose path an earlier document has already."""
-    return catalog.duplicate_paths(table(spark, sf_dir, "documents"))
+    """Documents whose path an earlier document has already: every path also comes again,
+    as Windows writes it and with a slash too many."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "file_path")
+    again = d.select((F.col("doc_id") + 1_000_000_000_000).alias("doc_id"), F.concat(F.lit("\\\\?\\"), F.replace("file_path", F.lit("/"), F.lit("//"))).alias("file_path"))
+    return catalog.duplicate_paths(d.unionByName(again))
 
 
 @query
 def import_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    checked = catalog.check_imports(table(spark, sf_dir, "documents").select("doc_id", F.col("file_path").alias("path")))
-    return checked.groupBy("code").agg(F.count("*").alias("n"))
+    """Every document's path as a file to import: as it is, new, damaged, unreadable, and
+    of another kind."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("file_path").alias("p"))
+    cases = {"again": ("p", "%PDF-1.7"), "new": ("new", "%PDF-1.4"), "damaged": ("new", "%PD"), "unreadable": ("new", None), "other": ("other", "%PDF-1.7")}
+    paths = {"p": F.col("p"), "new": F.concat(F.lit("/new"), "p"), "other": F.concat("p", F.lit(".docx"))}
+    files = F.array(*(F.struct(F.lit(k).alias("case"), paths[p].alias("path"), F.lit(h).cast("binary").alias("head")) for k, (p, h) in cases.items()))
+    checked = catalog.check_imports(d.select(F.explode(files).alias("f")).select("f.*"), "head", table(spark, sf_dir, "documents"))
+    return checked.groupBy("case", "code").agg(F.count("*").alias("n"))
+
+
+@query
+def read_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first document, by its id, marked as read."""
+    d = table(spark, sf_dir, "documents")
+    first = d.agg(F.min("id")).first()[0]
+    return catalog.set_read_status(d, first, "read").groupBy("read_status").agg(F.count("*").alias("n"))
+
+
+@query
+def config_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Configurations with one changed and one added, which becomes the default; keys masked."""
+    shape = "id string, name string, base_url string, model string, params string, key_ref string, is_default bigint, created_at string"
+    old = spark.createDataFrame([("a", "one", "http://one", "m1", "{}", "sk-1234567890", 1, "2024-01-01"), ("b", "two", "http://two", "m2", "{}", "short", 0, "2024-01-02")], shape)
+    change = spark.createDataFrame([("b", "two too", "http://two", "m2", "{}", "", 0, "2024-01-02"), ("c", "three", "http://three", "m3", "{}", "sk-abcdefghij", 1, "2024-01-03")], shape)
+    return catalog.mask_configs(catalog.upsert_config(old, change)).select("id", "name", "key_ref", "is_default")
+
+
+@query
+def coded_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Failed fields' messages with the code of their category."""
+    f = digests.fields(table(spark, sf_dir, "digest_versions")).filter("failed")
+    return f.select("doc_id", "version", "name", F.concat(F.lit("["), T.category_code(F.col("error_category")), F.lit("] "), "error_message").alias("told"))
+
+
+@query
+def network_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors of tasks told as failed connections, of the kind their words show."""
+    t = catalog.latest_tasks(table(spark, sf_dir, "tasks")).filter("error IS NOT NULL")
+    kind = F.when(F.lower("error").rlike("time(d )?out|超时"), "timeout").when(F.lower("error").rlike("connect|连接"), "connect").otherwise("other")
+    return t.select("id", T.network_error(kind, F.col("error")).alias("e")).select("id", "e.category", "e.message", "e.hint")
+
+
+@query
+def directions_asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Directions of glossary terms, with a coded message where none is given."""
+    g = table(spark, sf_dir, "term_glossary")
+    return g.select("id", "language", T.direction(F.col("language")).alias("direction"), F.when(F.col("language").isNull(), T.coded_error("E-9999", F.col("term"))).alias("error"))
+
+
+@query
+def first_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first of note name, title and id that isn't blank."""
+    return table(spark, sf_dir, "documents").select("doc_id", files.first_set(F.col("note_name"), F.col("title"), F.col("id")).alias("name"))
+
+
+@query
+def rescued_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers that came as JSON, in five forms, put back into words."""
+    f = digests.fields(table(spark, sf_dir, "digest_versions"))
+    zh, en = F.col("zh"), F.col("en")
+    forms = {
+        "plain": zh, "object": F.to_json(F.struct(en.alias("text"), zh.alias("definition"))), "list": F.to_json(F.struct(F.array(zh, en).alias("list"))),
+        "items": F.concat(F.lit("["), F.to_json(F.struct(zh.alias("term"))), F.lit(', {"item": " x "}, 7, {"other":1}, "last"]')), "broken": F.concat(F.lit("{"), zh),
+    }
+    each = f.select("doc_id", "version", "name", F.explode(F.array(*(F.struct(F.lit(k).alias("form"), v.alias("raw")) for k, v in forms.items()))).alias("x"))
+    return each.select("doc_id", "version", "name", "x.form", digests.json_text(F.col("x.raw")).alias("words"))
+
+
+@query
+def edited_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's latest content saved as an edit: a new version."""
+    versions = table(spark, sf_dir, "digest_versions")
+    edits = digests.latest(versions).select("doc_id", F.concat(F.lit(" "), "content").alias("content"))
+    return digests.save_edits(versions, edits).select("doc_id", "version", "score", F.length("content").alias("content_chars"))
+
+
+@query
+def first_version_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    versions = table(spark, sf_dir, "digest_versions")
+    return digests.at_version(versions, versions.groupBy("doc_id").agg(F.min("version").alias("version"))).select("doc_id", "version", "ord", "name", "zh")
+
+
+@query
+def glossary_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every term with a new translation, names of journals added, terms with spaces deleted."""
+    g = table(spark, sf_dir, "term_glossary")
+    journals = table(spark, sf_dir, "documents").select(F.col("journal").alias("term"), F.lit("期刊").alias("translation"))
+    changed = bilinguals.upsert_terms(g, g.select("term", F.concat("translation", F.lit("！")).alias("translation")).unionByName(journals))
+    return bilinguals.delete_terms(changed, g.filter("term LIKE '% %'").select("term")).select("id", "term", "translation")
+
+
+@query
+def renamed_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notes named by titles; each is to get its journal's name, and titles from nowhere one."""
+    d = table(spark, sf_dir, "documents").filter("title IS NOT NULL AND journal IS NOT NULL")
+    kept = d.groupBy(T.sanitize_name(F.col("title")).alias("name")).agg(F.max("text").alias("body"))
+    renames = d.groupBy("title").agg(F.max("journal").alias("j")).select(F.col("title").alias("name"), F.col("j").alias("new_name"))
+    swapped = renames.select(F.col("new_name").alias("name"), F.col("name").alias("new_name")).groupBy("name").agg(F.max("new_name").alias("new_name"))
+    return notes.rename_notes(kept, renames.unionByName(swapped))
+
+
+@query
+def quiet_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of a user that none follows within an hour."""
+    return views.debounced(table(spark, sf_dir, "events"), "user_id", "ts", 3_600_000).select("event_id", "user_id")
 
 
 @query

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import functools
 import shutil
 import tempfile
@@ -46,10 +47,30 @@ def materialize(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = _local_folder()
     path = f"{folder.rstrip('/')}/lexloom-{uuid.uuid4().hex}"
+    _remember(spark, path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_written: list = []
+
+
+def _remember(spark: SparkSession, path: str) -> None:
+    """Note a table that :func:`release` removes, at the end of the program at last."""
+    if not _written:
+        atexit.register(release)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    _written.append((place, place.getFileSystem(spark._jsc.hadoopConfiguration())))
+
+
+def release() -> None:
+    """Remove the tables that :func:`materialize` wrote; frames made of them are lost."""
+    while _written:
+        place, files = _written.pop()
+        with contextlib.suppress(Exception):
+            files.delete(place, True)
+
+
 @functools.cache
 def _local_folder() -> str:
     folder = tempfile.mkdtemp(prefix="lexloom-")

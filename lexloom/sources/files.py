@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.operators import catalog
@@ -41,7 +41,8 @@ def log_tail(spark: SparkSession, path: str, lines: int = 200, chars: int = 8000
     """(tail): the last lines of a log file, and of those the last letters. Only one
     file's tail is gathered."""
     text = spark.read.text(path).select(F.monotonically_increasing_id().alias("at"), "value")
-    last = text.withColumn("n", F.row_number().over(Window.orderBy(F.desc("at")))).filter(F.col("n") <= lines)
+    # Every task keeps its own last lines; only those are brought together.
+    last = text.orderBy(F.desc("at")).limit(lines)
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda x: x["value"]), "\n")
     return last.agg(joined.alias("all")).select(F.when(F.length("all") > chars, F.col("all").substr(F.length("all") - F.lit(chars) + 1, F.lit(chars))).otherwise(F.col("all")).alias("tail"))
 

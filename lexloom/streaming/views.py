@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.operators.transport import translate, translation_prompts
@@ -65,6 +65,19 @@ def resume(segments: DataFrame, path: str, transport: Callable[[str, str], str],
     return spark.read.schema(shape).parquet(path)
 
 
+def debounced(events: DataFrame, key: str, at: str, wait_ms: int) -> DataFrame:
+    """The events that no later event of their key follows within ``wait_ms``: what a
+    search box would act on."""
+    after = F.lead(at).over(Window.partitionBy(key).orderBy(at))
+    quiet = after.isNull() | (F.timestamp_diff("MILLISECOND", F.col(at), after) >= wait_ms)
+    return events.withColumn("_quiet", quiet).filter("_quiet").drop("_quiet")
+
+
+def poll(stream: DataFrame, view: Callable[[DataFrame, int], None], folder: str, every: str = "1500 milliseconds"):
+    """Start a query that looks for new rows of a stream in equal intervals."""
+    return stream.writeStream.trigger(processingTime=every).option("checkpointLocation", folder).foreachBatch(merge_into(view)).start()
+
+
 def merge_into(view: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function that skips empty batches."""
 

@@ -69,7 +69,7 @@ def test_sources(spark, tmp_path):
     (tmp_path / "pdf" / "b.pdf").write_bytes(b"%PDF-1.4 x")
     (tmp_path / "pdf" / "a.PDF").write_bytes(b"nope")
     found = files.pdf_files(spark, str(tmp_path / "pdf"))
-    assert [(r.name, r.code) for r in found.collect()] == [("a.PDF", "E-1002"), ("b.pdf", None)]
+    assert [(r.name, r.code) for r in found.collect()] == [("a.PDF", "E-1001"), ("b.pdf", None)]
     docs = spark.createDataFrame([(found.filter("name = 'b.pdf'").first().path,)], "file_path string")
     assert [r.name for r in files.new_files(found, docs).collect()] == ["a.PDF"]
     (tmp_path / "documents" / "d1" / "parsed").mkdir(parents=True)
