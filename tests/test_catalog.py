@@ -35,7 +35,10 @@ def test_read_status_and_settings(spark):
 
 def test_imports(spark):
     files = spark.createDataFrame([("/a/x.pdf", bytearray(b"%PDF-1.7")), ("/a/y.PDF", bytearray(b"hello")), ("/a/z.txt", bytearray(b"%PDF-"))], "path string, content binary")
-    assert {r.path: r.code for r in catalog.check_imports(files, "content").collect()} == {"/a/x.pdf": None, "/a/y.PDF": "E-1002", "/a/z.txt": "E-1001"}
+    assert {r.path: r.code for r in catalog.check_imports(files, "content").collect()} == {"/a/x.pdf": None, "/a/y.PDF": "E-1001", "/a/z.txt": "E-1001"}
+    more = files.unionByName(files.sparkSession.createDataFrame([("/a/u.pdf", None)], files.schema))
+    known = files.sparkSession.createDataFrame([("/a//x.pdf",), (None,)], "file_path string")
+    assert {r.path: r.code for r in catalog.check_imports(more, "content", known).collect()} == {"/a/x.pdf": "E-1002", "/a/y.PDF": "E-1001", "/a/z.txt": "E-1001", "/a/u.pdf": "E-1003"}
 
 
 def test_export_scopes_and_html(spark):
