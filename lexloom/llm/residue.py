@@ -5,7 +5,8 @@ text is learnt from positive and unlabelled records: trusted records (short, no
 ordinary prose, with a sure sign of one kind) give the kinds their first counts,
 an unlabelled sample gives the background, and expectation-maximization moves
 unlabelled passages between them. Every passage of every record is then scored,
-and a record gets each kind that one of its passages is decided for.
+and a record gets the kind that its decided passages speak for most, and each other
+kind that one of them is decided for and shows a sure sign of.
 
 Signs that a passage shares with ordinary text but never with trusted records
 count strongly against it, so a text that quotes a message or writes about slots
@@ -52,6 +53,8 @@ _ERROR_SIGNS = (
 _SCRIPT_SIGNS = r"java\W?script|noscript|\bscripts?\b|scripting|脚本|スクリプト|сценари|скрипт|skripte?\b|สคริปต์|จาวาสคริปต์"
 _FILLER_SIGNS = r"lorem|ipsum|dummy|sample text|filler text|text to come|text goes|goes in this box|placeholder text|占位|示例文字|样例|样例段落|正文正文|待补充|ダミー|サンプル|blindtext|mustertext|faux texte|texto de relleno|текст-рыба|рыба-текст|ข้อความตัวอย่าง|asdf|qwer|blah|foo bar|x{3,}"
 
+_SURE = {"placeholder": re.compile(_SLOT), "filler": re.compile(f"(?i){_FILLER_SIGNS}"), "error_page": re.compile(f"(?i){_ERROR_SIGNS}"), "script_notice": re.compile(f"(?i){_SCRIPT_SIGNS}")}
+
 _SENTENCE = re.compile(r"\r?\n|(?<=[.!?])\s+|(?<=[。！？])(?![”’」』）])")
 _CLAUSE = re.compile(r"[,;]\s+|[，；]")
 _SIGIL = re.compile(r"[{}<>\[\]@%#_$【】]|\(your ")
@@ -199,14 +202,22 @@ class Scorer:
 
     def decide(self, text: str) -> tuple[set[str], bool]:
         """The kinds of a record, and whether nothing but residue stands in it."""
-        kinds, ordinary = set(), False
+        shown: dict[str, list[str]] = defaultdict(list)
+        total, ordinary = [0.0] * len(KINDS), False
         for passage in passages(text):
             found = features(passage)
             p = self.posterior(found) if found else None
             if p and max(p) >= self.cut:
-                kinds.add(KINDS[p.index(max(p))])
+                shown[KINDS[p.index(max(p))]].append(passage)
+                for f in found:
+                    for i, w in enumerate(self.weights.get(f, ())):
+                        total[i] += w
             elif len(found) >= 4 and (p is None or sum(p) < 0.5):
                 ordinary = True
+        # What surrounds a message (menus, rights) goes with messages of other kinds, too:
+        # beside the likeliest kind, another one must show a sure sign of its own.
+        first = max(shown, key=lambda k: total[KINDS.index(k)], default=None)
+        kinds = {k for k, ps in shown.items() if k == first or any(_SURE[k].search(p) for p in ps)}
         return kinds, bool(kinds) and not ordinary
 
 

@@ -57,3 +57,17 @@ def test_passages():
     assert residue.passages("{{a}}, By 2003 it rose.") == ["{{a}}", "By 2003 it rose."]
     assert residue.passages("") == []
     assert "4xx" in residue.features("Error 404") and "0" in residue.features("in 2024")
+
+
+def test_furniture_gives_no_second_kind():
+    kinds = len(residue.KINDS)
+    at = residue.KINDS.index
+    weights = {}
+    for word, kind in (("gateway", "error_page"), ("bad", "error_page"), ("menu", "script_notice"), ("help", "script_notice"), ("javascript", "script_notice"), ("enable", "script_notice")):
+        weights[word] = tuple(9.0 if i == at(kind) else -9.0 for i in range(kinds))
+    weights["bad"] = weights["gateway"] = tuple(12.0 if i == at("error_page") else -9.0 for i in range(kinds))
+    scorer = residue.Scorer(weights)
+    assert scorer.decide("Bad gateway.\nMenu help")[0] == {"error_page"}
+    assert scorer.decide("Bad gateway.\nEnable JavaScript")[0] == {"error_page", "script_notice"}
+    assert scorer.decide("Menu help")[0] == {"script_notice"}
+    assert scorer.decide("")[0] == set()
