@@ -217,6 +217,15 @@ def locators(blocks: DataFrame, titles: DataFrame | None = None) -> DataFrame:
     return entry.select("doc_id", "block", F.when(F.col("interactive"), place).otherwise("").alias("locator"))
 
 
+def excerpt_targets(picks: DataFrame, blocks: DataFrame, sentences: DataFrame) -> DataFrame:
+    """(doc_id, block, text, locator) of what a reader picks (doc_id, block, sentence_no):
+    the sentence, or the whole block where it has no such sentence; blank texts and unknown
+    blocks give nothing."""
+    placed = blocks.select("doc_id", "block", "body").join(locators(blocks), ["doc_id", "block"])
+    joined = picks.join(placed, ["doc_id", "block"]).join(sentences.select("doc_id", "block", "sentence_no", "sentence"), ["doc_id", "block", "sentence_no"], "left")
+    return joined.select("doc_id", "block", F.coalesce("sentence", "body").alias("text"), "locator").filter(T.trim_all(F.col("text")) != "")
+
+
 def title_and_authors(docs: DataFrame) -> DataFrame:
     """(doc_id, title, authors): the first heading, and up to five short lines after it."""
     t = F.col("t")

@@ -136,6 +136,7 @@ SQL: dict[str, str] = {
     "excerpts": rf"""WITH {LOCATED}
         SELECT l.doc_id, l.block, '> ' || regexp_replace(s.sentence, '\n+', chr(10) || '> ', 'g') || chr(10) || '> —— ' || l.locator AS excerpt
         FROM located l JOIN blocks b USING (doc_id, block) LEFT JOIN (SELECT * FROM sentences WHERE sentence_no = 0) s USING (doc_id, block) WHERE b.interactive AND l.locator <> ''""",
+    "excerpt_targets": rf"""WITH {LOCATED} SELECT b.doc_id, b.block, coalesce(s.sentence, b.body) AS text, l.locator FROM blocks b JOIN located l USING (doc_id, block) LEFT JOIN (SELECT * FROM sentences WHERE sentence_no = 1) s USING (doc_id, block)""",
     "image_references": rf"""WITH {MD}, found AS (SELECT doc_id, list_transform(regexp_extract_all(md, '{_IMAGE}', 1), lambda p: {trim('p')}) AS ps FROM docs),
         kept AS (SELECT doc_id, list_filter(ps, lambda p: p <> '' AND NOT starts_with(p, 'http')) AS ps FROM found),
         firsts AS (SELECT doc_id, list_filter(ps, lambda p, i: list_position(ps, p) = i)[1:12] AS ps FROM kept)
@@ -460,6 +461,10 @@ SQL |= {
           unnest([zh, to_json({{'text': en, 'definition': zh}})::VARCHAR, to_json({{'list': [zh, en]}})::VARCHAR, '[' || to_json({{'term': zh}})::VARCHAR || ', {{"item": " x "}}, 7, {{"other":1}}, "last"]', '{{' || zh]) AS raw FROM dfields),
         j AS (SELECT *, {trim('raw')} AS t FROM forms), v AS (SELECT *, CASE WHEN t[1] IN ('{{', '[') AND json_valid(t) THEN t::JSON END AS x FROM j)
         SELECT doc_id, version, name, form, coalesce({", ".join(_picked(f"json_extract(x, '$.{k}')") for k in ("zh", "en", "text", "content", "term", "definition", "list"))}, CASE WHEN t[1] = '[' THEN {_picked('x')} END, raw) AS words FROM v""",
+    "parsed_answers": f"""WITH {VERSIONS}, forms AS (SELECT doc_id, version, name, zh AS z, en AS e, unnest(['fenced', 'fenced', 'plain', 'plain']) AS form, unnest(['text', 'table', 'text', 'table']) AS ftype FROM dfields)
+        SELECT doc_id, version, name, form, ftype, CASE WHEN form = 'plain' THEN {trim('z')} WHEN z <> '' THEN z ELSE '```json' || chr(10) || to_json({{'zh': z, 'en': e, 'table': '|a|'}})::VARCHAR || chr(10) || '```' END AS zh,
+          CASE WHEN form = 'fenced' AND z <> '' THEN e ELSE '' END AS en, CASE WHEN form = 'fenced' AND z <> '' AND ftype = 'table' THEN '|a|' END AS "table" FROM forms""",
+    "vision_choice": "SELECT * FROM (VALUES (1::BIGINT, 'm'), (2, 'd'), (3, 'd'), (4, NULL), (5, 'm')) AS t(id, model)",
     "edited_versions": f"WITH {VERSIONS} SELECT v.doc_id, v.version + 1 AS version, 0.0::DOUBLE AS score, length(v.n[2]) + 1 AS content_chars FROM versions v JOIN top USING (doc_id, version)",
     "first_version_fields": f"WITH {VERSIONS} SELECT doc_id, version, ord, name, zh FROM dfields WHERE version = (SELECT min(version) FROM digest_versions d WHERE d.doc_id = dfields.doc_id)",
     "glossary_changes": f"""WITH c AS (SELECT {trim('term')} AS term, {trim('tr')} AS tr FROM (SELECT term, translation || '！' AS tr FROM term_glossary UNION ALL SELECT journal, '期刊' FROM documents)),

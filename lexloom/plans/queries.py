@@ -105,6 +105,14 @@ def excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quoted.select("doc_id", "block", T.excerpt(F.col("s"), F.col("locator"), F.col("title")).alias("excerpt"))
 
 
+@query
+def excerpt_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second sentence of every block, or the block where it has none."""
+    docs = contents(spark, sf_dir)
+    blocks = structure.interactive_blocks(docs)
+    return structure.excerpt_targets(blocks.select("doc_id", "block", F.lit(1).alias("sentence_no")), blocks, structure.block_sentences(docs))
+
+
 @query
 def image_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Local images of every document, the first twelve in order of appearance."""
@@ -535,6 +543,24 @@ def rescued_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select("doc_id", "version", "name", "x.form", digests.json_text(F.col("x.raw")).alias("words"))
 
 
+@query
+def parsed_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers as a model gives them, fenced or plain, for fields of text and of a table."""
+    f = digests.fields(table(spark, sf_dir, "digest_versions"))
+    fenced = F.concat(F.lit("```json\n"), F.to_json(F.struct("zh", "en", F.lit("|a|").alias("table"))), F.lit("\n```"))
+    each = f.select("doc_id", "version", "name", F.explode(F.array(*(F.struct(F.lit(k).alias("form"), r.alias("raw"), F.lit(t).alias("ftype")) for k, r in (("fenced", fenced), ("plain", F.col("zh"))) for t in ("text", "table")))).alias("x"))
+    return each.select("doc_id", "version", "name", "x.form", "x.ftype", digests.parse_response(F.col("x.raw"), F.col("x.ftype")).alias("a")).select("doc_id", "version", "name", "form", "ftype", "a.zh", "a.en", "a.table")
+
+
+@query
+def vision_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A configuration of its own for images where it is whole, else the default."""
+    part = "struct<base_url:string,api_key:string,model:string>"
+    rows = [(1, ("u", "k", "m"), ("d", "d", "d")), (2, ("u", " ", "m"), ("d", "d", "d")), (3, None, ("d", "d", "d")), (4, ("u", "k", None), None), (5, ("u", "k", "m"), None)]
+    df = spark.createDataFrame(rows, f"id bigint, own {part}, fallback {part}")
+    return df.select("id", catalog.vision_config(F.col("own"), F.col("fallback"))["model"].alias("model"))
+
+
 @query
 def edited_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's latest content saved as an edit: a new version."""
