@@ -207,15 +207,17 @@ class Space:
             index, vectors, weights, frequent = known
             # A capitalised word that the language has often is no name, and a name no word.
             strings = [s for s in strings if index.get(s, frequent) >= frequent]
-            at = [index[w] for w in words(text, language) if w in index and w not in strings]
-            if at:
+            found = map(index.get, [w for w in words(text, language) if w not in strings] if strings else words(text, language))
+            if at := [i for i in found if i is not None]:
                 # Whole numbers up to 127 stand for the parts of a vector of length one.
-                mean = weights[at] @ vectors[at].astype(np.float32)
-                out[:DIMENSIONS] = mean / max(1e-9, float(np.linalg.norm(mean)))
+                out[:DIMENSIONS] = _unit(weights[at] @ vectors[at].astype(np.float32))
         if strings:
-            mean = np.sum([self._kept_vector(s) for s in strings], axis=0)
-            out[DIMENSIONS:] = mean / max(1e-9, float(np.linalg.norm(mean)))
-        return out / max(1e-9, float(np.linalg.norm(out)))
+            out[DIMENSIONS:] = _unit(np.sum([self._kept_vector(s) for s in strings], axis=0))
+        return _unit(out)
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / max(1e-9, math.sqrt(float(x @ x)))
 
 
 _JOINT = re.compile(r"[;；]\s*|，")
@@ -240,25 +242,29 @@ class Near:
         self.y = np.stack([space.sentence(s, languages[1]) for s in b])
         self._halves = [self._of_halves(texts, language, space) for texts, language in ((a, languages[0]), (b, languages[1]))]
         self.shape = len(a), len(b)
-        self.held = self._compute(np.arange(len(a)), np.arange(len(b))) if len(a) * len(b) <= HELD_CELLS else None
+        self.held = self._compute(slice(None), slice(None)) if len(a) * len(b) <= HELD_CELLS else None
 
     @staticmethod
     def _of_halves(texts: list[str], language: str, space: Space) -> dict[int, np.ndarray]:
         return {i: np.stack([space.sentence(p, language) for p in parts]) for i, text in enumerate(texts) if (parts := halves(text))}
 
-    def _compute(self, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    def _compute(self, rows: np.ndarray | slice, columns: np.ndarray | slice) -> np.ndarray:
         x, y = self.x[rows], self.y[columns]
         out = x @ y.T
-        for k, i in enumerate(rows.tolist()):
-            if i in self._halves[0]:
-                out[k] = np.maximum(out[k], 0.95 * (self._halves[0][i] @ y.T).max(0))
-        for k, j in enumerate(columns.tolist()):
-            if j in self._halves[1]:
-                out[:, k] = np.maximum(out[:, k], 0.95 * (x @ self._halves[1][j].T).max(1))
+        if self._halves[0]:
+            for k, i in enumerate(np.arange(self.shape[0])[rows].tolist()):
+                if i in self._halves[0]:
+                    out[k] = np.maximum(out[k], 0.95 * (self._halves[0][i] @ y.T).max(0))
+        if self._halves[1]:
+            for k, j in enumerate(np.arange(self.shape[1])[columns].tolist()):
+                if j in self._halves[1]:
+                    out[:, k] = np.maximum(out[:, k], 0.95 * (x @ self._halves[1][j].T).max(1))
         return out
 
     def at(self, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
-        return self._compute(rows, columns) if self.held is None else self.held[np.ix_(rows, columns)]
+        if self.held is None:
+            return self._compute(rows, columns)
+        return self.held if (len(rows), len(columns)) == self.shape else self.held[np.ix_(rows, columns)]
 
     def cost(self, i: int, low: int, high: int) -> np.ndarray:
         return 1 - (self._compute(np.array([i]), np.arange(low, high))[0] if self.held is None else self.held[i, low:high])
@@ -290,7 +296,7 @@ def pair_sentences(a: list[str], b: list[str], languages: tuple[str, str], space
     row_at, row_top, column_at, column_top = near.best(every_a, every_b)
     path = warp(1 - near.held) if len(a) * len(b) <= EXACT_CELLS else coarse_to_fine(near.x, near.y, near.cost)
     found: dict[tuple[int, int], float] = {}
-    on_path = {(i, j): 1 - float(near.cost(i, j, j + 1)[0]) for i, j in path}
+    on_path = {(i, j): float(near.held[i, j]) if near.held is not None else 1 - float(near.cost(i, j, j + 1)[0]) for i, j in path}
     for (i, j), cosine in on_path.items():
         # A path visits neighbours on its way: a pair must be a best one for either side.
         if cosine >= alike and (cosine >= row_top[i] - 1e-6 or cosine >= column_top[j] - 1e-6):
@@ -316,7 +322,7 @@ def pair_sentences(a: list[str], b: list[str], languages: tuple[str, str], space
         found.update((p, 1.0) for p in mutual)
         left_a, left_b = np.setdiff1d(left_a, [i for i, _ in mutual]), np.setdiff1d(left_b, [j for _, j in mutual])
     # Sentences left alone between the same neighbours are each other's likeliest partners.
-    for (i, j), cosine in on_path.items():
+    for (i, j), cosine in on_path.items() if len(left_a) and len(left_b) else ():
         if cosine >= between and i in left_a and j in left_b and cosine >= near.at(left_a, np.array([j])).max() - 1e-6 and cosine >= near.at(np.array([i]), left_b).max() - 1e-6:
             found[i, j] = cosine
             left_a, left_b = left_a[left_a != i], left_b[left_b != j]
