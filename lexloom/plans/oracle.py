@@ -213,7 +213,13 @@ def _literal(x: object) -> str:
     return "'" + str(x).replace("'", "''") + "'"
 
 
-_FIELDS = "fields(family, ford, name, label, ftype, description, required, choices) AS (VALUES " + ", ".join(f"({_literal(d.family)}, {i}, {_literal(d.name)}, {_literal(d.label)}, {_literal(d.ftype)}, {_literal(d.description)}, {str(d.required).lower()}, {_literal(', '.join(d.values))})" for i, d in enumerate(L.FIELDS)) + ")"
+def _fields(definitions: tuple[L.FieldDef, ...]) -> str:
+    rows = (f"({_literal(d.family)}, {i}, {_literal(d.name)}, {_literal(d.label)}, {_literal(d.ftype)}, {_literal(d.description)}, {str(d.required).lower()}, {_literal(', '.join(d.values))})" for i, d in enumerate(definitions))
+    return "fields(family, ford, name, label, ftype, description, required, choices) AS (VALUES " + ", ".join(rows) + ")"
+
+
+_FIELDS = _fields(L.FIELDS)
+_CLASHING = _fields(L.FIELDS + tuple(L.FieldDef(p.id, "source", "来源", "string", "") for p in L.PARADIGMS))
 _SHORT = "CASE {x} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in L.SHORT_NAMES.items()) + " END"
 PLAN = f"""{SCORES}, {_FIELDS},
 levels AS (
@@ -289,7 +295,7 @@ SQL |= {
         SELECT r.doc_id, r.best AS paradigm, round(least(r.b, 1.0), 6) AS confidence, r.cross_type, d.domestic, d.international, coalesce(t.directions, '') AS directions FROM recognised r
         JOIN (SELECT doc_id, max(CASE WHEN scheme = 'domestic' THEN name END) AS domestic, max(CASE WHEN scheme = 'international' THEN name END) AS international FROM disciplines GROUP BY doc_id) d USING (doc_id)
         LEFT JOIN (SELECT doc_id, string_agg(direction, ', ' ORDER BY rank) AS directions FROM directions GROUP BY doc_id) t USING (doc_id)""",
-    "plan_notes": f"""WITH {SCORES}, {_FIELDS}, levels AS (SELECT doc_id, 0 AS level, 'common' AS family FROM recognised UNION ALL SELECT doc_id, 1, best FROM recognised
+    "plan_notes": f"""WITH {SCORES}, {_CLASHING}, levels AS (SELECT doc_id, 0 AS level, 'common' AS family FROM recognised UNION ALL SELECT doc_id, 1, best FROM recognised
           UNION ALL SELECT r.doc_id, k.rk, k.id FROM recognised r JOIN ranks k USING (doc_id) WHERE k.rk > 1 AND k.score >= 0.15 UNION ALL SELECT doc_id, 1000, 'dialogue' FROM recognised),
         every AS (SELECT doc_id, level, name, label, row_number() OVER (PARTITION BY doc_id ORDER BY level, ford) - 1 AS pos FROM levels JOIN fields USING (family)),
         nth AS (SELECT *, row_number() OVER (PARTITION BY doc_id, name ORDER BY pos) AS nth FROM every)

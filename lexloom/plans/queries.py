@@ -237,9 +237,14 @@ def field_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def plan_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names that clash, where every paradigm but the best is a second one."""
+    """Names that clash, where every paradigm but the best is a second one and each has a
+    field named like a common one."""
     every = recognised(spark, sf_dir).withColumn("rest", F.transform("rest", lambda x: x.withField("score", F.lit(0.5)))).withColumn("cross_type", F.lit("多学科交叉"))
-    return recognize.plan_notes(every)
+    return recognize.plan_notes(every, lexicons.FIELDS + CLASHING)
+
+
+#: A field of every paradigm that has a common field's name.
+CLASHING = tuple(lexicons.FieldDef(p.id, "source", "来源", "string", "") for p in lexicons.PARADIGMS)
 
 
 @query
