@@ -71,3 +71,18 @@ def test_furniture_gives_no_second_kind():
     assert scorer.decide("Bad gateway.\nEnable JavaScript")[0] == {"error_page", "script_notice"}
     assert scorer.decide("Menu help")[0] == {"script_notice"}
     assert scorer.decide("")[0] == set()
+
+
+def test_copies_change_no_model(spark):
+    once = spark.createDataFrame(corpus()[0], "doc_id bigint, text string")
+    model = residue.fit(once)
+    copied = residue.fit(once.crossJoin(spark.range(40).withColumnRenamed("id", "copy")))
+    assert set(copied) == set(model)
+    assert all(copied[f] == pytest.approx(w, abs=1e-6) for f, w in model.items())
+
+
+def test_rare_kind_in_a_large_table(spark):
+    notice = "Turn on JavaScript to view this page."
+    prose = spark.range(600_000).selectExpr("concat('The mean of case ', id, ' rose by ', id % 90, ' percent after the second round.') AS text")
+    weights = residue.fit(prose.union(spark.createDataFrame([(notice,)], "text string")))
+    assert residue.Scorer(weights).decide(notice)[0] == {"script_notice"}
